@@ -42,3 +42,24 @@ def fold(doc_id: str | Column) -> Column:
     """crc32 of the id's decimal text, modulo 5; 0 marks held-out rows."""
     col = F.col(doc_id) if isinstance(doc_id, str) else doc_id
     return F.crc32(col.cast("string").cast("binary")) % 5
+
+
+def free_name(df: DataFrame, base: str) -> str:
+    """``base`` with as many underscores as it takes to differ from every column of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    while base.lower() in taken:
+        base += "_"
+    return base
+
+
+#: Ids up to which a list of rows to drop is broadcast (16 MB of longs); longer lists are joined by a shuffle.
+BROADCAST_IDS = 2_000_000
+
+
+def without_ids(df: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
+    """Rows of ``df`` whose id is not among ``ids`` (one column); rows with a null id stay."""
+    ids = materialise(ids.toDF("drop_id").filter("drop_id is not null").distinct(), "dropped")
+    small = ids.count() <= BROADCAST_IDS
+    key = free_name(df, "drop_id")
+    ids = ids.toDF(key)
+    return df.join(F.broadcast(ids) if small else ids, df[id_col] == ids[key], "left_anti")
