@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..config import Cleaning
+from .binding import let
 from .text import is_blank, strip, words
 
 #: Elements whose content is never text.
@@ -25,7 +26,7 @@ def title(page: Column) -> Column:
 def main_block(page: Column) -> Column:
     """The content of the first article or main element, else the whole page (a readability heuristic)."""
     inner = F.regexp_extract(page, r"(?is)<(article|main)\b[^>]*>(.*?)</\1\s*>", 2)
-    return F.when(strip(inner) != "", inner).otherwise(page)
+    return let(inner, lambda x: F.when(strip(x) != "", x).otherwise(page))
 
 
 def decode(text: Column) -> Column:
@@ -53,6 +54,10 @@ def clean_text(page: Column, cleaning: Cleaning) -> Column:
 
 def verdict(text: Column, cleaning: Cleaning) -> Column:
     """(text, reason) after the rejections, in their fixed order: phrase, length, truncation, word count."""
+    return let(text, lambda t: _verdict(t, cleaning))
+
+
+def _verdict(text: Column, cleaning: Cleaning) -> Column:
     low = F.lower(text)
     unwanted = reduce(lambda a, b: a | b, [low.contains(k) for k in cleaning.unwanted_keywords], F.lit(False))
     cut = F.substring(text, 1, cleaning.max_text_length)

@@ -8,8 +8,6 @@ tagger and a pronouncing dictionary, which a stage can replace.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,35 +27,40 @@ def scaled(x: Column, bounds: tuple[float, float]) -> Column:
     return (x - bounds[0]) / (bounds[1] - bounds[0])
 
 
-def _share(test, items: Column) -> Column:
-    return F.size(F.filter(items, test)).cast("double")
+_IN = r"[\p{L}\p{N}_]"  # a word's characters
+_START, _END = rf"(?<!{_IN})", rf"(?!{_IN})"
+_OTHER = r"[\p{L}\p{N}_&&[^aeiouy]]"
+
+
+def _count(text: Column, pattern: str) -> Column:
+    return F.regexp_count(text, F.lit(pattern)).cast("double")
 
 
-def with_counts(df: DataFrame, text_col: str) -> DataFrame:
-    """``df`` with the struct ``_style``: what the vector's formulas need, each counted once."""
+def with_counts(df: DataFrame, text_col: str, as_col: str = "_style") -> DataFrame:
+    """``df`` with a struct of what the vector's formulas need: each count is one pass over the text."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     low = F.lower(text)
-    items = F.regexp_extract_all(text, F.lit(r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]"), F.lit(0))
-    is_word = lambda t: t.rlike(r"^[\p{L}\p{N}_]")
-    base = df.withColumn("_items", items).withColumn("_words", F.filter("_items", is_word))
-    heads = F.filter(F.transform(sentences(text), lambda s: F.regexp_extract(s, r"^[^\p{L}\p{N}_]*([\p{L}\p{N}_]+)", 1)), lambda h: h.rlike(r"^\p{Lu}"))
-    syllables = F.transform("_words", lambda w: F.greatest(F.size(F.regexp_extract_all(F.lower(w), F.lit("[aeiouy]+"), F.lit(0))), F.lit(1)))
-    caps = _share(lambda w: w.rlike(r"^\p{Lu}"), F.col("_words"))
-    number = lambda w: w.rlike("^[0-9]+$")
-    verb = lambda w: w.rlike(f"^[\\p{{Ll}}]+{VERB_ENDS}$")
-    adj = lambda w: w.rlike(f"^[\\p{{Ll}}]+{ADJ_ENDS}$") & ~w.rlike(f"{VERB_ENDS}$")
-    lower_word = lambda w: w.rlike(r"^\p{Ll}")
-    count = lambda lexicon: reduce(lambda a, b: a + b, [F.size(F.filter(F.split(low, r"[^\p{L}\p{N}_]+"), lambda t: t.isin(*lexicon)))])
-    base = base.withColumn("_syl", syllables)
-    d = lambda c: c.cast("double")
+    parts = sentences(text)
+    heads = F.size(F.filter(parts, lambda s: s.rlike(rf"^[^\p{{L}}\p{{N}}_]*\p{{Lu}}"))).cast("double")
+    any_of = lambda lexicon: rf"{_START}(?:{'|'.join(lexicon)}){_END}"
     s = F.struct(
-        d(F.size("_items")).alias("tokens"), d(F.size("_words")).alias("words"), d(F.size(sentences(text))).alias("sentences"), d(F.length(text)).alias("chars"),
-        (d(F.size("_items")) - d(F.size("_words"))).alias("punct"), _share(number, F.col("_words")).alias("num"), _share(verb, F.col("_words")).alias("verb"), _share(adj, F.col("_words")).alias("adj"),
-        _share(lower_word, F.col("_words")).alias("lower"), F.greatest(caps - d(F.size(heads)), F.lit(0.0)).alias("propn"),
-        d(F.aggregate("_syl", F.lit(0), lambda a, x: a + x)).alias("syllables"), _share(lambda x: x >= 3, F.col("_syl")).alias("hard"),
-        d(F.aggregate(F.transform("_words", F.length), F.lit(0), lambda a, x: a + x)).alias("letters"), d(count(POSITIVE)).alias("good"), d(count(NEGATIVE)).alias("bad"),
-    )
-    return base.withColumn("_style", s).drop("_items", "_words", "_syl")
+        _count(text, rf"{_IN}+|[^\p{{L}}\p{{N}}_\s]").alias("tokens"),
+        _count(text, rf"{_IN}+").alias("words"),
+        F.size(parts).cast("double").alias("sentences"),
+        F.length(text).cast("double").alias("chars"),
+        _count(text, r"[^\p{L}\p{N}_\s]").alias("punct"),
+        _count(text, rf"{_START}[0-9]+{_END}").alias("num"),
+        _count(text, rf"{_START}\p{{Ll}}+{VERB_ENDS}{_END}").alias("verb"),
+        _count(text, rf"{_START}\p{{Ll}}+{ADJ_ENDS}{_END}").alias("adj"),
+        _count(text, rf"{_START}\p{{Ll}}").alias("lower"),
+        F.greatest(_count(text, rf"{_START}\p{{Lu}}") - heads, F.lit(0.0)).alias("propn"),
+        (_count(low, "[aeiouy]+") + _count(low, rf"{_START}{_OTHER}++{_END}")).alias("syllables"),
+        _count(low, rf"{_START}{_OTHER}*+(?:[aeiouy]++{_OTHER}*+){{3,}}+").alias("hard"),
+        F.length(F.regexp_replace(text, r"[^\p{L}\p{N}_]+", "")).cast("double").alias("letters"),
+        _count(low, any_of(POSITIVE)).alias("good"),
+        _count(low, any_of(NEGATIVE)).alias("bad"),
+    )
+    return df.withColumn(as_col, s)
 
 
 def vector(s: Column, positivity: Column | None = None) -> Column:

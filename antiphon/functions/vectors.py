@@ -8,6 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .binding import let
+
 EPSILON = 1e-6
 
 
@@ -21,8 +23,7 @@ def norm(a: Column) -> Column:
 
 def unit(a: Column) -> Column:
     """Scaled to length 1; null for a zero vector."""
-    n = norm(a)
-    return F.when(n > 0, F.transform(a, lambda x: x.cast("double") / n))
+    return let(norm(a), lambda n: F.when(n > 0, F.transform(a, lambda x: x.cast("double") / n)))
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -46,12 +47,12 @@ def expected_distance(style_1: Column, style_2: Column, result: Column, text_cos
 
 def clip(x: Column) -> Column:
     """Into 0..1; NaN stays NaN."""
-    return F.when(F.isnan(x), x).otherwise(F.greatest(F.least(x, F.lit(1.0)), F.lit(0.0)))
+    return let(x, lambda v: F.when(F.isnan(v), v).otherwise(F.greatest(F.least(v, F.lit(1.0)), F.lit(0.0))))
 
 
 def softmax(logits: Column) -> Column:
-    e = F.transform(logits, lambda x: F.exp(x - F.array_max(logits)))
-    return F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda s, y: s + y))
+    powers = let(logits, lambda v: let(F.array_max(v), lambda top: F.transform(v, lambda x: F.exp(x - top))))
+    return let(powers, lambda e: let(F.aggregate(e, F.lit(0.0), lambda s, y: s + y), lambda total: F.transform(e, lambda x: x / total)))
 
 
 def argmax(a: Column) -> Column:

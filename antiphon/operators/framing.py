@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.binding import let
 from ..functions.text import tokens
 from ..functions.vectors import argmax
 from ..schemas import FRAMES, frame_name
@@ -18,7 +19,8 @@ Framer = Callable[[Column], Column]
 def hashed(text: Column) -> Column:
     """Default: tokens hashed to frames by first letter and length, add-one smoothed shares."""
     bucket = F.transform(tokens(text), lambda t: (F.ascii(t) * 31 + F.length(t)) % len(FRAMES))
-    return F.transform(F.sequence(F.lit(0), F.lit(len(FRAMES) - 1)), lambda f: (F.size(F.filter(bucket, lambda b: b == f)) + 1) / (F.size(bucket) + float(len(FRAMES))))
+    n = len(FRAMES)
+    return let(bucket, lambda own: F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda f: (F.size(F.filter(own, lambda b: b == f)) + 1) / (F.size(own) + float(n))))
 
 
 def assign(df: DataFrame, text: Column, framer: Framer = hashed) -> DataFrame:

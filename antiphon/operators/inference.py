@@ -7,6 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.binding import let
 from ..functions.text import normalise_equal, tokens
 from ..schemas import CONTRADICTION, ENTAILMENT, NEUTRAL
 from .extract import overlap
@@ -18,8 +19,11 @@ Inference = Callable[[Column, Column], Column]
 
 def lexical(a: Column, b: Column, entail: float = 0.6, oppose: float = 0.3) -> Column:
     """Default: equal or largely overlapping texts entail, overlap with one-sided negation contradicts."""
-    ta, tb = F.array_distinct(tokens(a)), F.array_distinct(tokens(b))
-    share = overlap(ta, tb)
+    words = F.struct(F.array_distinct(tokens(a)).alias("a"), F.array_distinct(tokens(b)).alias("b"))
+    return let(words, lambda w: let(overlap(w["a"], w["b"]), lambda share: _lexical(a, b, w["a"], w["b"], share, entail, oppose)))
+
+
+def _lexical(a: Column, b: Column, ta: Column, tb: Column, share: Column, entail: float, oppose: float) -> Column:
     negated = lambda t: F.exists(t, lambda w: w.isin(*NEGATIONS))
     one_sided = negated(ta) != negated(tb)
     equal = normalise_equal(a) == normalise_equal(b)
