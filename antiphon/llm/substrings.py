@@ -37,10 +37,14 @@ _NULL = -(1 << 63)
 _BASE = 0xD1342543DE82EF95
 _RNG = np.random.default_rng(77)
 _CODE = _RNG.integers(1, 1 << 63, (2, 256), dtype=np.uint64)
-_ROW = ["route", "e", "id", "h", "t", "a", "b", "kind"]
-_ROWS = "route long, e long, id long, h long, t int, a int, b int, kind byte"
+_ROWS = "route long, p binary"
 _SPANS = "id long, h long, a int, b int, kind byte"
 PLACE, REMOVED, ASK = 0, 1, 2
+#: Bytes up to which a table of documents' stretches is broadcast to the texts; beyond, the texts are shuffled.
+BROADCAST_BYTES = 32 << 20
+#: Big-endian fields of a row's bytes, so that rows sort by kind, e, id, h, t: name -> (offset, width).
+_FIELDS = {"kind": (0, 1), "e": (1, 6), "id": (7, 8), "h": (15, 8), "t": (23, 5), "a": (28, 5), "b": (33, 2), "left": (35, 3), "right": (38, 3)}
+_WIDTH = 41
 _POWER: list[np.ndarray] = []
 
 
@@ -123,8 +127,43 @@ def _merged(doc: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray,
     return doc[first], a[first], reach[np.append(first[1:], len(a)) - 1] - shift[first]
 
 
-def _local(x, e, ids, hs, doc, t, a, b) -> Iterator[tuple[np.ndarray, ...]]:
+def _pack(n: int, **values: np.ndarray) -> np.ndarray:
+    """Rows of bytes; ``b`` is kept as its distance from ``a``, in 2 bytes for places."""
+    out = np.zeros((n, _WIDTH), np.uint8)
+    for name, v in values.items():
+        at, wide = _FIELDS[name]
+        v = np.asarray(v)
+        if name == "id":
+            v = v.astype(np.int64) ^ np.int64(_NULL)
+        u = v if v.dtype == np.uint64 else v.astype(np.int64).view(np.uint64)
+        out[:, at : at + wide] = np.ascontiguousarray(u.astype(">u8")).view(np.uint8).reshape(n, 8)[:, 8 - wide :]
+    return out
+
+
+def _field(rows: np.ndarray, name: str) -> np.ndarray:
+    at, wide = _FIELDS[name]
+    out = np.zeros((len(rows), 8), np.uint8)
+    out[:, 8 - wide :] = rows[:, at : at + wide]
+    v = out.view(">u8").reshape(-1).astype(np.uint64).view(np.int64)
+    return v ^ np.int64(_NULL) if name == "id" else v
+
+
+def _record(route: np.ndarray, rows: np.ndarray) -> pa.RecordBatch:
+    offsets = np.arange(0, (len(rows) + 1) * _WIDTH, _WIDTH, dtype=np.int32)
+    binary = pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(rows))])
+    return pa.RecordBatch.from_arrays([pa.array(route.view(np.int64)), binary], names=["route", "p"])
+
+
+def _rows_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    col = batch.column(1)
+    start = np.frombuffer(col.buffers()[1], np.int32)[col.offset : col.offset + len(col) + 1]
+    data = np.frombuffer(col.buffers()[2], np.uint8)[start[0] : start[-1]]
+    return np.asarray(batch.column(0)), data.reshape(-1, _WIDTH)
+
+
+def _local(x, e, ids, hs, doc, t, a, b, left=None, right=None) -> Iterator[pa.RecordBatch]:
     """Rows of one batch: the first place of each (x, e), and what the others remove, merged."""
+    e = e >> np.uint64(16)
     by = np.lexsort((t, hs[doc], ids[doc], e, x))
     x, e, doc, t, a, b = (v[by] for v in (x, e, doc, t, a, b))
     first = np.ones(len(x), bool)
@@ -133,19 +172,13 @@ def _local(x, e, ids, hs, doc, t, a, b) -> Iterator[tuple[np.ndarray, ...]]:
     head = np.flatnonzero(first)[group]
     again = ~first & ((ids[doc] != ids[doc[head]]) | (hs[doc] != hs[doc[head]]) | (t != t[head]))
     keep = np.flatnonzero(first)
-    zero = np.zeros(len(keep), np.int8)
-    yield x[keep], e[keep], ids[doc[keep]], hs[doc[keep]], t[keep], a[keep], b[keep], zero
+    more = {} if left is None else {"left": left[by][keep], "right": right[by][keep]}
+    yield _record(x[keep], _pack(len(keep), e=e[keep], id=ids[doc[keep]], h=hs[doc[keep]], t=t[keep], a=a[keep], b=b[keep] - a[keep], **more))
     d, a, b = _merged(doc[again], a[again], b[again])
     if len(d):
         with np.errstate(over="ignore"):
             route = (ids[d] * np.int64(-7046029254386353131)) ^ hs[d]
-        yield route, np.zeros(len(d), np.int64), ids[d], hs[d], np.zeros(len(d), np.int64), a, b, np.full(len(d), REMOVED, np.int8)
-
-
-def _record(cols) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int8())
-    cols = [c.view(np.int64) if c.dtype == np.uint64 else c for c in cols]
-    return pa.RecordBatch.from_arrays([pa.array(c.astype(k.to_pandas_dtype()), k) for c, k in zip(cols, kinds)], names=_ROW)
+        yield _record(route, _pack(len(d), kind=np.full(len(d), REMOVED), id=ids[d], h=hs[d], t=b, a=a))
 
 
 def _chunks(texts: list[bytes]) -> Iterator[tuple[int, int]]:
@@ -173,13 +206,18 @@ def _parse(length: int):
                 doc, t, a, b = phrases(data, begin, begin + size, length)
                 x = data.hash(t, t + min(TRIGGER, length), 1)
                 e = _mix(data.hash(a, b, 0) + (t - a).astype(np.uint64) * np.uint64(_BASE) + (b - a).astype(np.uint64))
-                base = begin[doc]
-                got.append((x, e, doc + lo, t - base, a - base, b - base))
+                base, width = begin[doc], min(TRIGGER, length)
+                half = (length - width) // 2
+                sides = []
+                for lo_at, hi_at in ((t - half, t + width), (t, t + width + half)):
+                    fits = (lo_at >= base) & (hi_at <= base + size[doc])
+                    side = data.hash(np.where(fits, lo_at, base), np.where(fits, hi_at, base), 1) >> np.uint64(40)
+                    sides.append(np.where(fits, np.maximum(side, np.uint64(1)), np.uint64(0)))
+                got.append((x, e, doc + lo, t - base, a - base, b - base, *sides))
             if got:
-                x, e, doc, t, a, b = (np.concatenate(v) for v in zip(*got))
+                x, e, doc, t, a, b, left, right = (np.concatenate(v) for v in zip(*got))
                 if len(x):
-                    for cols in _local(x, e, ids, hs, doc, t, a, b):
-                        yield _record(cols)
+                    yield from _local(x, e, ids, hs, doc, t, a, b, left, right)
 
     return run
 
@@ -198,77 +236,96 @@ def _windows(length: int):
                 for lo in range(0, len(starts), 1 << 18):
                     p = starts[lo : lo + (1 << 18)]
                     x, e = data.hash(p, p + length, 1), data.hash(p, p + length, 0)
-                    for cols in _local(x, e, ids, hs, np.full(len(p), i), p, p, p + length):
-                        yield _record(cols)
+                    yield from _local(x, e, ids, hs, np.full(len(p), i), p, p, p + length)
 
     return run
 
 
+def _shared(route: np.ndarray, side: np.ndarray) -> np.ndarray:
+    """Rows whose (route, side) another row has; side 0 is none."""
+    by = np.lexsort((side, route))
+    r, v = route[by], side[by]
+    same = (r[1:] == r[:-1]) & (v[1:] == v[:-1]) & (v[1:] != 0)
+    out = np.zeros(len(r), bool)
+    out[by[1:][same]] = True
+    out[by[:-1][same]] = True
+    return out
+
+
 def _read_order(ask: bool):
-    """Read rows in order of (route, e, id, h, t): what is not the first of its (route, e) is removed; with
-    ``ask``, the first places of routes with several e are asked about.  Keeps one open route's state."""
+    """Read rows in order of (route, kind, e, id, h, t): what is not the first of its (route, e) is removed.
+
+    With ``ask``, the first places of a route with several e are asked about if they share the bytes on the
+    left or on the right of the trigger: a window has half of its other bytes on one side.  (Of a route
+    that runs over a batch's end, all are asked about.)  Keeps one open route's state."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] | None = None  # of the open route: its first row, and the first row of its last e
+        held: tuple[np.ndarray, np.ndarray] | None = None  # of the open route: its first row, and the first row of its last e
         asked_open = False
-        out_names = ["id", "h", "a", "b", "kind"]
+        names = ["id", "h", "a", "b", "kind"]
 
-        def record(ids, hs, a, b, kind) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(hs, pa.int64()), pa.array(a, pa.int32()), pa.array(b, pa.int32()), pa.array(np.full(len(ids), kind), pa.int8())], names=out_names)
+        def record(rows: np.ndarray, kind: int) -> pa.RecordBatch:
+            a = _field(rows, "a")
+            b = _field(rows, "t") if kind < 0 else a + _field(rows, "b")
+            return pa.RecordBatch.from_arrays([pa.array(_field(rows, "id")), pa.array(_field(rows, "h")), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32)), pa.array(np.full(len(rows), abs(kind)), pa.int8())], names=names)
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            cols = [np.asarray(batch.column(k)) for k in range(8)]
-            local = cols[7] == REMOVED
+            route, rows = _rows_of(batch)
+            local = rows[:, 0] == REMOVED
             if local.any():
-                yield record(cols[2][local], cols[3][local], cols[5][local], cols[6][local], REMOVED)
-                cols = [c[~local] for c in cols]
-            if not len(cols[0]):
+                yield record(rows[local], -REMOVED)
+                route, rows = route[~local], rows[~local]
+            if not len(route):
                 continue
             ghosts = 0
-            if held is not None and held[0][0] == cols[0][0]:
+            if held is not None and held[0][0] == route[0]:
                 ghosts = len(held[0])
-                cols = [np.concatenate([g, c]) for g, c in zip(held, cols)]
+                route, rows = np.concatenate([held[0], route]), np.concatenate([held[1], rows])
             else:
                 asked_open = False
-            route, e, ids, hs, t, a, b, _ = cols
             n = len(route)
             new_route = np.ones(n, bool)
             new_route[1:] = route[1:] != route[:-1]
             first = new_route.copy()
-            first[1:] |= e[1:] != e[:-1]
+            first[1:] |= (rows[1:, 1:7] != rows[:-1, 1:7]).any(1)
             head = np.flatnonzero(first)[np.cumsum(first) - 1]
-            again = ~first & ((ids != ids[head]) | (hs != hs[head]) | (t != t[head]))
-            again[:ghosts] = False
-            if again.any():
-                yield record(ids[again], hs[again], a[again], b[again], REMOVED)
+            again = np.flatnonzero(~first)
+            again = again[(rows[again, 7:28] != rows[head[again], 7:28]).any(1)]
+            again = again[again >= ghosts]
+            if len(again):
+                yield record(rows[again], REMOVED)
             if ask:
                 run_at = np.flatnonzero(new_route)
                 several = np.add.reduceat(first.astype(np.int64), run_at) > 1
                 want = first & np.repeat(several, np.diff(np.append(run_at, n)))
+                closed = np.arange(n) < run_at[-1]
                 if ghosts:  # a ghost was asked about before if its route had several e then
                     want[:ghosts] &= not asked_open
+                    closed[: run_at[1] if len(run_at) > 1 else n] = False
+                pick = np.flatnonzero(want & closed)
+                if len(pick):
+                    both = _shared(route[pick], _field(rows[pick], "left")) | _shared(route[pick], _field(rows[pick], "right"))
+                    want[pick[~both]] = False
                 if want.any():
-                    yield record(ids[want], hs[want], a[want], b[want], ASK)
-                carried = asked_open and ghosts > 0 and len(run_at) == 1
-                asked_open = bool(several[-1]) or carried
-            start = np.flatnonzero(new_route)[-1]
-            keep = sorted({int(start), int(head[-1])})
-            held = [c[keep] for c in cols]
+                    yield record(rows[want], ASK)
+                asked_open = bool(several[-1]) or (asked_open and ghosts > 0 and len(run_at) == 1)
+            keep = sorted({int(np.flatnonzero(new_route)[-1]), int(head[-1])})
+            held = (route[keep], rows[keep])
 
     return run
 
 
 def _ordered(rows: DataFrame) -> DataFrame:
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(n, "route").sortWithinPartitions("route", "e", "id", "h", "t")
+    return rows.repartition(n, "route").sortWithinPartitions("route", "p")
 
 
 def repeated(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, text (binary), spans (array of byte stretches (a, b): maximal, in order) to remove."""
-    if length < 2:
-        raise ValueError("length must be at least 2")
+    if not 2 <= length <= 30_000:
+        raise ValueError("length must be 2 to 30000")
     small_batches(docs.sparkSession)
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL).cast("long"))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
@@ -278,18 +335,33 @@ def repeated(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_co
     spans = materialise(_ordered(rows).mapInArrow(_read_order(True), _SPANS), "spans")
 
     asks = spans.filter(F.col("kind") == ASK).groupBy("id", "h").agg(F.collect_list(F.struct("a", "b")).alias("asks"))  # a document's own phrases
+    asks = _sized(materialise(asks, "asks"), "asks")
     edges = src.select("id", "h", "text").join(asks, ["id", "h"]).select("id", "h", "text", "asks")
     if not unique:
         edges = edges.dropDuplicates(["id", "h"])
     windows = _ordered(edges.mapInArrow(_windows(length), _ROWS)).mapInArrow(_read_order(False), _SPANS)
     gone = spans.filter(F.col("kind") == REMOVED).union(windows).groupBy("id", "h").agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("gone"))
     start = F.array().cast("array<struct<a:int,b:int>>")
+    gone = _merged_spans(gone)
+    gone = _sized(materialise(gone, "gone"), "spans")
+    return src.join(gone, ["id", "h"], "left").select(F.col("own").alias(id_col), F.col("text"), F.coalesce("spans", start).alias("spans"))
+
+
+def _sized(df: DataFrame, array: str) -> DataFrame:
+    """With a broadcast hint if the table is small enough to send to every executor."""
+    size = df.agg(F.coalesce(F.sum(F.size(array) * 16 + 64), F.lit(0)).alias("n")).first().n
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df
+
+
+def _merged_spans(gone: DataFrame) -> DataFrame:
+    """(id, h, spans): the unions of each document's stretches ``gone``, which are in order."""
+    start = F.array().cast("array<struct<a:int,b:int>>")
     merge = F.aggregate(
         "gone", F.struct(start.alias("out"), F.lit(-1).alias("a"), F.lit(-1).alias("b")),
         lambda s, x: F.when(s["a"] < 0, F.struct(s["out"].alias("out"), x["a"].alias("a"), x["b"].alias("b"))).when(x["a"] <= s["b"], F.struct(s["out"].alias("out"), s["a"].alias("a"), F.greatest(s["b"], x["b"]).alias("b"))).otherwise(F.struct(F.concat(s["out"], F.array(F.struct(s["a"].alias("a"), s["b"].alias("b")))).alias("out"), x["a"].alias("a"), x["b"].alias("b"))),
         lambda s: F.concat(s["out"], F.array(F.struct(s["a"].alias("a"), s["b"].alias("b")))),
     )
-    return src.join(gone, ["id", "h"], "left").select(F.col("own").alias(id_col), F.col("text"), F.when(F.col("gone").isNotNull(), merge).otherwise(start).alias("spans"))
+    return gone.select("id", "h", merge.alias("spans"))
 
 
 def kept_bytes(text_col: str = "text", spans_col: str = "spans"):
