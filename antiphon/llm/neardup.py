@@ -7,11 +7,15 @@ those symbols out; so all pairs under that distance meet.  (Pairs beyond it most
 similarity threshold a pair has no common key with probability 5e-6.)
 
 Equal sets are one representative, their smallest id.  Keys that only one representative has drop out.
-No bucket's pairs are emitted: first every member is compared with its bucket's lead, the member with
-most companions over all of its keys, which settles groups of copies; links confirmed on full sets make
-components.  Then buckets that still hold several components are compared by blocks of signatures, and
-only pairs of different components whose signatures agree in at least AGREE symbols (5.6 standard
-deviations under the expectation at the threshold) go on to confirmation.
+No bucket's or group's pairs are emitted:
+
+1. A bucket's lead is the member with most companions over all of its keys.  Every representative is
+   compared with the lead it shares most keys with; pairs whose signatures agree in AGREE symbols (5.6
+   standard deviations under what the similarity threshold expects) are connected.
+2. Buckets that still hold several components are compared by blocks of signatures; a spanning forest of
+   the agreeing pairs connects them.  Every pair that could be similar now lies within one cluster.
+3. A cluster's texts are dealt into blocks; each pair of blocks counts common shingles of all of its pairs
+   on full sets and emits a spanning forest of the confirmed links.  Their components are the groups.
 
 Null, empty and blank texts have an empty set: linked with nothing, and their own component.  Fewer than
 ``SHINGLE`` words make one shingle.  A row with a null id takes no part: its component is null and it is
@@ -24,7 +28,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,7 +39,10 @@ SHINGLE = 5
 SYMBOLS, CHUNKS, ERRORS = 96, 16, 1
 BITS = 16
 AGREE = 48
-BLOCK = 1_024
+#: Members of a block of signatures, and of a block of texts.
+BLOCK, TEXT_BLOCK = 1_024, 256
+#: Columns of shingles counted at once.
+COLUMNS = 4_096
 
 _RNG = np.random.default_rng(2024)
 _BYTE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -105,11 +111,6 @@ def keys(sig: np.ndarray) -> np.ndarray:
     return _mix(left + np.arange(SYMBOLS, dtype=np.uint64)[None] * np.uint64(_BASE))
 
 
-def similar(a: np.ndarray, b: np.ndarray, percent: int = 75) -> bool:
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return 100 * both >= percent * (len(a) + len(b) - both)
-
-
 def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE) -> DataFrame:
     """(id, n, h1, h2, sig): the set's size, a 128-bit hash of it, its signature."""
     small_batches(docs.sparkSession)
@@ -156,52 +157,120 @@ def _under_distance(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFram
     return got.mapInArrow(run, "a long, b long")
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int, size: int) -> DataFrame:
-    """Pairs (a, b) that the full sets confirm; ``texts``: (rep, text)."""
-    got = pairs.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b").select("a", "b", "ta", "tb")
+def _dealt(rows: DataFrame, key: str, size: int) -> DataFrame:
+    """``rows`` (key, m: its members, rep, ...) with ``own`` block and block pair (lo, hi), ordered within
+    tasks by group: a member meets each block of its key once."""
+    blocks = rows.withColumn("nb", F.ceil(F.col("m") / size).cast("int")).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("nb").cast("long")).cast("int"))
+    out = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other")).drop("m", "nb", "other")
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return out.repartition(n, key, "lo", "hi").sortWithinPartitions(key, "lo", "hi", "rep")
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Consecutive rows that agree in the first three columns, as tables."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        k = np.stack([np.asarray(b.column(i)).astype(np.int64) for i in range(3)], 1)
+        cut = np.flatnonzero((k[1:] != k[:-1]).any(1)) + 1
+        bounds = [0, *cut.tolist(), len(k)]
+        for lo, hi in zip(bounds, bounds[1:]):
+            now = tuple(k[lo])
+            if held and now != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(b.slice(lo, hi - lo))
+            last = now
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _edges(rep: np.ndarray, a: list[int], b: list[int]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(rep[a], pa.int64()), pa.array(rep[b], pa.int64())], names=["a", "b"])
+
+
+def _signature_forest(members: DataFrame, reps: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs (a, b) that connect the components of a bucket by agreeing signatures."""
+    now = members.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("key", "rep", F.coalesce("comp", "rep").alias("comp"))
+    mixed = now.groupBy("key").agg(F.min("comp").alias("first"), F.max("comp").alias("last"), F.count("*").alias("m")).filter("first < last").select("key", "m")
+    rows = _dealt(now.join(mixed, "key").join(reps.select("rep", "sig"), "rep"), "key", BLOCK)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[int, np.ndarray] = {}
-        for b in batches:
-            ids = [b.column(k).to_pylist() for k in (0, 1)]
-            ok = []
-            for i in range(b.num_rows):
-                sets = []
-                for k in (0, 1):
-                    x = ids[k][i]
-                    if x not in known:
-                        if len(known) > 64:
-                            known.clear()
-                        known[x] = shingles(b.column(2 + k)[i].as_py(), size)
-                    sets.append(known[x])
-                ok.append(similar(*sets, percent))
-            keep = pa.array(ok, pa.bool_())
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], names=["a", "b"])
+        for t in _runs(batches):
+            rep, comp, own = (t.column(k).to_numpy() for k in (3, 4, 5))
+            sig = np.frombuffer(b"".join(t.column(6).to_pylist()), np.uint16).reshape(-1, SYMBOLS)
+            within = t.column(1)[0].as_py() == t.column(2)[0].as_py()
+            label, a, b = comp.copy(), [], []
+            for i in range(len(rep)):
+                j = np.flatnonzero((label != label[i]) if within else (label != label[i]) & (own != own[i]))
+                j = j[(sig[j] == sig[i]).sum(1) >= AGREE]
+                for x in np.unique(label[j], return_index=True)[1].tolist():
+                    a.append(i)
+                    b.append(int(j[x]))
+                if len(j):
+                    label[np.isin(label, label[j])] = label[i]
+            if a:
+                yield _edges(rep, a, b)
+
+    return rows.select("key", "lo", "hi", "rep", "comp", "own", "sig").mapInArrow(run, "a long, b long").distinct()
+
+
+def _common(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections, counted over the shingles that two sets or more have."""
+    n = len(sets)
+    every = np.concatenate(sets)
+    doc = np.repeat(np.arange(n), [len(s) for s in sets])
+    _, column, many = np.unique(every, return_inverse=True, return_counts=True)
+    keep = many[column] > 1
+    new = np.cumsum(many > 1) - 1
+    column, doc = new[column[keep]], doc[keep]
+    by = np.argsort(column, kind="stable")
+    column, doc = column[by], doc[by]
+    out = np.zeros((n, n), np.float32)
+    for lo in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        i, j = np.searchsorted(column, (lo, lo + COLUMNS))
+        part = np.zeros((n, min(COLUMNS, int(column[j - 1]) - lo + 1)), np.float32)
+        part[doc[i:j], column[i:j] - lo] = 1
+        out += part @ part.T
+    return out
+
+
+def _link_forest(clusters: DataFrame, texts: DataFrame, percent: int, size: int) -> DataFrame:
+    """Links (a, b), confirmed on full sets, that span what is linked within each pair of blocks.
+
+    ``clusters``: (id, comp); ``texts``: (rep, text)."""
+    total = clusters.groupBy("comp").agg(F.count("*").alias("m"))
+    rows = clusters.join(total, "comp").select(F.col("comp").alias("key"), "m", F.col("id").alias("rep")).join(texts, "rep")
+    rows = _dealt(rows, "key", TEXT_BLOCK)
 
-    return got.mapInArrow(run, "a long, b long")
-
-
-def _unsettled(members: DataFrame, reps: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs of different components within buckets, by blocks of signatures."""
-    now = members.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("key", "rep", F.coalesce("comp", "rep").alias("comp"))
-    mixed = now.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m")).filter("lo < hi").select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("nb"))
-    rows = now.join(mixed, "key").join(reps.select("rep", "sig"), "rep").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("nb").cast("long")).cast("int"))
-    # a member meets each block of its bucket once: blocks (lower, upper) with its own among them
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other"))
-
-    def solve(p: pd.DataFrame) -> pd.DataFrame:
-        rep, comp, own = p["rep"].to_numpy(), p["comp"].to_numpy(), p["own"].to_numpy()
-        sig = np.frombuffer(b"".join(p["sig"]), np.uint16).reshape(-1, SYMBOLS)
-        same = len(set(own.tolist())) == 1 and p["lo"].iloc[0] == p["hi"].iloc[0]
-        out_a, out_b = [], []
-        for i in range(len(rep)):
-            j = np.flatnonzero((comp != comp[i]) & ((rep > rep[i]) if same else (own != own[i]) & (rep > rep[i])))
-            j = j[(sig[j] == sig[i]).sum(1) >= AGREE]
-            out_a += [rep[i]] * len(j)
-            out_b += rep[j].tolist()
-        return pd.DataFrame({"a": out_a, "b": out_b}, dtype="int64")
-
-    return rows.select("key", "lo", "hi", "own", "rep", "comp", "sig").groupBy("key", "lo", "hi").applyInPandas(solve, "a long, b long").distinct()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _runs(batches):
+            rep, own = t.column(3).to_numpy(), t.column(4).to_numpy()
+            sets = [shingles(t.column(5)[i].as_py(), size) for i in range(len(rep))]
+            n = np.array([len(s) for s in sets])
+            both = _common(sets)
+            linked = 100 * both >= percent * (n[:, None] + n[None] - both)
+            if t.column(1)[0].as_py() != t.column(2)[0].as_py():
+                linked &= own[:, None] != own[None]
+            np.fill_diagonal(linked, False)
+            free, a, b = np.ones(len(rep), bool), [], []
+            for seed in range(len(rep)):
+                if not free[seed]:
+                    continue
+                free[seed], todo = False, [seed]
+                while todo:
+                    i = todo.pop()
+                    near = np.flatnonzero(linked[i] & free).tolist()
+                    free[near] = False
+                    a += [i] * len(near)
+                    b += near
+                    todo += near
+            if a:
+                yield _edges(rep, a, b)
+
+    return rows.select("key", "lo", "hi", "rep", "own", "text").mapInArrow(run, "a long, b long").distinct()
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, size: int = SHINGLE) -> DataFrame:
@@ -217,28 +286,14 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", perc
     mass = members.groupBy("rep").agg(F.sum("m").alias("mass"))
     weighed = members.join(mass, "rep")
     lead = weighed.groupBy("key").agg(F.max(F.struct("mass", (-F.col("rep")).alias("neg"))).alias("top"))
-    edges = weighed.join(lead, "key").select(F.col("rep").alias("a"), (-F.col("top.neg")).alias("b"), F.col("top.mass").alias("w")).filter("a <> b").groupBy("a", "b").agg(F.max("w").alias("w"))
-    edges = materialise(edges, "edges")
+    shared = weighed.join(lead, "key").select(F.col("rep").alias("a"), (-F.col("top.neg")).alias("b"), F.col("top.mass").alias("w")).filter("a <> b").groupBy("a", "b").agg(F.count("*").alias("n"), F.max("w").alias("w"))
+    edges = shared.groupBy("a").agg(F.max(F.struct("n", "w", (-F.col("b")).alias("neg"))).alias("t")).select("a", (-F.col("t.neg")).alias("b"))
+    near = materialise(_under_distance(edges, reps, percent), "near")
+    more = materialise(_signature_forest(members, reps, components(near)), "near")
+    clusters = components(near.union(more))
 
-    wanted = members.select(F.col("rep").alias("id")).distinct()
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    near = _under_distance(edges.select("a", "b"), reps, percent)
-    near = materialise(near.join(edges, ["a", "b"]), "near")
-    texts = materialise(src.join(wanted, "id", "left_semi").select(F.col("id").alias("rep"), "text"), "texts")
-
-    best = near.groupBy("a").agg(F.max(F.struct("w", "b")).alias("t")).select("a", F.col("t.b").alias("b"))
-    links = materialise(_confirmed(best, texts, percent, size), "links")
-    labels = components(links)
-    # the other leads of a member, where they are in another component
-    side = labels.toDF("v", "c")
-    rest = near.select("a", "b").join(side.toDF("a", "ca"), "a", "left").join(side.toDF("b", "cb"), "b", "left").filter("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b").join(best, ["a", "b"], "left_anti")
-    more = materialise(_confirmed(rest, texts, percent, size), "links")
-    if more.limit(1).count():
-        links = links.union(more)
-        labels = components(links)
-    open_pairs = _unsettled(members, reps, labels).join(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    last = materialise(_confirmed(open_pairs, texts, percent, size), "links")
-    if last.limit(1).count():
-        labels = components(links.union(last))
+    texts = src.join(clusters.select("id"), "id", "left_semi").select(F.col("id").alias("rep"), "text")
+    labels = components(materialise(_link_forest(clusters, texts, percent, size), "links"))
     out = placed.select("id", "n", F.coalesce("rep", "id").alias("rep")).join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component_id", F.coalesce("comp", "rep"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
