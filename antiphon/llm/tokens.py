@@ -39,7 +39,9 @@ class PieceTable:
         self.bits = bits
         self.clear()
 
-    def clear(self) -> None:
+    def clear(self, need: int = 0) -> None:
+        """Forget all; make room for ``need`` pieces in half of the table."""
+        self.bits = max(self.bits, int(2 * need).bit_length())
         self.keys = np.zeros(1 << self.bits, np.uint64)
         self.value = np.zeros(1 << self.bits, np.int32)
         self.start, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
@@ -169,7 +171,7 @@ class CachedTokenizer:
         miss = np.flatnonzero(entry < 0)
         if len(miss):
             if self.table.n + len(miss) > 1 << (self.table.bits - 1):
-                self.table.clear()
+                self.table.clear(len(np.unique(keys)))
                 miss = np.arange(len(keys))
             new, first = np.unique(keys[miss], return_index=True)
             first = miss[first]

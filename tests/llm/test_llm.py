@@ -4,6 +4,7 @@ import random
 import sys
 import zlib
 from collections import defaultdict
+from functools import lru_cache
 from pathlib import Path
 
 import numpy as np
@@ -38,10 +39,15 @@ def pairs(df):
     return [(r.doc_id, r.text) for r in df.select("doc_id", "text").collect()]
 
 
-def ids_of(path, text):
+@lru_cache
+def plain(path):
     t = Tokenizer.from_file(path)
     t.encode_special_tokens = True
-    return t.encode(text or "", add_special_tokens=False).ids
+    return t
+
+
+def ids_of(path, text):
+    return plain(path).encode(text or "", add_special_tokens=False).ids
 
 
 # --- tokens, packing, output ---------------------------------------------------------------------
