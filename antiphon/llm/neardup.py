@@ -277,7 +277,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", perc
     """Per row: id, n_shingles, component_id, kept."""
     seen = materialise(features(docs, id_col, text_col, size), "features")
     equal = seen.filter("n > 0 and id is not null").groupBy("h1", "h2", "n").agg(F.min("id").alias("rep"))
-    placed = materialise(seen.join(equal, ["h1", "h2", "n"], "left").select("id", "n", "rep", F.when(F.col("id") == F.col("rep"), F.col("sig")).alias("sig")), "placed")
+    placed = materialise(seen.join(equal, ["h1", "h2", "n"], "left").select("id", "n", F.when(F.col("id").isNotNull(), F.col("rep")).alias("rep"), F.when(F.col("id") == F.col("rep"), F.col("sig")).alias("sig")), "placed")
     reps = placed.filter("sig is not null").select("rep", "n", "sig")
 
     rows = _key_rows(reps)

@@ -31,7 +31,7 @@ from .sampling import stratified
 
 PER_LABEL = 2500
 LANDMARKS = 96
-DECAY = 0.6
+DECAY = 0.8
 WINDOW, STEP = 8, 4
 FLOOR = 0.4
 SEEN = 400_000
