@@ -253,6 +253,19 @@ def test_added_spans_leave_base_spans_alone(spark):
         assert set(r.spans.split(",")) >= set() and (r.n_email > 0) == (r.doc_id < 120)
 
 
+def test_added_spans_are_found_where_the_sample_holds_them(spark):
+    text = [f"mail user{i}@mail.example.org or +1 (555) 555-{1000 + i}, or user{i} [at] mail [dot] org, or (415) 555-{1000 + i} by day" for i in range(120)] + [f"on 2024-01-{10 + i % 19} pages 1990-{1991 + i} of 1 234 567 890, meet @ noon. Then {i} rooms" for i in range(120)]
+    df = spark.createDataFrame(list(enumerate(text)), "doc_id long, text string")
+    models = pii.train(df)
+    for r in pii.digest(pii.find(df, models)).collect():
+        got = {text[r.doc_id][int(a) : int(b)] for _, a, b in (s.split(":") for s in r.spans.split(",") if s)}
+        i = r.doc_id
+        assert got == ({f"user{i}@mail.example.org", f"+1 (555) 555-{1000 + i}", f"user{i} [at] mail [dot] org", f"(415) 555-{1000 + i}"} if i < 120 else set())
+    probe = ["card 4111.1111.1111.1111 here", "card 4111.1111.1111.1112 here", "ask lee (at) post.example.de. Then"]
+    out = pii.redact(spark.createDataFrame(list(enumerate(probe)), "doc_id long, text string"), models)
+    assert [r.text for r in out.orderBy("doc_id").collect()] == ["card [CARD] here", probe[1], "ask [EMAIL]. Then"]
+
+
 def test_redaction(spark):
     df = frame(spark, ["éa@b.co 😀 4111 1111-1111 1111 end 1.2.3.4", None, "clean"])
     out = pii.redact(df, {})
