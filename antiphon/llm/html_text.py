@@ -9,7 +9,8 @@ holds main text (scripts, menus, forms, adverts, reader comments, ...) is left o
 Character references are decoded, white space inside a block becomes one space, blocks are joined by one
 line break in page order; nothing else is dropped or cut.  A null or empty page, or one without a region
 above zero, gives the empty string.  Elements that are never closed end with their parent or at the next
-block; broken tags count as text.  Repeated rows get equal texts; an empty table gives no rows; other
+block, an open head at the body or its first block or text; scripts, styles, text areas and comments, whose
+content is no markup, run to the end of the page.  Broken tags count as text.  Repeated rows get equal texts; an empty table gives no rows; other
 columns pass through.
 """
 
@@ -30,7 +31,7 @@ from .common import small_batches
 TRAIN_PAGES = 400
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|textarea|iframe|head)\b.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>",
+    r"<!--.*?(?:-->|\Z)|<(script|style|textarea)\b.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>",
     re.S | re.I,
 )
 BLOCKS = frozenset("address article aside blockquote body caption dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead title tr ul".split())
@@ -43,6 +44,8 @@ HEAD_PARTS = frozenset("header masthead topbar".split())
 _ATTR = re.compile(r"\b(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 _PART = re.compile(r"[^a-z0-9]+")
 KEEP = frozenset("html body article main".split())
+#: Elements that are left out before anything else is read, as the head is.
+INERT = frozenset("noscript template svg iframe".split())
 
 
 def _is_out(tag: str, attrs: str, inside: int) -> bool:
@@ -63,6 +66,56 @@ def _is_out(tag: str, attrs: str, inside: int) -> bool:
     return bool(re.search(r"(?:^|\s)hidden(?:\s|=|/|$)", attrs, re.I)) if attrs else False
 
 
+def _without_inert(raw: list[tuple[str, str, str]]) -> list[tuple[str, str, str]]:
+    """``raw`` without the head and INERT elements; those never closed end before the next block."""
+    n, ends, open_at = len(raw), {}, {}
+    for i, (kind, tag, attrs) in enumerate(raw):
+        if tag in INERT and kind == "open":
+            if tag == "svg" and attrs.endswith("/"):
+                ends[i] = i + 1
+            else:
+                open_at.setdefault(tag, []).append(i)
+        elif kind == "close" and open_at.get(tag):
+            ends[open_at[tag].pop()] = i + 1
+    block = lambda i: raw[i][0] != "text" and raw[i][1] in BLOCKS and raw[i][1] != "title"
+
+    def end(i: int) -> int:
+        if i in ends:
+            return ends[i]
+        i += 1
+        while i < n and not block(i):
+            i += 1
+        return i
+
+    out, i = [], 0
+    while i < n:
+        kind, tag, _ = raw[i]
+        if kind == "open" and tag in INERT:
+            i = end(i)
+        elif kind == "open" and tag == "head":
+            title, text, i = False, -1, i + 1
+            while i < n and not block(i):
+                kind, tag, _ = raw[i]
+                if (kind, tag) == ("close", "head"):
+                    break
+                if kind == "open" and tag in INERT:
+                    i = end(i)
+                    continue
+                if kind == "text":
+                    text = i if text < 0 and not title and tag.strip() else text
+                elif tag == "title":
+                    title = kind == "open"
+                i += 1
+            if i < n and raw[i][1] == "head":
+                i += 1
+            elif text >= 0 and not (i < n and raw[i][:2] == ("open", "body")):
+                i = text
+        else:
+            out.append(raw[i])
+            i += 1
+    return out
+
+
 def tokens(page: str) -> list[tuple[str, str, bool]]:
     """(kind, text, inside the article): kinds are "<tag" for tags, "#context" for text, "!" for what is left out."""
     raw: list[tuple[str, str, str]] = []  # (open, close or text; tag or text; attributes)
@@ -78,6 +131,7 @@ def tokens(page: str) -> list[tuple[str, str, bool]]:
             continue
     if at < len(page):
         raw.append(("text", page[at:], ""))
+    raw = _without_inert(raw)
     # where each element that is left out ends: at its own close, else at the first close of a block around it
     out: list[tuple[str, str, bool]] = []
     inside, link, item, head = 0, 0, 0, 0

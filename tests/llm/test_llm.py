@@ -381,6 +381,23 @@ def test_main_text_of_odd_pages(page, want):
     assert html_text.extract(page, {}) == want
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<html><head><title>t</title><script>'<p>no'</script><body><p>Hello big world</p></body></html>", "Hello big world"),
+        ("<head><title>t</title><meta x><p>Hello big world</p>", "Hello big world"),
+        ("<head><title>t</title>Hello big world", "Hello big world"),
+        ("<head><noscript><p>no</p></noscript><title>t</title></head><p>Hello big world</p>", "Hello big world"),
+        ('<p>Hello <svg class="i"/>big world</p><p>and more</p>', "Hello big world\nand more"),
+        ("<p>Hello big world</p><p>one <svg><title>no</title><path></p><p>and more</p><svg>no</svg>", "Hello big world\none\nand more"),
+        *[(f"<p>Hello big world</p><{tag} a='b'>no<p>and more</p>", "Hello big world\nand more") for tag in ("template", "noscript", "iframe")],
+        ("<p>Hello big world</p><template><p>no</p></template><p>and more</p>", "Hello big world\nand more"),
+    ],
+)
+def test_main_text_after_elements_never_closed(page, want):
+    assert html_text.extract(page, {}) == want
+
+
 def test_odd_tables_for_columns(spark):
     df = frame(spark, ODD)
     assert free_name(df, "SCORE") == "SCORE_"
