@@ -29,7 +29,7 @@ from .sampling import stratified
 PER_LABEL = 700
 BUCKETS = 1 << 16
 ORDERS = (1, 2, 3)
-CHUNK = 1 << 20
+CHUNK = 1 << 17
 #: Least difference of the two best languages' shares; below it a text is ambiguous.
 AMBIGUOUS = 0.02
 UNDETERMINED = "und"

@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 from .common import materialise, small_batches
 
 TRIGGER = 24
-CHUNK = 1 << 20
+CHUNK = 1 << 17
 _NULL = -(1 << 63)
 _BASE = 0xD1342543DE82EF95
 _RNG = np.random.default_rng(77)
