@@ -1,7 +1,8 @@
-"""Shared plumbing: table reading, the shared folder, batch sizing, split hash."""
+"""Shared plumbing: table reading, the shared folder, batch sizing, split hash, joins with hot keys."""
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -10,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of Arrow data handed to a Python worker at once.
 BATCH_BYTES = 2 << 20
+#: A key with more than this share of the rows is split in a join.
+HOT_SHARE = 256
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,25 +20,58 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession, n_bytes: int = BATCH_BYTES) -> None:
-    """Bound Arrow batches by bytes, so a few very long texts cannot fill a worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(n_bytes))
+    """Bound Arrow batches by bytes, so a few long texts cannot fill a worker.
+
+    Plans read the setting when they run, so it has to stay; it is only ever lowered."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name)) > n_bytes:
+        spark.conf.set(name, str(n_bytes))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder under ``spark.checkpoint.dir``; a temporary one where that is unset (tests)."""
+    """A new folder under ``spark.checkpoint.dir``.  Where that is unset a local master gets a temporary
+    one; a cluster gets an error, as its executors would write to disks of their own."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = getattr(shared_dir, "fallback", None) or tempfile.mkdtemp(prefix="antiphon-")
         shared_dir.fallback = base
     return f"{base.rstrip('/')}/antiphon-{uuid.uuid4().hex}"
 
 
+def _hadoop(spark: SparkSession, folder: str):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def materialise(df: DataFrame, name: str = "t") -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
+    """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors.
+
+    The folder goes when the session ends, or with ``discard``."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    parent, fs = _hadoop(spark, path.rpartition("/")[0])
+    fs.deleteOnExit(parent)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._antiphon_folder = path.rpartition("/")[0]
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete what ``materialise`` wrote for these tables; nothing may read them any more."""
+    for df in tables:
+        if folder := getattr(df, "_antiphon_folder", None):
+            path, fs = _hadoop(df.sparkSession, folder)
+            fs.delete(path, True)
+
+
+def release_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans that nothing refers to any more: it does so when the
+    driver collects garbage, which a small driver heap may not need for long."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def fold(doc_id: str | Column) -> Column:
@@ -52,6 +88,20 @@ def free_name(df: DataFrame, base: str) -> str:
     return base
 
 
+def salted_join(left: DataFrame, right: DataFrame, keys: list[str], size: str, total: int, spread: str, how: str = "inner") -> DataFrame:
+    """``left`` joined to ``right`` (one row a key), with hot keys dealt over tasks.
+
+    ``right`` has in ``size`` how many rows of ``left`` (``total`` in all) its key has.  At most HOT_SHARE
+    keys can have more than a HOT_SHARE-th of the rows, which bounds the broadcast; those are split into
+    parts by a hash of ``spread``, and their row of ``right`` is repeated for each part."""
+    limit = max(1000, total // HOT_SHARE)
+    parts = F.ceil(F.col(size) / limit).cast("int")
+    hot = right.filter(F.col(size) > limit).select(*keys, parts.alias("_parts"))
+    left = left.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.pmod(F.xxhash64(spread), F.coalesce("_parts", F.lit(1)).cast("long")).cast("int")).drop("_parts")
+    right = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.greatest(parts, F.lit(1)) - 1)))
+    return left.join(right, [*keys, "_salt"], how).drop("_salt")
+
+
 #: Ids up to which a list of rows to drop is broadcast (16 MB of longs); longer lists are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 

@@ -10,13 +10,16 @@ Corpus order: the parse's suffixes, each cut where its phrase's text ends, are s
 Only a trigger with several phrase texts (the edge of a repeated passage) needs the dictionary's own
 suffixes: there the windows of each phrase text's first place are sorted, again by fingerprint, and all
 but the first of equal windows repeat.  Equal neighbours are what both suffix arrays are read for, and any
-total order puts equal strings side by side, so fingerprints (128 bits) stand for the strings' own order,
-and no phrase or group of copies ever has to be in one task.
+total order puts equal strings side by side, so fingerprints stand for the strings' own order, and no
+phrase or group of copies ever has to be in one task.  Phrases are compared by 96 bits beside the 64 of
+their trigger, windows by 128; bytes are not compared again.
 
 Order of places: smaller id, then (for rows of one id with different texts) a hash of the text, then
 start.  Rows equal in id and text are one document and get equal results.  A null id sorts first.  Null
-and empty texts, and texts shorter than ``length``, lose nothing.  An empty table gives no rows; other
-columns are ignored.
+and empty texts, and texts shorter than ``length``, lose nothing.  Texts are parsed in parts of CHUNK
+bytes that continue each other's phrases, so a very long one takes the memory of a part beside its own
+bytes.  A task remembers SEEN phrases, so that of many copies it sends on one.  An empty table gives no
+rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,9 +30,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import materialise, small_batches
+from .common import materialise, release_shuffles, small_batches
 
 TRIGGER = 24
 CHUNK = 1 << 17
@@ -40,11 +42,12 @@ _CODE = _RNG.integers(1, 1 << 63, (2, 256), dtype=np.uint64)
 _ROWS = "route long, p binary"
 _SPANS = "id long, h long, a int, b int, kind byte"
 PLACE, REMOVED, ASK = 0, 1, 2
-#: Bytes up to which a table of documents' stretches is broadcast to the texts; beyond, the texts are shuffled.
-BROADCAST_BYTES = 32 << 20
-#: Big-endian fields of a row's bytes, so that rows sort by kind, e, id, h, t: name -> (offset, width).
-_FIELDS = {"kind": (0, 1), "e": (1, 6), "id": (7, 8), "h": (15, 8), "t": (23, 5), "a": (28, 5), "b": (33, 2), "left": (35, 3), "right": (38, 3)}
-_WIDTH = 41
+#: Phrases that a task remembers (a table by hash, the latest stays): a power of two.
+SEEN = 1 << 17
+#: Big-endian fields of a row's bytes, so that rows sort by kind, e, f, id, h, t: name -> (offset, width).
+_FIELDS = {"kind": (0, 1), "e": (1, 8), "f": (9, 4), "id": (13, 8), "h": (21, 8), "t": (29, 5), "a": (34, 5), "b": (39, 2), "left": (41, 3), "right": (44, 3)}
+_WIDTH = 47
+_TEXT, _FROM = slice(1, 13), slice(13, 34)
 _POWER: list[np.ndarray] = []
 
 
@@ -161,19 +164,47 @@ def _rows_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return np.asarray(batch.column(0)), data.reshape(-1, _WIDTH)
 
 
-def _local(x, e, ids, hs, doc, t, a, b, left=None, right=None) -> Iterator[pa.RecordBatch]:
-    """Rows of one batch: the first place of each (x, e), and what the others remove, merged."""
-    e = e >> np.uint64(16)
-    by = np.lexsort((t, hs[doc], ids[doc], e, x))
-    x, e, doc, t, a, b = (v[by] for v in (x, e, doc, t, a, b))
+class Seen:
+    """Phrases that a task has sent on, with their places; of a later copy only the removal is sent."""
+
+    def __init__(self):
+        self.rows = [np.zeros(SEEN, np.uint64) for _ in range(3)]  # x, e, f; x is 0 where nothing is held
+        self.place = [np.zeros(SEEN, np.int64) for _ in range(3)]  # id, h, t
+
+    def again(self, key: tuple[np.ndarray, ...], place: tuple[np.ndarray, ...]) -> np.ndarray:
+        """Which rows come after a place of the same phrase that has been sent; the others are remembered."""
+        slot = ((key[0] ^ key[1]) & np.uint64(SEEN - 1)).astype(np.int64)
+        same = key[0] != 0
+        for mine, theirs in zip(self.rows, key):
+            same &= mine[slot] == theirs
+        after, tied = np.zeros(len(slot), bool), np.ones(len(slot), bool)
+        for mine, theirs in zip(self.place, place):
+            after |= tied & (theirs > mine[slot])
+            tied &= theirs == mine[slot]
+        out = same & after
+        new = np.flatnonzero(~out)
+        for mine, theirs in zip([*self.rows, *self.place], [*key, *place]):
+            mine[slot[new]] = theirs[new]
+        return out
+
+
+def _local(x, e, f, ids, hs, doc, t, a, b, left=None, right=None, seen: Seen | None = None) -> Iterator[pa.RecordBatch]:
+    """Rows of one batch: the first place of each (x, e, f), and what the others remove, merged."""
+    f = f >> np.uint64(32)
+    by = np.lexsort((t, hs[doc], ids[doc], f, e, x))
+    x, e, f, doc, t, a, b = (v[by] for v in (x, e, f, doc, t, a, b))
     first = np.ones(len(x), bool)
-    first[1:] = (x[1:] != x[:-1]) | (e[1:] != e[:-1])
+    first[1:] = (x[1:] != x[:-1]) | (e[1:] != e[:-1]) | (f[1:] != f[:-1])
     group = np.cumsum(first) - 1
     head = np.flatnonzero(first)[group]
     again = ~first & ((ids[doc] != ids[doc[head]]) | (hs[doc] != hs[doc[head]]) | (t != t[head]))
     keep = np.flatnonzero(first)
+    if seen is not None and len(keep):
+        held = seen.again((x[keep], e[keep], f[keep]), (ids[doc[keep]], hs[doc[keep]], t[keep]))
+        again[keep[held]] = True
+        keep = keep[~held]
     more = {} if left is None else {"left": left[by][keep], "right": right[by][keep]}
-    yield _record(x[keep], _pack(len(keep), e=e[keep], id=ids[doc[keep]], h=hs[doc[keep]], t=t[keep], a=a[keep], b=b[keep] - a[keep], **more))
+    yield _record(x[keep], _pack(len(keep), e=e[keep], f=f[keep], id=ids[doc[keep]], h=hs[doc[keep]], t=t[keep], a=a[keep], b=b[keep] - a[keep], **more))
     d, a, b = _merged(doc[again], a[again], b[again])
     if len(d):
         with np.errstate(over="ignore"):
@@ -181,62 +212,109 @@ def _local(x, e, ids, hs, doc, t, a, b, left=None, right=None) -> Iterator[pa.Re
         yield _record(route, _pack(len(d), kind=np.full(len(d), REMOVED), id=ids[d], h=hs[d], t=b, a=a))
 
 
-def _chunks(texts: list[bytes]) -> Iterator[tuple[int, int]]:
-    k = 0
-    while k < len(texts):
-        end, n = k, 0
-        while end < len(texts) and (end == k or n + len(texts[end]) <= CHUNK):
-            n += len(texts[end])
-            end += 1
-        yield k, end
-        k = end
-
+def _parts(texts: list[bytes], chunk: int) -> Iterator[list[tuple[int, int, int]]]:
+    """Lists of (text's number, first byte, end) of about ``chunk`` bytes in all; a longer text has the last
+    part of a list to itself, which the caller continues."""
+    held, n = [], 0
+    for k, text in enumerate(texts):
+        if held and n + len(text) > chunk:
+            yield held
+            held, n = [], 0
+        held.append((k, 0, len(text)))
+        n += len(text)
+    if held:
+        yield held
+
+
+def _phrase_rows(texts: list[bytes], part: list[tuple[int, int, int]], length: int) -> tuple[np.ndarray, ...]:
+    """Rows (x, e, f, doc, t, a, b, left, right) of the phrases of windows in stretches of texts."""
+    width = min(TRIGGER, length)
+    half = (length - width) // 2
+    doc_of, lo, hi = (np.array(v) for v in zip(*part))
+    full = np.array([len(texts[k]) for k in doc_of])
+    from_, to = np.maximum(lo - half, 0), np.minimum(hi + half, full)  # with what may stand beside a trigger
+    size = to - from_
+    base = np.cumsum(size) - size
+    data = Bytes(np.frombuffer(b"".join(texts[k][i:j] for k, i, j in zip(doc_of, from_, to)), np.uint8))
+    own, t, a, b = phrases(data, base + lo - from_, base + hi - from_, length)
+    x = data.hash(t, t + width, 1)
+    e = _mix(data.hash(a, b, 0) + (t - a).astype(np.uint64) * np.uint64(_BASE) + (b - a).astype(np.uint64))
+    f = data.hash(a, b, 1)
+    sides = []
+    for lo_at, hi_at in ((t - half, t + width), (t, t + width + half)):
+        fits = (lo_at >= base[own]) & (hi_at <= (base + size)[own])
+        side = data.hash(np.where(fits, lo_at, base[own]), np.where(fits, hi_at, base[own]), 1) >> np.uint64(40)
+        sides.append(np.where(fits, np.maximum(side, np.uint64(1)), np.uint64(0)))
+    shift = (from_ - base)[own]
+    return (x, e, f, doc_of[own], t + shift, a + shift, b + shift, *sides)
+
+
+def _parse(length: int, chunk: int):
+    def rows_of(texts: list[bytes]) -> Iterator[tuple[np.ndarray, ...]]:
+        for part in _parts(texts, chunk):
+            k, lo, end = part[0]
+            if end <= chunk:
+                yield _phrase_rows(texts, part, length)
+                continue
+            while lo < end:  # its last phrase may go on: the next part starts with it
+                hi = min(end, lo + max(chunk, 8 * length))
+                got = _phrase_rows(texts, [(k, lo, hi)], length)
+                if hi < end:
+                    got = tuple(v[:-1] for v in got) if len(got[0]) > 1 else got
+                    lo = int(got[6][-1]) - length + 1  # the window after the last one of the rows
+                else:
+                    lo = end
+                yield got
 
-def _parse(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = Seen()
         for batch in batches:
             ids, hs = (np.asarray(batch.column(k)) for k in (0, 1))
-            texts = batch.column(2).to_pylist()
-            got = []
-            for lo, hi in _chunks(texts):
-                part = texts[lo:hi]
-                size = np.array([len(p) for p in part])
-                begin = np.cumsum(size) - size
-                data = Bytes(np.frombuffer(b"".join(part), np.uint8))
-                doc, t, a, b = phrases(data, begin, begin + size, length)
-                x = data.hash(t, t + min(TRIGGER, length), 1)
-                e = _mix(data.hash(a, b, 0) + (t - a).astype(np.uint64) * np.uint64(_BASE) + (b - a).astype(np.uint64))
-                base, width = begin[doc], min(TRIGGER, length)
-                half = (length - width) // 2
-                sides = []
-                for lo_at, hi_at in ((t - half, t + width), (t, t + width + half)):
-                    fits = (lo_at >= base) & (hi_at <= base + size[doc])
-                    side = data.hash(np.where(fits, lo_at, base), np.where(fits, hi_at, base), 1) >> np.uint64(40)
-                    sides.append(np.where(fits, np.maximum(side, np.uint64(1)), np.uint64(0)))
-                got.append((x, e, doc + lo, t - base, a - base, b - base, *sides))
-            if got:
-                x, e, doc, t, a, b, left, right = (np.concatenate(v) for v in zip(*got))
-                if len(x):
-                    yield from _local(x, e, ids, hs, doc, t, a, b, left, right)
+            held: list[tuple[np.ndarray, ...]] = []
+            for got in rows_of(batch.column(2).to_pylist()):
+                held.append(got)
+                if sum(len(g[0]) for g in held) * 30 > 8 * chunk:
+                    yield from emit(held, ids, hs, seen)
+                    held = []
+            if held:
+                yield from emit(held, ids, hs, seen)
+
+    def emit(held, ids, hs, seen) -> Iterator[pa.RecordBatch]:
+        x, e, f, doc, t, a, b, left, right = (np.concatenate(v) for v in zip(*held))
+        if len(x):
+            yield from _local(x, e, f, ids, hs, doc, t, a, b, left, right, seen)
 
     return run
 
 
-def _windows(length: int):
+def _stretches(asks: np.ndarray, chunk: int) -> Iterator[np.ndarray]:
+    """Rows (a, b), in order of a, that lie within ``chunk`` bytes."""
+    i = 0
+    while i < len(asks):
+        j = max(i + 1, int(np.searchsorted(asks[:, 0], asks[i, 0] + chunk)))
+        yield asks[i:j]
+        i = j
+
+
+def _windows(length: int, chunk: int):
     """Windows that start in the asked stretches, as rows of their own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, hs = (np.asarray(batch.column(k)) for k in (0, 1))
             for i in range(batch.num_rows):
-                raw = np.frombuffer(batch.column(2)[i].as_py(), np.uint8)
-                asks = batch.column(3)[i].values
-                data = Bytes(raw)
-                starts = np.unique(np.concatenate([np.arange(a, b - length + 1) for a, b in zip(asks.field(0).to_pylist(), asks.field(1).to_pylist())]))
-                for lo in range(0, len(starts), 1 << 18):
-                    p = starts[lo : lo + (1 << 18)]
+                raw = np.frombuffer(_unzipped(batch.column(2)[i].as_py(), batch.column(3)[i].as_py()), np.uint8)
+                asks = batch.column(4)[i].values
+                asks = np.stack([np.asarray(asks.field(0)), np.asarray(asks.field(1))], 1).astype(np.int64)
+                for part in _stretches(asks[np.argsort(asks[:, 0], kind="stable")], chunk):
+                    lo = int(part[0, 0])
+                    data = Bytes(raw[lo : int(part[:, 1].max())])
+                    wanted = np.zeros(len(data.raw) + 1, np.int64)
+                    np.add.at(wanted, part[:, 0] - lo, 1)
+                    np.add.at(wanted, part[:, 1] - lo - length + 1, -1)
+                    p = np.flatnonzero(np.cumsum(wanted) > 0)
                     x, e = data.hash(p, p + length, 1), data.hash(p, p + length, 0)
-                    yield from _local(x, e, ids, hs, np.full(len(p), i), p, p, p + length)
+                    yield from _local(x, e, np.zeros(len(p), np.uint64), ids, hs, np.full(len(p), i), p + lo, p + lo, p + lo + length)
 
     return run
 
@@ -252,21 +330,29 @@ def _shared(route: np.ndarray, side: np.ndarray) -> np.ndarray:
     return out
 
 
-def _read_order(ask: bool):
+def _read_order(ask: bool, length: int):
     """Read rows in order of (route, kind, e, id, h, t): what is not the first of its (route, e) is removed.
 
     With ``ask``, the first places of a route with several e are asked about if they share the bytes on the
-    left or on the right of the trigger: a window has half of its other bytes on one side.  (Of a route
-    that runs over a batch's end, all are asked about.)  Keeps one open route's state."""
+    left or on the right of the trigger: a window has half of its other bytes on one side, so only windows
+    with a shared side are asked for.  (Of a route that runs over a batch's end, all are.)  Keeps one open
+    route's state."""
+
+    half = (length - min(TRIGGER, length)) // 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple[np.ndarray, np.ndarray] | None = None  # of the open route: its first row, and the first row of its last e
         asked_open = False
         names = ["id", "h", "a", "b", "kind"]
 
-        def record(rows: np.ndarray, kind: int) -> pa.RecordBatch:
-            a = _field(rows, "a")
-            b = _field(rows, "t") if kind < 0 else a + _field(rows, "b")
+        def record(rows: np.ndarray, kind: int, sides: tuple[np.ndarray, np.ndarray] | None = None) -> pa.RecordBatch:
+            a, t = _field(rows, "a"), _field(rows, "t")
+            b = t if kind < 0 else a + _field(rows, "b")
+            if sides is not None:  # windows from t - half on do not hold the left side, those before not the right one
+                a = np.where(sides[0], a, np.maximum(a, t - half + 1))
+                b = np.where(sides[1], b, np.minimum(b, t - half + length))
+                some = b - a >= length
+                rows, a, b = rows[some], a[some], b[some]
             return pa.RecordBatch.from_arrays([pa.array(_field(rows, "id")), pa.array(_field(rows, "h")), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32)), pa.array(np.full(len(rows), abs(kind)), pa.int8())], names=names)
 
         for batch in batches:
@@ -289,10 +375,10 @@ def _read_order(ask: bool):
             new_route = np.ones(n, bool)
             new_route[1:] = route[1:] != route[:-1]
             first = new_route.copy()
-            first[1:] |= (rows[1:, 1:7] != rows[:-1, 1:7]).any(1)
+            first[1:] |= (rows[1:, _TEXT] != rows[:-1, _TEXT]).any(1)
             head = np.flatnonzero(first)[np.cumsum(first) - 1]
             again = np.flatnonzero(~first)
-            again = again[(rows[again, 7:28] != rows[head[again], 7:28]).any(1)]
+            again = again[(rows[again, _FROM] != rows[head[again], _FROM]).any(1)]
             again = again[again >= ghosts]
             if len(again):
                 yield record(rows[again], REMOVED)
@@ -304,12 +390,14 @@ def _read_order(ask: bool):
                 if ghosts:  # a ghost was asked about before if its route had several e then
                     want[:ghosts] &= not asked_open
                     closed[: run_at[1] if len(run_at) > 1 else n] = False
+                left, right = want.copy(), want.copy()
                 pick = np.flatnonzero(want & closed)
                 if len(pick):
-                    both = _shared(route[pick], _field(rows[pick], "left")) | _shared(route[pick], _field(rows[pick], "right"))
-                    want[pick[~both]] = False
+                    left[pick] = _shared(route[pick], _field(rows[pick], "left"))
+                    right[pick] = _shared(route[pick], _field(rows[pick], "right"))
+                    want = left | right
                 if want.any():
-                    yield record(rows[want], ASK)
+                    yield record(rows[want], ASK, (left[want], right[want]))
                 asked_open = bool(several[-1]) or (asked_open and ghosts > 0 and len(run_at) == 1)
             keep = sorted({int(np.flatnonzero(new_route)[-1]), int(head[-1])})
             held = (route[keep], rows[keep])
@@ -322,56 +410,67 @@ def _ordered(rows: DataFrame) -> DataFrame:
     return rows.repartition(n, "route").sortWithinPartitions("route", "p")
 
 
-def repeated(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id, text (binary), spans (array of byte stretches (a, b): maximal, in order) to remove."""
+def _zipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts compressed for the way: (id, h, text) to (id, h, z, n)."""
+    codec = pa.Codec("zstd", 1)
+    for b in batches:
+        texts = b.column(2).to_pylist()
+        z = pa.array([codec.compress(t, asbytes=True) if t else b"" for t in texts], pa.binary())
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), z, pa.array([len(t) for t in texts], pa.int64())], names=["id", "h", "z", "n"])
+
+
+def _unzipped(z: bytes, n: int) -> bytes:
+    return pa.Codec("zstd").decompress(z, n, asbytes=True) if n else b""
+
+
+def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, z, n, gone) to (id, n_bytes, spans, kept): the stretches merged, and the bytes outside them."""
+    kind = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
+    for batch in batches:
+        spans, kept = [], []
+        for z, n, gone in zip(batch.column(1), batch.column(2), batch.column(3)):
+            text, merged = _unzipped(z.as_py(), n.as_py()), []
+            if gone.is_valid:
+                v = gone.values
+                a, b = np.asarray(v.field(0)), np.asarray(v.field(1))
+                _, a, b = _merged(np.zeros(len(a), np.int64), a, b)
+                merged = list(zip(a.tolist(), b.tolist()))
+            at, out = 0, []
+            for a, b in merged:
+                out.append(text[at:a])
+                at = b
+            kept.append(b"".join([*out, text[at:]]))
+            spans.append([{"a": a, "b": b} for a, b in merged])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(spans, kind), pa.array(kept, pa.binary())], names=["id", "n_bytes", "spans", "kept"])
+
+
+def repeated(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
+    """Per row: id, n_bytes, spans (array of byte stretches (a, b) to remove: maximal, in order), kept (the other bytes)."""
     if not 2 <= length <= 30_000:
         raise ValueError("length must be 2 to 30000")
-    small_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    small_batches(spark)
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL).cast("long"))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     unique = not docs.groupBy(key.alias("id")).agg(F.count("*").alias("n")).filter("n > 1").limit(1).count()
-    src = docs.select(key.alias("id"), (F.lit(0).cast("long") if unique else F.xxhash64(text)).alias("h"), text.cast("binary").alias("text"), F.col(id_col).alias("own"))
-    rows = src.select("id", "h", "text").filter(F.octet_length("text") >= length).mapInArrow(_parse(length), _ROWS)
-    spans = materialise(_ordered(rows).mapInArrow(_read_order(True), _SPANS), "spans")
+    src = docs.select(key.alias("id"), (F.lit(0).cast("long") if unique else F.xxhash64(text)).alias("h"), text.cast("binary").alias("text"))
+    texts = src.mapInArrow(_zipped, "id long, h long, z binary, n long")
+    rows = src.filter(F.octet_length("text") >= length).mapInArrow(_parse(length, chunk), _ROWS)
+    spans = materialise(_ordered(rows).mapInArrow(_read_order(True, length), _SPANS), "spans")
+    release_shuffles(spark)
 
     asks = spans.filter(F.col("kind") == ASK).groupBy("id", "h").agg(F.collect_list(F.struct("a", "b")).alias("asks"))  # a document's own phrases
-    asks = _sized(materialise(asks, "asks"), "asks")
-    edges = src.select("id", "h", "text").join(asks, ["id", "h"]).select("id", "h", "text", "asks")
+    edges = texts.filter(F.col("n") >= length).join(asks, ["id", "h"]).select("id", "h", "z", "n", "asks")
     if not unique:
         edges = edges.dropDuplicates(["id", "h"])
-    windows = _ordered(edges.mapInArrow(_windows(length), _ROWS)).mapInArrow(_read_order(False), _SPANS)
-    gone = spans.filter(F.col("kind") == REMOVED).union(windows).groupBy("id", "h").agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("gone"))
-    start = F.array().cast("array<struct<a:int,b:int>>")
-    gone = _merged_spans(gone)
-    gone = _sized(materialise(gone, "gone"), "spans")
-    return src.join(gone, ["id", "h"], "left").select(F.col("own").alias(id_col), F.col("text"), F.coalesce("spans", start).alias("spans"))
-
-
-def _sized(df: DataFrame, array: str) -> DataFrame:
-    """With a broadcast hint if the table is small enough to send to every executor."""
-    size = df.agg(F.coalesce(F.sum(F.size(array) * 16 + 64), F.lit(0)).alias("n")).first().n
-    return F.broadcast(df) if size <= BROADCAST_BYTES else df
-
-
-def _merged_spans(gone: DataFrame) -> DataFrame:
-    """(id, h, spans): the unions of each document's stretches ``gone``, which are in order."""
-    start = F.array().cast("array<struct<a:int,b:int>>")
-    merge = F.aggregate(
-        "gone", F.struct(start.alias("out"), F.lit(-1).alias("a"), F.lit(-1).alias("b")),
-        lambda s, x: F.when(s["a"] < 0, F.struct(s["out"].alias("out"), x["a"].alias("a"), x["b"].alias("b"))).when(x["a"] <= s["b"], F.struct(s["out"].alias("out"), s["a"].alias("a"), F.greatest(s["b"], x["b"]).alias("b"))).otherwise(F.struct(F.concat(s["out"], F.array(F.struct(s["a"].alias("a"), s["b"].alias("b")))).alias("out"), x["a"].alias("a"), x["b"].alias("b"))),
-        lambda s: F.concat(s["out"], F.array(F.struct(s["a"].alias("a"), s["b"].alias("b")))),
-    )
-    return gone.select("id", "h", merge.alias("spans"))
-
-
-def kept_bytes(text_col: str = "text", spans_col: str = "spans"):
-    """The bytes outside the spans, one after another."""
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<binary>").alias("out"))
-    text = F.col(text_col)
-    parts = F.aggregate(spans_col, start, lambda s, x: F.struct(x["b"].alias("at"), F.concat(s["out"], F.array(F.substring(text, s["at"] + 1, x["a"] - s["at"]))).alias("out")), lambda s: F.concat(s["out"], F.array(F.substring(text, s["at"] + 1, F.octet_length(text)))))
-    return F.aggregate(parts, F.lit(b""), lambda s, x: F.concat(s, x))
+    windows = materialise(_ordered(edges.mapInArrow(_windows(length, chunk), _ROWS)).mapInArrow(_read_order(False, length), _SPANS), "windows")
+    release_shuffles(spark)
+    gone = spans.filter(F.col("kind") == REMOVED).union(windows).groupBy("id", "h").agg(F.collect_list(F.struct("a", "b")).alias("gone"))
+    out = texts.join(gone, ["id", "h"], "left").select("id", "z", "n", "gone").mapInArrow(_kept, "id long, n_bytes long, spans array<struct<a:int,b:int>>, kept binary")
+    own = F.when(F.col("id") != _NULL, F.col("id")).cast(docs.schema[id_col].dataType)
+    return out.select(own.alias(id_col), "n_bytes", "spans", "kept")
 
 
 def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x["b"] - x["a"])
-    return found.select(id_col, F.octet_length("text").cast("long").alias("n_bytes"), removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2(kept_bytes(), 256).alias("kept_sha256"))
+    return found.select(id_col, "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
