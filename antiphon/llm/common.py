@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -69,9 +70,12 @@ def discard(*tables: DataFrame) -> None:
 
 def release_shuffles(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of plans that nothing refers to any more: it does so when the
-    driver collects garbage, which a small driver heap may not need for long."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    driver collects garbage, which a small driver heap may not need for long.  What the first round frees
+    holds more, so there are three."""
+    for _ in range(3):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.2)
 
 
 def fold(doc_id: str | Column) -> Column:

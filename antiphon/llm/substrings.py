@@ -11,7 +11,7 @@ Only a trigger with several phrase texts (the edge of a repeated passage) needs
 suffixes: there the windows of each phrase text's first place are sorted, again by fingerprint, and all
 but the first of equal windows repeat.  Equal neighbours are what both suffix arrays are read for, and any
 total order puts equal strings side by side, so fingerprints stand for the strings' own order, and no
-phrase or group of copies ever has to be in one task.  Phrases are compared by 96 bits beside the 64 of
+phrase or group of copies ever has to be in one task.  Phrases are compared by 96 bits beside the 32 of
 their trigger, windows by 128; bytes are not compared again.
 
 Order of places: smaller id, then (for rows of one id with different texts) a hash of the text, then
@@ -45,8 +45,9 @@ PLACE, REMOVED, ASK = 0, 1, 2
 #: Phrases that a task remembers (a table by hash, the latest stays): a power of two.
 SEEN = 1 << 17
 #: Big-endian fields of a row's bytes, so that rows sort by kind, e, f, id, h, t: name -> (offset, width).
-_FIELDS = {"kind": (0, 1), "e": (1, 8), "f": (9, 4), "id": (13, 8), "h": (21, 8), "t": (29, 5), "a": (34, 5), "b": (39, 2), "left": (41, 3), "right": (44, 3)}
-_WIDTH = 47
+#: A place's stretch runs from t - back on for ``many`` bytes; a removed one from t on for e bytes.
+_FIELDS = {"kind": (0, 1), "e": (1, 8), "f": (9, 4), "id": (13, 8), "h": (21, 8), "t": (29, 5), "back": (34, 2), "many": (36, 2), "left": (38, 2), "right": (40, 2)}
+_WIDTH = 42
 _TEXT, _FROM = slice(1, 13), slice(13, 34)
 _POWER: list[np.ndarray] = []
 
@@ -131,7 +132,7 @@ def _merged(doc: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray,
 
 
 def _pack(n: int, **values: np.ndarray) -> np.ndarray:
-    """Rows of bytes; ``b`` is kept as its distance from ``a``, in 2 bytes for places."""
+    """Rows of bytes."""
     out = np.zeros((n, _WIDTH), np.uint8)
     for name, v in values.items():
         at, wide = _FIELDS[name]
@@ -190,7 +191,7 @@ class Seen:
 
 def _local(x, e, f, ids, hs, doc, t, a, b, left=None, right=None, seen: Seen | None = None) -> Iterator[pa.RecordBatch]:
     """Rows of one batch: the first place of each (x, e, f), and what the others remove, merged."""
-    f = f >> np.uint64(32)
+    x, f = x >> np.uint64(32), f & np.uint64(0xFFFFFFFF)
     by = np.lexsort((t, hs[doc], ids[doc], f, e, x))
     x, e, f, doc, t, a, b = (v[by] for v in (x, e, f, doc, t, a, b))
     first = np.ones(len(x), bool)
@@ -204,12 +205,12 @@ def _local(x, e, f, ids, hs, doc, t, a, b, left=None, right=None, seen: Seen | N
         again[keep[held]] = True
         keep = keep[~held]
     more = {} if left is None else {"left": left[by][keep], "right": right[by][keep]}
-    yield _record(x[keep], _pack(len(keep), e=e[keep], f=f[keep], id=ids[doc[keep]], h=hs[doc[keep]], t=t[keep], a=a[keep], b=b[keep] - a[keep], **more))
+    yield _record(x[keep], _pack(len(keep), e=e[keep], f=f[keep], id=ids[doc[keep]], h=hs[doc[keep]], t=t[keep], back=t[keep] - a[keep], many=b[keep] - a[keep], **more))
     d, a, b = _merged(doc[again], a[again], b[again])
     if len(d):
         with np.errstate(over="ignore"):
             route = (ids[d] * np.int64(-7046029254386353131)) ^ hs[d]
-        yield _record(route, _pack(len(d), kind=np.full(len(d), REMOVED), id=ids[d], h=hs[d], t=b, a=a))
+        yield _record(route, _pack(len(d), kind=np.full(len(d), REMOVED), id=ids[d], h=hs[d], t=a, e=b - a))
 
 
 def _parts(texts: list[bytes], chunk: int) -> Iterator[list[tuple[int, int, int]]]:
@@ -243,7 +244,7 @@ def _phrase_rows(texts: list[bytes], part: list[tuple[int, int, int]], length: i
     sides = []
     for lo_at, hi_at in ((t - half, t + width), (t, t + width + half)):
         fits = (lo_at >= base[own]) & (hi_at <= (base + size)[own])
-        side = data.hash(np.where(fits, lo_at, base[own]), np.where(fits, hi_at, base[own]), 1) >> np.uint64(40)
+        side = data.hash(np.where(fits, lo_at, base[own]), np.where(fits, hi_at, base[own]), 1) >> np.uint64(48)
         sides.append(np.where(fits, np.maximum(side, np.uint64(1)), np.uint64(0)))
     shift = (from_ - base)[own]
     return (x, e, f, doc_of[own], t + shift, a + shift, b + shift, *sides)
@@ -314,7 +315,7 @@ def _windows(length: int, chunk: int):
                     np.add.at(wanted, part[:, 1] - lo - length + 1, -1)
                     p = np.flatnonzero(np.cumsum(wanted) > 0)
                     x, e = data.hash(p, p + length, 1), data.hash(p, p + length, 0)
-                    yield from _local(x, e, np.zeros(len(p), np.uint64), ids, hs, np.full(len(p), i), p + lo, p + lo, p + lo + length)
+                    yield from _local(x, e, x, ids, hs, np.full(len(p), i), p + lo, p + lo, p + lo + length)
 
     return run
 
@@ -346,8 +347,9 @@ def _read_order(ask: bool, length: int):
         names = ["id", "h", "a", "b", "kind"]
 
         def record(rows: np.ndarray, kind: int, sides: tuple[np.ndarray, np.ndarray] | None = None) -> pa.RecordBatch:
-            a, t = _field(rows, "a"), _field(rows, "t")
-            b = t if kind < 0 else a + _field(rows, "b")
+            t = _field(rows, "t")
+            a = t - _field(rows, "back")
+            b = a + _field(rows, "e" if kind < 0 else "many")
             if sides is not None:  # windows from t - half on do not hold the left side, those before not the right one
                 a = np.where(sides[0], a, np.maximum(a, t - half + 1))
                 b = np.where(sides[1], b, np.minimum(b, t - half + length))
