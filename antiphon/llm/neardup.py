@@ -3,19 +3,23 @@
 A document's set holds its distinct shingles of ``SHINGLE`` words.  Its signature has SYMBOLS b-bit
 MinHash values in CHUNKS chunks.  Two signatures whose distance (symbols that differ) is below
 CHUNKS * (ERRORS + 1) have a chunk with at most ERRORS errors (pigeonhole), and share the key that leaves
-those symbols out; so all pairs under that distance meet.  (Pairs beyond it mostly meet, too: at the
-similarity threshold a pair has no common key with probability 5e-6.)
+those symbols out; so all pairs under that distance meet.  The same distance is what a pair must keep to
+be confirmed: no pair at the similarity threshold misses it but with a probability of 1.2e-7.
 
 Equal sets are one representative, their smallest id.  Keys that only one representative has drop out.
 No bucket's or group's pairs are emitted:
 
 1. A bucket's lead is the member with most companions over all of its keys.  Every representative is
-   compared with the lead it shares most keys with; pairs whose signatures agree in AGREE symbols (5.6
-   standard deviations under what the similarity threshold expects) are connected.
+   compared with the lead it shares most keys with; pairs within the distance are connected.
 2. Buckets that still hold several components are compared by blocks of signatures; a spanning forest of
-   the agreeing pairs connects them.  Every pair that could be similar now lies within one cluster.
-3. A cluster's texts are dealt into blocks; each pair of blocks counts common shingles of all of its pairs
-   on full sets and emits a spanning forest of the confirmed links.  Their components are the groups.
+   the pairs within the distance connects them.  Every pair that could be similar now lies in one cluster.
+3. A cluster's texts are dealt into blocks, its smallest id to each of them.  Within each block common
+   shingles are counted on full sets, and a spanning forest of the confirmed links is emitted.
+4. Of clusters that now have several components all but the largest component are compared, block by
+   block, with each other and with the largest: those are the pairs that could still connect two.
+
+Joins on keys, on equal sets and on clusters deal hot values over tasks.  A block holds about TEXT_BLOCK
+texts and BLOCK_SHINGLES shingles; one text's set must fit a task.
 
 Null, empty and blank texts have an empty set: linked with nothing, and their own component.  Fewer than
 ``SHINGLE`` words make one shingle.  A row with a null id takes no part: its component is null and it is
@@ -32,15 +36,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, small_batches
+from .common import discard, materialise, release_shuffles, salted_join, small_batches
 from .components import components
 
 SHINGLE = 5
-SYMBOLS, CHUNKS, ERRORS = 96, 16, 1
+SYMBOLS, CHUNKS, ERRORS = 96, 24, 1
 BITS = 16
-AGREE = 48
+#: Least symbols that agree where the distance is below what the pigeonhole guarantees.
+AGREE = SYMBOLS - CHUNKS * (ERRORS + 1) + 1
 #: Members of a block of signatures, and of a block of texts.
 BLOCK, TEXT_BLOCK = 1_024, 256
+BLOCK_SHINGLES = 400_000
+#: Bytes of a text hashed at once.
+PART = 1 << 18
 #: Columns of shingles counted at once.
 COLUMNS = 4_096
 
@@ -72,9 +80,8 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0], _POWERS[1]
 
 
-def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the text's word shingles (A-Z as a-z, words by ASCII white space)."""
-    raw = np.frombuffer((text or "").encode("utf-8", "surrogatepass").lower(), np.uint8)
+def _words(raw: np.ndarray) -> np.ndarray:
+    """Hashes of the words of lower-case bytes, in order."""
     word = ~_SPACE[raw]
     if not word.any():
         return np.zeros(0, np.uint64)
@@ -83,7 +90,23 @@ def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
     power, inverse = _powers(len(raw) + 1)
     total = np.zeros(len(raw) + 1, np.uint64)
     np.cumsum(_BYTE[raw] * inverse[: len(raw)], out=total[1:])
-    words = _mix((total[end] - total[start]) * power[start] + (end - start).astype(np.uint64))
+    return _mix((total[end] - total[start]) * power[start] + (end - start).astype(np.uint64))
+
+
+def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the text's word shingles (A-Z as a-z, words by ASCII white space)."""
+    raw = np.frombuffer((text or "").encode("utf-8", "surrogatepass").lower(), np.uint8)
+    parts, at = [], 0
+    while at < len(raw):
+        end = at + PART
+        while end < len(raw) and not _SPACE[raw[end]]:  # parts end between words
+            gap = np.flatnonzero(_SPACE[raw[end : end + 4096]])
+            end = min(len(raw), end + (int(gap[0]) if len(gap) else 4096))
+        parts.append(_words(raw[at:end]))
+        at = end
+    words = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+    if not len(words):
+        return words
     n = max(1, len(words) - size + 1)
     out = np.zeros(n, np.uint64)
     for k in range(min(size, len(words))):
@@ -195,7 +218,7 @@ def _signature_forest(members: DataFrame, reps: DataFrame, labels: DataFrame) ->
     """Pairs (a, b) that connect the components of a bucket by agreeing signatures."""
     now = members.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("key", "rep", F.coalesce("comp", "rep").alias("comp"))
     mixed = now.groupBy("key").agg(F.min("comp").alias("first"), F.max("comp").alias("last"), F.count("*").alias("m")).filter("first < last").select("key", "m")
-    rows = _dealt(now.join(mixed, "key").join(reps.select("rep", "sig"), "rep"), "key", BLOCK)
+    rows = _dealt(salted_join(now, mixed, ["key"], "m", members.count(), "rep").join(reps.select("rep", "sig"), "rep"), "key", BLOCK)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _runs(batches):
@@ -237,23 +260,33 @@ def _common(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _link_forest(clusters: DataFrame, texts: DataFrame, percent: int, size: int) -> DataFrame:
-    """Links (a, b), confirmed on full sets, that span what is linked within each pair of blocks.
+def _linked(sets: list[np.ndarray], percent: int) -> np.ndarray:
+    n = np.array([len(s) for s in sets])
+    both = _common(sets)
+    return 100 * both >= percent * (n[:, None] + n[None] - both)
+
+
+def _blocks(rows: str, shingles: str):
+    return F.ceil(F.greatest(F.col(rows) / TEXT_BLOCK, F.col(shingles) / BLOCK_SHINGLES)).cast("int")
+
+
+def _grouped(rows: DataFrame) -> DataFrame:
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(n, "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "rep")
 
-    ``clusters``: (id, comp); ``texts``: (rep, text)."""
-    total = clusters.groupBy("comp").agg(F.count("*").alias("m"))
-    rows = clusters.join(total, "comp").select(F.col("comp").alias("key"), "m", F.col("id").alias("rep")).join(texts, "rep")
-    rows = _dealt(rows, "key", TEXT_BLOCK)
+
+def _links_within(members: DataFrame, texts: DataFrame, percent: int, size: int) -> DataFrame:
+    """Links (a, b), confirmed on full sets, that span what is linked within each block of a cluster and
+    its smallest id.  ``members``: (key, rep, m, w): a cluster's rows, how many, and their shingles."""
+    nb = _blocks("m", "w")
+    own = F.array(F.pmod(F.xxhash64("rep"), nb.cast("long")).cast("int"))
+    rows = members.withColumn("lo", F.explode(F.when(F.col("rep") == F.col("key"), F.sequence(F.lit(0), nb - 1)).otherwise(own)))
+    rows = _grouped(rows.withColumn("hi", F.lit(0)).join(texts, "rep"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _runs(batches):
-            rep, own = t.column(3).to_numpy(), t.column(4).to_numpy()
-            sets = [shingles(t.column(5)[i].as_py(), size) for i in range(len(rep))]
-            n = np.array([len(s) for s in sets])
-            both = _common(sets)
-            linked = 100 * both >= percent * (n[:, None] + n[None] - both)
-            if t.column(1)[0].as_py() != t.column(2)[0].as_py():
-                linked &= own[:, None] != own[None]
+            rep = t.column(3).to_numpy()
+            linked = _linked([shingles(x.as_py(), size) for x in t.column(4)], percent)
             np.fill_diagonal(linked, False)
             free, a, b = np.ones(len(rep), bool), [], []
             for seed in range(len(rep)):
@@ -270,30 +303,74 @@ def _link_forest(clusters: DataFrame, texts: DataFrame, percent: int, size: int)
             if a:
                 yield _edges(rep, a, b)
 
-    return rows.select("key", "lo", "hi", "rep", "own", "text").mapInArrow(run, "a long, b long").distinct()
+    return rows.select("key", "lo", "hi", "rep", "text").mapInArrow(run, "a long, b long")
+
+
+def _links_between(members: DataFrame, labels: DataFrame, texts: DataFrame, percent: int, size: int) -> DataFrame:
+    """Links (a, b) between different components of one cluster; ``labels``: (id, comp)."""
+    now = members.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("key", "rep", "n", F.coalesce("comp", "rep").alias("comp"))
+    now = materialise(now, "now")
+    parts = now.groupBy("key", "comp").agg(F.count("*").alias("m"), F.sum("n").alias("w"))
+    top = parts.groupBy("key").agg(F.max(F.struct("m", "w", "comp")).alias("top"), F.sum("m").alias("m"), F.sum("w").alias("w"), F.count("*").alias("comps")).filter("comps > 1")
+    top = top.select("key", "m", F.col("top.comp").alias("most"), F.col("top.m").alias("tm"), F.col("top.w").alias("tw"), (F.col("m") - F.col("top.m")).alias("rm"), (F.col("w") - F.col("top.w")).alias("rw"))
+    rest, big = _blocks("rm", "rw"), _blocks("tm", "tw")
+    # blocks 0 to rest - 1 hold the other components, those after them the largest one
+    rows = salted_join(now, top, ["key"], "m", now.count(), "rep").withColumn("nr", rest).withColumn("nt", big).withColumn("isrest", F.col("comp") != F.col("most"))
+    rows = rows.withColumn("own", F.when(F.col("isrest"), F.pmod(F.xxhash64("rep"), F.col("nr").cast("long"))).otherwise(F.col("nr") + F.pmod(F.xxhash64("rep"), F.col("nt").cast("long"))).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("isrest"), F.col("nr") + F.col("nt")).otherwise(F.col("nr")) - 1)))
+    rows = _grouped(rows.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other")).join(texts, "rep"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _runs(batches):
+            rep, label = t.column(3).to_numpy(), t.column(4).to_numpy().copy()
+            if (label == label[0]).all():
+                continue
+            linked = _linked([shingles(x.as_py(), size) for x in t.column(5)], percent)
+            a, b = [], []
+            for i in range(len(rep)):
+                j = np.flatnonzero(linked[i] & (label != label[i]))
+                for x in np.unique(label[j], return_index=True)[1].tolist():
+                    a.append(i)
+                    b.append(int(j[x]))
+                if len(j):
+                    label[np.isin(label, label[j])] = label[i]
+            if a:
+                yield _edges(rep, a, b)
+
+    return rows.select("key", "lo", "hi", "rep", "comp", "text").mapInArrow(run, "a long, b long")
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, size: int = SHINGLE) -> DataFrame:
     """Per row: id, n_shingles, component_id, kept."""
+    spark = docs.sparkSession
     seen = materialise(features(docs, id_col, text_col, size), "features")
-    equal = seen.filter("n > 0 and id is not null").groupBy("h1", "h2", "n").agg(F.min("id").alias("rep"))
-    placed = materialise(seen.join(equal, ["h1", "h2", "n"], "left").select("id", "n", F.when(F.col("id").isNotNull(), F.col("rep")).alias("rep"), F.when(F.col("id") == F.col("rep"), F.col("sig")).alias("sig")), "placed")
+    equal = materialise(seen.filter("n > 0 and id is not null").groupBy("h1", "h2", "n").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "equal")
+    placed = salted_join(seen, equal, ["h1", "h2", "n"], "copies", seen.count(), "id", "left")
+    placed = materialise(placed.select("id", "n", F.when(F.col("id").isNotNull(), F.col("rep")).alias("rep"), F.when(F.col("id") == F.col("rep"), F.col("sig")).alias("sig")), "placed")
+    discard(seen, equal)
     reps = placed.filter("sig is not null").select("rep", "n", "sig")
 
     rows = _key_rows(reps)
-    shared = rows.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1")
-    members = materialise(rows.join(shared, "key").select("key", "rep", "m"), "members")
+    shared = materialise(rows.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1"), "shared")
+    members = materialise(salted_join(rows, shared, ["key"], "m", SYMBOLS * reps.count(), "rep").select("key", "rep", "m"), "members")
+    discard(shared)
+    release_shuffles(spark)
     mass = members.groupBy("rep").agg(F.sum("m").alias("mass"))
-    weighed = members.join(mass, "rep")
-    lead = weighed.groupBy("key").agg(F.max(F.struct("mass", (-F.col("rep")).alias("neg"))).alias("top"))
-    shared = weighed.join(lead, "key").select(F.col("rep").alias("a"), (-F.col("top.neg")).alias("b"), F.col("top.mass").alias("w")).filter("a <> b").groupBy("a", "b").agg(F.count("*").alias("n"), F.max("w").alias("w"))
-    edges = shared.groupBy("a").agg(F.max(F.struct("n", "w", (-F.col("b")).alias("neg"))).alias("t")).select("a", (-F.col("t.neg")).alias("b"))
+    weighed = members.join(mass, "rep").select("key", "rep", "m", "mass")
+    lead = weighed.groupBy("key").agg(F.max(F.struct("mass", (-F.col("rep")).alias("neg"))).alias("top"), F.max("m").alias("m"))
+    near = salted_join(weighed.drop("m"), lead, ["key"], "m", members.count(), "rep").select(F.col("rep").alias("a"), (-F.col("top.neg")).alias("b"), F.col("top.mass").alias("w")).filter("a <> b").groupBy("a", "b").agg(F.count("*").alias("n"), F.max("w").alias("w"))
+    edges = near.groupBy("a").agg(F.max(F.struct("n", "w", (-F.col("b")).alias("neg"))).alias("t")).select("a", (-F.col("t.neg")).alias("b"))
     near = materialise(_under_distance(edges, reps, percent), "near")
     more = materialise(_signature_forest(members, reps, components(near)), "near")
     clusters = components(near.union(more))
-
-    src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    texts = src.join(clusters.select("id"), "id", "left_semi").select(F.col("id").alias("rep"), "text")
-    labels = components(materialise(_link_forest(clusters, texts, percent, size), "links"))
+    discard(members)
+
+    inside = clusters.select(F.col("comp").alias("key"), F.col("id").alias("rep")).join(reps.select("rep", "n"), "rep")
+    total = inside.groupBy("key").agg(F.count("*").alias("m"), F.sum("n").alias("w"))
+    inside = materialise(salted_join(inside, total, ["key"], "m", clusters.count(), "rep").select("key", "rep", "n", "m", "w"), "inside")
+    texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).cast("string").alias("text"))
+    links = materialise(_links_within(inside, texts, percent, size), "links")
+    links = links.union(materialise(_links_between(inside, components(links), texts, percent, size), "links"))
+    labels = components(links)
     out = placed.select("id", "n", F.coalesce("rep", "id").alias("rep")).join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component_id", F.coalesce("comp", "rep"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
