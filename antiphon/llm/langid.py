@@ -6,9 +6,11 @@ codeword has the least weighted loss wins.  A text whose two best codewords lose
 flagged as ambiguous.  Up to seven languages the code is exhaustive; beyond, it has
 10 * log2(languages) pseudo-random columns.
 
-The model is fitted from at most about ``PER_LABEL`` texts of each language (a documented bound); every
-text is then scored whole.  A null text, or one without a letter, is ``und`` with score 0 and not
-ambiguous.  Without labelled rows every text is ``und``.  Ties go to the language first in order.
+The model is fitted from at most ``PER_LABEL`` texts of each language, none over ``sampling.MAX_BYTES`` long
+(documented bounds); every
+text is then scored whole, in parts of CHUNK characters whose sums add up (cut between letters' runs, so
+that no n-gram is lost, where a run is not longer than that).  A null text, or one without a letter, is
+``und`` with score 0 and not ambiguous.  The sample's n-grams are counted text by text on the driver.  Without labelled rows every text is ``und``.  Ties go to the language first in order.
 Repeated rows get equal answers; an empty table gives no rows; other columns pass through.
 """
 
@@ -24,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import fold, small_batches
-from .sampling import stratified
+from .sampling import short, stratified
 
 PER_LABEL = 700
 BUCKETS = 1 << 16
@@ -34,21 +36,33 @@ CHUNK = 1 << 17
 AMBIGUOUS = 0.02
 UNDETERMINED = "und"
 
-_TABLE: np.ndarray | None = None
+_TABLES: dict[int, np.ndarray] = {}
 
 
-def _letters() -> np.ndarray:
-    """Code point below 0x10000 -> its lower case, 0 where it is no letter."""
-    global _TABLE
-    if _TABLE is None:
-        out = np.zeros(1 << 16, np.uint32)
-        for c in range(1 << 16):
+def _letters(top: int) -> np.ndarray:
+    """Code point below ``top`` -> its lower case, 0 where it is no letter."""
+    if top not in _TABLES:
+        out = np.zeros(top, np.uint32)
+        for c in range(top):
             s = chr(c)
             if s.isalpha():
                 low = s.lower()
                 out[c] = ord(low) if len(low) == 1 else c
-        _TABLE = out
-    return _TABLE
+        _TABLES[top] = out
+    return _TABLES[top]
+
+
+def parts(text: str, size: int = CHUNK) -> Iterator[str]:
+    """Pieces of about ``size`` characters, cut where a run of letters ends if that is near."""
+    at = 0
+    while at < len(text):
+        end = min(len(text), at + size)
+        back = end
+        while back > at + size - 4096 and back > at and end < len(text) and text[back - 1].isalpha():
+            back -= 1
+        end = back if back > max(at, at + size - 4096) else end
+        yield text[at:end]
+        at = end
 
 
 def grams(texts: list[str]) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -56,7 +70,7 @@ def grams(texts: list[str]) -> tuple[np.ndarray, list[np.ndarray]]:
     by start; n-grams over a gap between words get bucket 0, whose weight is 0."""
     raw = np.frombuffer(("\0" + "\0\0".join(texts) + "\0").encode("utf-32-le", "surrogatepass"), np.uint32)
     size = np.array([len(t) + 2 for t in texts])
-    c = np.where(raw < 1 << 16, _letters()[np.minimum(raw, 0xFFFF)], np.where(raw >= 1 << 16, 0, raw)).astype(np.uint32)
+    c = _letters(1 << 16 if not len(raw) or raw.max() < 1 << 16 else 0x110000)[raw]
     at = np.cumsum(size) - size
     edge = np.zeros(len(c), bool)
     edge[at] = True
@@ -109,19 +123,27 @@ class Model:
 
     def margins(self, texts: list[str]) -> np.ndarray:
         """Mean log odds of each bit per text (0 without an n-gram)."""
-        out = np.zeros((len(texts), self.code.shape[1]))
-        k = 0
-        while k < len(texts):
-            end, n = k, 0
-            while end < len(texts) and (end == k or n + len(texts[end]) < CHUNK):
-                n += len(texts[end])
-                end += 1
-            at, hs = grams(texts[k:end])
-            for w, h in zip(self.weights, hs):
-                got = np.add.reduceat(w[h], at, axis=0, dtype=np.float64)
-                out[k:end] += got[:, : out.shape[1]] / np.maximum(1, np.add.reduceat(h > 0, at, dtype=np.int64))[:, None]
-            k = end
-        return out / len(ORDERS)
+        bits = self.code.shape[1]
+        total, many = np.zeros((len(ORDERS), len(texts), bits)), np.zeros((len(ORDERS), len(texts)))
+
+        def add(owner: list[int], pieces: list[str]) -> None:
+            at, hs = grams(pieces)
+            for k, (w, h) in enumerate(zip(self.weights, hs)):
+                np.add.at(total[k], owner, np.add.reduceat(w[h], at, axis=0, dtype=np.float64)[:, :bits])
+                np.add.at(many[k], owner, np.add.reduceat(h > 0, at, dtype=np.int64))
+
+        owner, pieces, n = [], [], 0
+        for i, text in enumerate(texts):
+            for piece in parts(text) if len(text) > CHUNK else (text,):
+                if pieces and n + len(piece) > CHUNK:
+                    add(owner, pieces)
+                    owner, pieces, n = [], [], 0
+                owner.append(i)
+                pieces.append(piece)
+                n += len(piece)
+        if pieces:
+            add(owner, pieces)
+        return (total / np.maximum(1, many)[:, :, None]).mean(0)
 
     def shares(self, texts: list[str]) -> np.ndarray:
         """Loss-weighted decoding: exponential loss of each bit against each codeword, as shares."""
@@ -155,8 +177,12 @@ def fit(texts: list[str], langs: list[str]) -> Model:
     aside = rank % 4 == 3
     counts = [np.zeros((len(names), BUCKETS)) for _ in ORDERS]
     for i in np.flatnonzero(~aside):
-        for c, h in zip(counts, grams([texts[i]])[1]):
-            c[y[i]] += np.bincount(h, minlength=BUCKETS) / max(1, len(h))  # each text counts alike
+        own = [np.zeros(BUCKETS) for _ in ORDERS]
+        for piece in parts(texts[i]):
+            for c, h in zip(own, grams([piece])[1]):
+                c += np.bincount(h, minlength=BUCKETS)
+        for c, o in zip(counts, own):
+            c[y[i]] += o / max(1.0, o.sum())  # each text counts alike
     weights = []
     for c in counts:
         c[:, 0] = 0
@@ -181,9 +207,10 @@ def fit(texts: list[str], langs: list[str]) -> Model:
 
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", per_label: int = PER_LABEL) -> Model:
     """Fit on rows with a language and an id outside the held-out fold."""
-    rows = docs.filter(F.col(lang_col).isNotNull() & (F.coalesce(fold(id_col), F.lit(1)) != 0)).select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"), F.col(id_col).alias("id"))
-    got = stratified(rows, "lang", F.col("id").cast("string"), per_label).select("text", "lang", F.xxhash64("id", "text").alias("h")).collect()
-    got = sorted((r for r in got if r.text), key=lambda r: (r.h, r.lang))
+    text = F.col(text_col).cast("string")
+    learnable = F.col(lang_col).isNotNull() & (F.coalesce(fold(id_col), F.lit(1)) != 0) & short(text)
+    rows = docs.filter(learnable).select(text.alias("text"), F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.col(id_col), text).alias("h"))
+    got = sorted(stratified(rows, "lang", F.col("h"), per_label).collect(), key=lambda r: (r.h, r.lang))
     return fit([r.text for r in got], [r.lang for r in got])
 
 

@@ -7,8 +7,8 @@ documents apart.  A document's features are its best normalised kernel values wi
 all its words, and over words spelled out with spaces; the landmarks' own kernel matrix (its inverse
 root) maps them to the Nyström space, where a linear SVM is trained with Platt scaling.
 
-The fit takes at most about ``PER_LABEL`` documents of each label (a documented bound); every text is
-scored whole.  A null or empty text has no features: it gets the score of a text without any match.
+The fit takes at most ``PER_LABEL`` documents of each label, none over ``sampling.MAX_BYTES`` long
+(documented bounds); every text is scored whole.  A null or empty text has no features: it gets the score of a text without any match.
 Documents with several labels count as toxic if one says so; labels without a document are ignored.
 Without both labels the score is the share of toxic rows (0 without rows).  Repeated rows get equal
 scores; an empty table gives no rows; other columns pass through.
@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import fold, small_batches
-from .sampling import stratified
+from .sampling import capped, short, stratified
 
 PER_LABEL = 2500
 LANDMARKS = 96
@@ -227,9 +227,9 @@ def train(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: st
     """Fit on labelled rows whose id is outside the held-out fold."""
     marks = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & (fold(id_col) != 0)).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).alias("y"))
     some = stratified(marks, "y", F.col("id").cast("string"), per_label, 2)
-    # at most about 2 * per_label ids: that bound allows the broadcast
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(some), "id").select(F.xxhash64("id", "text").alias("h"), "text", "y").collect()
-    rows = sorted((r for r in rows if r.text), key=lambda r: (r.h, r.y))
+    # at most 2 * per_label ids: that bound allows the broadcast
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).filter(short(F.col("text"))).join(F.broadcast(some), "id").select(F.xxhash64("id", "text").alias("h"), "text", "y")
+    rows = sorted(capped(rows, "y", "h", per_label).collect(), key=lambda r: (r.h, r.y))
     return fit([r.text for r in rows], np.array([int(r.y == 1) for r in rows]))
 
 
