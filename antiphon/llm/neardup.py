@@ -44,8 +44,8 @@ SYMBOLS, CHUNKS, ERRORS = 96, 24, 1
 BITS = 16
 #: Least symbols that agree where the distance is below what the pigeonhole guarantees.
 AGREE = SYMBOLS - CHUNKS * (ERRORS + 1) + 1
-#: Members of a block of signatures, and of a block of texts.
-BLOCK, TEXT_BLOCK = 1_024, 256
+#: Members of a block of signatures, of texts round a lead, and of texts compared with other blocks.
+BLOCK, STAR_BLOCK, TEXT_BLOCK = 1_024, 64, 256
 BLOCK_SHINGLES = 400_000
 #: Bytes of a text hashed at once.
 PART = 1 << 18
@@ -266,8 +266,8 @@ def _linked(sets: list[np.ndarray], percent: int) -> np.ndarray:
     return 100 * both >= percent * (n[:, None] + n[None] - both)
 
 
-def _blocks(rows: str, shingles: str):
-    return F.ceil(F.greatest(F.col(rows) / TEXT_BLOCK, F.col(shingles) / BLOCK_SHINGLES)).cast("int")
+def _blocks(rows: str, shingles: str, most: int = TEXT_BLOCK):
+    return F.ceil(F.greatest(F.col(rows) / most, F.col(shingles) / BLOCK_SHINGLES)).cast("int")
 
 
 def _grouped(rows: DataFrame) -> DataFrame:
@@ -275,13 +275,13 @@ def _grouped(rows: DataFrame) -> DataFrame:
     return rows.repartition(n, "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "rep")
 
 
-def _links_within(members: DataFrame, texts: DataFrame, percent: int, size: int) -> DataFrame:
+def _links_within(members: DataFrame, percent: int, size: int) -> DataFrame:
     """Links (a, b), confirmed on full sets, that span what is linked within each block of a cluster and
-    its smallest id.  ``members``: (key, rep, m, w): a cluster's rows, how many, and their shingles."""
-    nb = _blocks("m", "w")
+    its smallest id.  ``members``: (key, rep, m, w, text): a cluster's rows, how many, and their shingles."""
+    nb = _blocks("m", "w", STAR_BLOCK)
     own = F.array(F.pmod(F.xxhash64("rep"), nb.cast("long")).cast("int"))
     rows = members.withColumn("lo", F.explode(F.when(F.col("rep") == F.col("key"), F.sequence(F.lit(0), nb - 1)).otherwise(own)))
-    rows = _grouped(rows.withColumn("hi", F.lit(0)).join(texts, "rep"))
+    rows = _grouped(rows.withColumn("hi", F.lit(0)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _runs(batches):
@@ -306,10 +306,9 @@ def _links_within(members: DataFrame, texts: DataFrame, percent: int, size: int)
     return rows.select("key", "lo", "hi", "rep", "text").mapInArrow(run, "a long, b long")
 
 
-def _links_between(members: DataFrame, labels: DataFrame, texts: DataFrame, percent: int, size: int) -> DataFrame:
-    """Links (a, b) between different components of one cluster; ``labels``: (id, comp)."""
-    now = members.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("key", "rep", "n", F.coalesce("comp", "rep").alias("comp"))
-    now = materialise(now, "now")
+def _links_between(members: DataFrame, labels: DataFrame, percent: int, size: int) -> DataFrame:
+    """Links (a, b) between different components of one cluster; ``members``: (key, rep, n, text, ...), ``labels``: (id, comp)."""
+    now = materialise(members.select("key", "rep", "n").join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("key", "rep", "n", F.coalesce("comp", "rep").alias("comp")), "now")
     parts = now.groupBy("key", "comp").agg(F.count("*").alias("m"), F.sum("n").alias("w"))
     top = parts.groupBy("key").agg(F.max(F.struct("m", "w", "comp")).alias("top"), F.sum("m").alias("m"), F.sum("w").alias("w"), F.count("*").alias("comps")).filter("comps > 1")
     top = top.select("key", "m", F.col("top.comp").alias("most"), F.col("top.m").alias("tm"), F.col("top.w").alias("tw"), (F.col("m") - F.col("top.m")).alias("rm"), (F.col("w") - F.col("top.w")).alias("rw"))
@@ -318,7 +317,7 @@ def _links_between(members: DataFrame, labels: DataFrame, texts: DataFrame, perc
     rows = salted_join(now, top, ["key"], "m", now.count(), "rep").withColumn("nr", rest).withColumn("nt", big).withColumn("isrest", F.col("comp") != F.col("most"))
     rows = rows.withColumn("own", F.when(F.col("isrest"), F.pmod(F.xxhash64("rep"), F.col("nr").cast("long"))).otherwise(F.col("nr") + F.pmod(F.xxhash64("rep"), F.col("nt").cast("long"))).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("isrest"), F.col("nr") + F.col("nt")).otherwise(F.col("nr")) - 1)))
-    rows = _grouped(rows.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other")).join(texts, "rep"))
+    rows = _grouped(rows.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other")).join(members.select("rep", "text"), "rep"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _runs(batches):
@@ -367,10 +366,13 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", perc
 
     inside = clusters.select(F.col("comp").alias("key"), F.col("id").alias("rep")).join(reps.select("rep", "n"), "rep")
     total = inside.groupBy("key").agg(F.count("*").alias("m"), F.sum("n").alias("w"))
-    inside = materialise(salted_join(inside, total, ["key"], "m", clusters.count(), "rep").select("key", "rep", "n", "m", "w"), "inside")
+    inside = salted_join(inside, total, ["key"], "m", clusters.count(), "rep").select("key", "rep", "n", "m", "w")
     texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).cast("string").alias("text"))
-    links = materialise(_links_within(inside, texts, percent, size), "links")
-    links = links.union(materialise(_links_between(inside, components(links), texts, percent, size), "links"))
+    held = materialise(inside.join(texts, "rep"), "inside")  # the only move of all texts
+    release_shuffles(spark)
+    links = materialise(_links_within(held, percent, size), "links")
+    links = links.union(materialise(_links_between(held, components(links), percent, size), "links"))
+    discard(held)
     labels = components(links)
     out = placed.select("id", "n", F.coalesce("rep", "id").alias("rep")).join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component_id", F.coalesce("comp", "rep"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
