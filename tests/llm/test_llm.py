@@ -350,11 +350,26 @@ def test_top_k(spark):
     check_top_k(spark, [])
 
 
-def test_top_k_with_small_blocks(spark, monkeypatch):
-    monkeypatch.setattr(knn, "DATA_BLOCK", 64)
-    monkeypatch.setattr(knn, "QUERY_BLOCK", 2)
+def test_top_k_with_small_blocks(spark):
     rng = np.random.default_rng(2)
-    check_top_k(spark, [(i, (rng.normal(size=8) + 5 * (i % 3)).tolist()) for i in range(1000)])
+    rows = [(i, (rng.normal(size=8) + 5 * (i % 3)).tolist()) for i in range(1000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert sorted(tuple(r) for r in knn.top_k(df, F.col("id") % 100 == 0, block_values=64).collect()) == brute.top_k(rows)
+
+
+def test_top_k_of_repeated_ids_and_other_lengths(spark):
+    rng = np.random.default_rng(3)
+    plain = [(i, rng.normal(size=4).tolist()) for i in range(500)]
+    short = [(i, rng.normal(size=3).tolist()) for i in (1000, 1001, 1100)]
+    df = spark.createDataFrame([(i, v, "x", 0) for i, v in plain + short + [plain[0], plain[7], plain[7]]], "vec_id long, embedding array<double>, cell string, rank int")
+    got = defaultdict(list)
+    for r in knn.top_k(df, F.col("id") % 100 == 0).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+    assert {v for v, _ in got[1000]} == {1001, 1100} and len(got[0]) == 10
+    want = defaultdict(list)
+    for q, _, v, s in brute.top_k(plain + [plain[7], plain[7]]):
+        want[q].append((v, s))
+    assert all(got[q] == want[q] for q in want)
 
 
 PAGE = """<html><head><title>x</title></head><body><header><h1>Site</h1><a href=/>home</a></header><div class="cookie-notice">We use cookies here</div>
