@@ -10,7 +10,7 @@ Character references are decoded, white space inside a block becomes one space,
 line break in page order; nothing else is dropped or cut.  A null or empty page, or one without a region
 above zero, gives the empty string.  Elements that are never closed end with their parent or at the next
 block, an open head at the body or its first block or text; scripts, styles, text areas and comments, whose
-content is no markup, run to the end of the page.  Broken tags count as text.  Repeated rows get equal texts; an empty table gives no rows; other
+content is no markup, run to the end of the page.  Broken tags count as text.  Every step is linear in the page.  Repeated rows get equal texts; an empty table gives no rows; other
 columns pass through.
 """
 
@@ -31,9 +31,10 @@ from .common import small_batches
 TRAIN_PAGES = 400
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|textarea)\b.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>",
+    r"<!--.*?(?:-->|\Z)|<(script|style|textarea)\b.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]{0,65536}+\"|'[^']{0,65536}+'){0,512}+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>",
     re.S | re.I,
 )
+_RAW_START, _RAW_END = re.compile(r"<!--|<(?:script|style|textarea)\b", re.I), re.compile(r"</(?:script|style|textarea)\s*>\Z", re.I)
 BLOCKS = frozenset("address article aside blockquote body caption dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead title tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 #: Elements, roles and class or id parts of what is not main text.
@@ -116,59 +117,62 @@ def _without_inert(raw: list[tuple[str, str, str]]) -> list[tuple[str, str, str]
     return out
 
 
+def _closes(raw: list[tuple[str, str, str]]) -> dict[int, int]:
+    """Where each element that closes does so: elements of one name nest."""
+    open_at: dict[str, list[int]] = {}
+    ends = {}
+    for i, (kind, tag, _) in enumerate(raw):
+        if kind == "open":
+            open_at.setdefault(tag, []).append(i)
+        elif kind == "close" and open_at.get(tag):
+            ends[open_at[tag].pop()] = i
+    return ends
+
+
+def _next(raw: list[tuple[str, str, str]], wanted) -> list[int]:
+    """For each place the first place from there on whose token is wanted; the row's length without one."""
+    out = [len(raw)] * (len(raw) + 1)
+    for i in range(len(raw) - 1, -1, -1):
+        out[i] = i if wanted(*raw[i][:2]) else out[i + 1]
+    return out
+
+
 def tokens(page: str) -> list[tuple[str, str, bool]]:
     """(kind, text, inside the article): kinds are "<tag" for tags, "#context" for text, "!" for what is left out."""
     raw: list[tuple[str, str, str]] = []  # (open, close or text; tag or text; attributes)
-    at = 0
-    for m in _TOKEN.finditer(page):
+    at, last = 0, page.rfind(">") + 1  # no tag ends after that
+    rest = page[last:]
+    for m in _TOKEN.finditer(page, 0, last):
         if m.start() > at:
             raw.append(("text", page[at : m.start()], ""))
         at = m.end()
         tag = (m[3] or m[6] or "").lower()
         if tag:
             raw.append(("close" if m[2] or m[5] else "open", tag, (m[4] or m[7] or "")))
-        elif m[1] is None:
-            continue
-    if at < len(page):
-        raw.append(("text", page[at:], ""))
+        elif at == last and not (m[0].endswith("-->") if m[1] is None and m[0].startswith("<!--") else m[1] is None or _RAW_END.search(m[0])):
+            rest = ""  # a comment or raw element that never closes
+    rest = page[at:last] + _RAW_START.split(rest, maxsplit=1)[0]
+    if rest:
+        raw.append(("text", rest, ""))
     raw = _without_inert(raw)
-    # where each element that is left out ends: at its own close, else at the first close of a block around it
+    ends = _closes(raw)
+    block, article = _next(raw, lambda kind, tag: kind != "text" and tag in BLOCKS), _next(raw, lambda kind, tag: kind == "open" and tag in ("article", "main"))
     out: list[tuple[str, str, bool]] = []
     inside, link, item, head = 0, 0, 0, 0
-    skip_tag, depth, skip_from, resume = "", 0, 0, -1
     i, n = 0, len(raw)
     while i < n:
         kind, tag, attrs = raw[i]
-        if skip_tag:
-            if kind == "open" and tag == skip_tag:
-                depth += 1
-            elif kind == "close" and tag == skip_tag:
-                depth -= 1
-                if not depth:
-                    skip_tag = ""
-                    i += 1
-                    continue
-            elif tag in ("article", "main") and kind == "open" and resume < 0:
-                resume = i
-            if i == n - 1:  # never closed: leave out its own text only, up to the next block
-                k = skip_from + 1
-                while k < n and not (raw[k][0] != "text" and raw[k][1] in BLOCKS):
-                    k += 1
-                skip_tag, i = "", (resume if resume >= 0 else k)
-                continue
-            i += 1
-            continue
         if kind == "text":
             where = "#link" if link else "#head" if head else "#item" if item else "#text"
             out.append((where, tag, inside > 0))
+        elif kind == "open" and tag not in VOID and _is_out(tag, attrs, inside):
+            out.append(("!", "", inside > 0))
+            if i in ends:
+                i = ends[i] + 1
+            else:  # never closed: up to an article further on, else its own text only, up to the next block
+                i = article[i + 1] if article[i + 1] < n else block[i + 1]
+            continue
         else:
-            if kind == "open" and tag not in VOID and _is_out(tag, attrs, inside):
-                out.append(("!", "", inside > 0))
-                skip_tag, depth, skip_from, resume = tag, 1, i, -1
-                if i == n - 1:
-                    break
-                i += 1
-                continue
             step = 1 if kind == "open" else -1
             if tag in ("article", "main"):
                 inside = max(0, inside + step)
