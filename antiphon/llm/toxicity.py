@@ -1,9 +1,10 @@
 """Toxicity: a subsequence string kernel, Nyström landmarks and a support vector machine.
 
-A string (a word's letters, in windows of up to eight, with a mark at the word's start) has one feature
+A string (a run of letters in windows of up to eight, the first with a mark at its start) has one feature
 for every three symbols in order, weighted by DECAY to the power of the stretch they span, so gaps and
-inserted characters cost a little and lose nothing.  Landmarks are strings that set labelled toxic
-documents apart.  A document's features are its best normalised kernel values with each landmark, over
+inserted characters cost a little and lose nothing.  Windows further on start at every other letter, so
+that an insult glued to another word is met as well.  Landmarks are strings that set labelled toxic
+documents apart and differ from one another, the best also without the mark.  A document's features are its best normalised kernel values with each landmark, over
 all its words, and over words spelled out with spaces; the landmarks' own kernel matrix (its inverse
 root) maps them to the Nyström space, where a linear SVM is trained with Platt scaling.
 
@@ -31,14 +32,20 @@ from .sampling import capped, short, stratified
 
 PER_LABEL = 2500
 LANDMARKS = 96
-DECAY = 0.8
-WINDOW, STEP = 8, 4
+#: Marked landmarks are less alike than ALIKE.  Those that set documents apart by WORTH of what the best does
+#: and differ more than that stand without the mark, too.
+ALIKE, WORTH, APART = 0.85, 0.4, 0.6
+DECAY = 0.85
+WINDOW, STEP = 8, 2
 FLOOR = 0.4
 SEEN = 400_000
 _SPELLED = re.compile(r"(?<!\S)\w(?:\s\w){3,}(?!\S)")
-_STRIP = re.compile(r"[\W\d_]+")
+_RUNS = re.compile(r"[^\W\d_]+")
 _TRIPLES = [(i, j, k, DECAY ** (k - i + 1)) for i, j, k in combinations(range(WINDOW + 1), 3)]
 _START = 40
+#: The norm by length, as if no three symbols stood twice; where they do, the bound is this much too low.
+_NORMS = np.array([sum(w * w for *_, k, w in _TRIPLES if k < n) ** 0.5 for n in range(WINDOW + 2)], np.float32)
+_REPEATS = np.float32(1.6)
 
 
 def _symbols(strings: list[str]) -> np.ndarray:
@@ -50,8 +57,8 @@ def _symbols(strings: list[str]) -> np.ndarray:
 
 
 def windows(word: str) -> list[str]:
-    """A word's strings: its start, marked, and windows further on."""
-    return ["^" + word[:WINDOW], *(word[k : k + WINDOW] for k in range(STEP, len(word) - STEP, STEP))]
+    """A run's strings: its start, marked, and windows further on of at least four letters."""
+    return ["^" + word[:WINDOW], *(word[k : k + WINDOW] for k in range(STEP, len(word) - 3, STEP))]
 
 
 class Kernel:
@@ -76,16 +83,42 @@ class Kernel:
             for a, v in f.items():
                 self.rows[self.where[a], m] = v
 
-    def __call__(self, strings: list[str]) -> np.ndarray:
+    def near(self, strings: list[str], least: float) -> tuple[np.ndarray, np.ndarray]:
+        """The strings (by number) that can have a value of ``least`` or more, and all of their values.
+
+        A value is at most the share of a string's norm that lies in features of any landmark."""
         sym = _symbols(strings)
-        out, norm = np.zeros((len(strings), self.rows.shape[1]), np.float32), np.zeros(len(strings))
+        size = (sym > 0).sum(1)
+        order = np.argsort(-size, kind="stable")  # so that the strings with a symbol k come first
+        sym, size = np.ascontiguousarray(sym[order].T.astype(np.int32)), size[order]
+        many = [int((size > k).sum()) for k in range(len(sym))]
+        norm = _NORMS[size]
+        held, at = np.zeros(len(strings), np.float32), []
+        pair, last = None, None
         for i, j, k, w in _TRIPLES:
-            there = sym[:, k] > 0
-            norm += there * w * w
-            at = self.where[(sym[:, i] * 41 + sym[:, j]) * 41 + sym[:, k]]
-            hit = np.flatnonzero((at > 0) & there)
-            out[hit] += np.float32(w) * self.rows[at[hit]]
-        return np.minimum(out / np.sqrt(np.maximum(norm, 1e-12))[:, None].astype(np.float32), 1)
+            if last != (i, j):
+                pair, last = (sym[i] * 41 + sym[j]) * 41, (i, j)
+            own = self.where[pair[: many[k]] + sym[k, : many[k]]]
+            at.append(own)
+            held[: many[k]] += (own > 0) * np.float32(w * w)
+        some = np.flatnonzero(np.sqrt(held) * _REPEATS >= least * norm)
+        out = np.zeros((len(some), self.rows.shape[1]), np.float32)
+        for own, (_, _, k, w) in zip(at, _TRIPLES):
+            own = own[some[: np.searchsorted(some, many[k])]]
+            hit = np.flatnonzero(own)
+            out[hit] += np.float32(w) * self.rows[own[hit]]
+        value = np.minimum(out / np.maximum(norm[some], 1e-6)[:, None], 1)
+        back = np.argsort(order[some], kind="stable")
+        return order[some][back], value[back]
+
+    def __call__(self, strings: list[str]) -> np.ndarray:
+        return self.near(strings, -1.0)[1]
+
+
+def _pieces(word: str) -> list[str]:
+    """A word's runs of letters, and all of its letters together if others stand between."""
+    runs = _RUNS.findall(word)
+    return [*runs, "".join(runs)] if len(runs) > 1 and len(word) <= 4 * WINDOW else runs
 
 
 class Features:
@@ -101,16 +134,17 @@ class Features:
             part = words[lo : lo + 20_000]
             strings, owner = [], []
             for i, w in enumerate(part):
-                bare = w if w.isalpha() else _STRIP.sub("", w)
-                if len(bare) >= 3:
-                    got = windows(bare)
-                    strings += got
-                    owner += [i] * len(got)
+                for run in (w,) if w.isalpha() else _pieces(w):
+                    if len(run) >= 3:
+                        got = windows(run)
+                        strings += got
+                        owner += [i] * len(got)
             if not strings:
                 continue
-            value = np.maximum(self.kernel(strings) - FLOOR, 0) / (1 - FLOOR)
+            some, value = self.kernel.near(strings, FLOOR)
+            value = np.maximum(value - FLOOR, 0) / (1 - FLOOR)
             for r in np.flatnonzero(value.any(1)).tolist():
-                w = part[owner[r]]
+                w = part[owner[some[r]]]
                 self.warm[w] = np.maximum(self.warm[w], value[r]) if w in self.warm else value[r]
 
     def __call__(self, texts: list[str | None]) -> np.ndarray:
@@ -146,34 +180,35 @@ class Model:
 
 
 def pick_landmarks(texts: list[str], y: np.ndarray, limit: int = LANDMARKS) -> list[str]:
-    """Marked words and word starts of four to six letters whose document counts differ most by label."""
+    """Words and word starts of four letters to eight whose document counts differ most by label, marked and, the best, unmarked."""
     counts = (Counter(), Counter())
     for t, label in zip(texts, y):
         own = set()
         for w in set(t.lower().split()):
-            bare = _STRIP.sub("", w)
-            if len(bare) >= 4:
-                own.update("^" + bare[:n] for n in (4, 5, 6, WINDOW) if n <= max(4, len(bare)))
+            for run in (w,) if w.isalpha() else _pieces(w):
+                own.update(run[:n] for n in (4, 5, 6, WINDOW) if n <= max(4, len(run)) and len(run) >= 4)
         counts[int(label)].update(own)
     pos, neg = max(1, int(y.sum())), max(1, int((1 - y).sum()))
     share = pos / (pos + neg)
     ranked = []
     for s, a in counts[1].items():
-        b = counts[0][s]
-        expect = (a + b) * share
+        expect = (a + counts[0][s]) * share
         if a >= 3 and a > expect:
             ranked.append(((a - expect) / (expect * (1 - share) + 1) ** 0.5, s))
-    ranked.sort(key=lambda r: (-r[0], r[1]))
+    ranked.sort(key=lambda r: (-round(r[0], 6), -len(r[1]), r[1]))
     chosen: list[str] = []
-    for _, s in ranked[: 20 * limit]:
-        if not chosen or Kernel(chosen)([s]).max() < 0.85:
-            chosen.append(s)
+    inner: list[str] = []
+    for z, s in ranked[: 20 * limit]:
+        if not chosen or Kernel(chosen)(["^" + s]).max() < ALIKE:
+            chosen.append("^" + s)
+        if z >= WORTH * ranked[0][0] and 4 * len(inner) < limit and (not inner or Kernel(inner)([s]).max() < APART):
+            inner.append(s)
         if len(chosen) == limit:
             break
-    return chosen
+    return chosen + inner
 
 
-def svm(z: np.ndarray, y: np.ndarray, c: float = 1.0) -> tuple[np.ndarray, float]:
+def svm(z: np.ndarray, y: np.ndarray, c: float = 0.3) -> tuple[np.ndarray, float]:
     """Squared-hinge SVM by Newton steps; each label weighs as its share of the rows."""
     x, t = np.hstack([z, np.ones((len(z), 1))]), 2.0 * y - 1
     w = np.zeros(x.shape[1])

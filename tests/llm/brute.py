@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import html.parser
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -120,3 +121,53 @@ def top_k(rows, k=10):
             best = sorted((-int(q @ x), j) for j, x in good if j != i)[:k]
             out += [(i, r + 1, j, -s) for r, (s, j) in enumerate(best)]
     return sorted(out)
+
+
+BREAKS = set("article blockquote dd div dl dt figcaption figure h1 h2 h3 h4 h5 h6 li ol p pre section table td th tr ul".split())
+#: Elements and classes whose content is not main text, in the shared pages.
+OUT = set("nav footer aside form script style".split())
+
+
+class _Article(html.parser.HTMLParser):
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.inside, self.out, self.now, self.blocks = False, [], [], []
+
+    def cut(self):
+        text = " ".join("".join(self.now).split())
+        self.now = []
+        if text:
+            self.blocks.append(text)
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "article":
+            self.inside = True
+        if tag in BREAKS:
+            self.cut()
+        if tag == "br":
+            self.now.append(" ")
+        if self.out and tag == self.out[0]:
+            self.out.append(tag)
+        elif not self.out and (tag in OUT or any(k == "class" and re.search("comment|advert|^ad$|share|related", v or "") for k, v in attrs)):
+            self.out.append(tag)
+
+    def handle_endtag(self, tag):
+        if self.out and tag == self.out[0]:
+            self.out.pop()
+        if tag in BREAKS:
+            self.cut()
+        if tag == "article":
+            self.inside = False
+
+    def handle_data(self, data):
+        if self.inside and not self.out:
+            self.now.append(data)
+
+
+def article_text(page):
+    """The text of a page's article element by the standard library's parser."""
+    p = _Article()
+    p.feed(page)
+    p.close()
+    p.cut()
+    return "\n".join(p.blocks)
