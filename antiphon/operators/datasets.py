@@ -50,17 +50,29 @@ def distinct_first(df: DataFrame, keys: Sequence[str], order: Sequence[str]) ->
     return df.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
 
 
+#: Ranges of the seeded hash: rows in hash order are dealt into so many groups, each small enough for a task.
+RANGES = 4096
+
+
+def _range_of(hashed: str) -> Column:
+    return F.conv(F.substring(hashed, 1, 3), 16, 10).cast("int")
+
+
 def negatives(positives: DataFrame, seed: int, order: Sequence[str], within: str | None = None, claim: str = "claim") -> DataFrame:
     """Each row with another row's claim, label 0, rows that would keep their own claim left out.
 
-    Claims move along the seeded order by one place: a permutation within each ``within`` (a split, so
-    that no claim crosses it), or over all rows.  Without ``within`` one task orders the claims' hashes."""
-    keys = [within] if within else []
-    w = Window.partitionBy(*keys).orderBy(hash_key(seed, *order), *order)
-    back = Window.partitionBy(*keys)
-    rows = positives.withColumn("_next", F.lead(claim).over(w))
-    first = F.min_by(claim, F.struct(hash_key(seed, *order), *order)).over(back)
-    return rows.withColumn("_claim", F.coalesce("_next", first)).filter(F.col("_claim") != F.col(claim)).withColumn(claim, F.col("_claim")).drop("_claim", "_next").withColumn("is_evidence", F.lit(0))
+    Claims move along the seeded order by one place, the first to the last row: a permutation within each
+    ``within`` (a split, so that no claim crosses it), or over all rows.  The order is cut into RANGES of
+    the hash; only the ranges' first claims, a row for each, are put in order by one task."""
+    rows = positives.withColumn("_in", F.col(within) if within else F.lit(0)).withColumn("_h", hash_key(seed, *order)).withColumn("_b", _range_of("_h"))
+    rows = rows.withColumn("_next", F.lead(claim).over(Window.partitionBy("_in", "_b").orderBy("_h", *order)))
+    firsts = rows.groupBy("_in", "_b").agg(F.min_by(claim, F.struct("_h", *order)).alias("_c"))
+    along = Window.partitionBy("_in").orderBy("_b")
+    whole = Window.partitionBy("_in")
+    firsts = firsts.select(F.col("_in").alias("_i2"), F.col("_b").alias("_b2"), F.coalesce(F.lead("_c").over(along), F.min_by("_c", "_b").over(whole)).alias("_wrap"))
+    rows = rows.join(firsts, F.col("_in").eqNullSafe(F.col("_i2")) & (F.col("_b") == F.col("_b2")), "left")
+    rows = rows.withColumn("_claim", F.coalesce("_next", "_wrap")).filter(F.col("_claim") != F.col(claim)).withColumn(claim, F.col("_claim"))
+    return rows.drop("_claim", "_next", "_wrap", "_in", "_i2", "_h", "_b", "_b2").withColumn("is_evidence", F.lit(0))
 
 
 def labelled_pairs(positives: DataFrame, seed: int, order: Sequence[str], within: str | None = None) -> DataFrame:
@@ -77,10 +89,17 @@ def group_split(df: DataFrame, group: str, seed: int = 42, cuts: tuple[float, fl
 
 
 def stratified_halves(df: DataFrame, label: str, key: str, seed: int = 42) -> DataFrame:
-    """``df`` with ``split``: each class halved exactly, validation first, by the key's hash."""
-    w = Window.partitionBy(label).orderBy(hash_key(seed, key), key)
-    n = F.count("*").over(Window.partitionBy(label))
-    return df.withColumn("split", F.when(F.row_number().over(w) <= F.ceil(n / 2), "validation").otherwise("testing"))
+    """``df`` with ``split``: each class halved exactly, validation first, by the key's hash.
+
+    A row's rank is its rank in its range of the hash plus the rows of the ranges before it."""
+    rows = df.withColumn("_h", hash_key(seed, key)).withColumn("_b", _range_of("_h"))
+    counts = rows.groupBy(F.col(label).alias("_l"), F.col("_b").alias("_b2")).agg(F.count("*").alias("_n"))
+    whole, before = Window.partitionBy("_l"), Window.partitionBy("_l").orderBy("_b2").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select("_l", "_b2", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"), F.sum("_n").over(whole).alias("_total"))
+    rows = rows.withColumn("_r", F.row_number().over(Window.partitionBy(label, "_b").orderBy("_h", key)))
+    rows = rows.join(counts, F.col(label).eqNullSafe(F.col("_l")) & (F.col("_b") == F.col("_b2")), "left")
+    split = F.when(F.col("_before") + F.col("_r") <= F.ceil(F.col("_total") / 2), "validation").otherwise("testing")
+    return rows.withColumn("split", split).drop("_h", "_b", "_b2", "_l", "_r", "_before", "_total")
 
 
 def argument_split(df: DataFrame, key: str, seed: int = 42) -> DataFrame:

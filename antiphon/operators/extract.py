@@ -2,12 +2,15 @@
 
 Scorers are column functions and replaceable.  Sentences stay an array in their document's row, so the
 claim-by-sentence join never moves a row: pairs are formed, scored and filtered in place, and only those
-over the threshold are exploded."""
+over the threshold are exploded.  The default evidence scorer counts common tokens by matrix products over
+blocks of claims and sentences; long documents are cut into rows of CLAIMS claims each for that."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,15 +45,86 @@ def claims(df: DataFrame, threshold: float = 0.45, key: str = "doc_id", text: st
     return rows.select(key, F.col("x.pos").alias("pos"), F.col("x.s").alias("claim"), scorer(F.col("x.t")).alias("p")).filter(F.col("p") >= threshold)
 
 
+#: Claims of a long document that one row takes; sentences and tokens in a block of a product.
+CLAIMS, SENTENCES, TOKENS = 1_024, 2_048, 4_096
+_PAIRS = "array<struct<c:int,e:int,p:double>>"
+
+
+def _pairs_of(flat: np.ndarray, size: np.ndarray, claims: np.ndarray, norm: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Claims' and sentences' numbers and similarities of a document's pairs that reach the threshold."""
+    n = len(size)
+    owner = np.repeat(np.arange(n), size)
+    values, column, many = np.unique(flat, return_inverse=True, return_counts=True)
+    keep = many[column] > 1  # a token of one sentence is common to no pair
+    column, owner = (np.cumsum(many > 1) - 1)[column[keep]], owner[keep]
+    by = np.argsort(column, kind="stable")
+    column, owner = column[by], owner[by]
+    width = int(column[-1]) + 1 if len(column) else 0
+    found = []
+    for lo in range(0, len(claims), CLAIMS):
+        own = claims[lo : lo + CLAIMS]
+        place = np.full(n, -1)
+        place[own] = np.arange(len(own))
+        for at in range(0, n, SENTENCES):
+            end = min(n, at + SENTENCES)
+            both = np.zeros((len(own), end - at), np.float32)
+            for t in range(0, width, TOKENS):
+                i, j = np.searchsorted(column, (t, t + TOKENS))
+                col, row = column[i:j] - t, owner[i:j]
+                left, right = np.zeros((len(own), min(TOKENS, width - t)), np.float32), np.zeros((end - at, min(TOKENS, width - t)), np.float32)
+                a, b = place[row] >= 0, (row >= at) & (row < end)
+                left[place[row[a]], col[a]] = 1
+                right[row[b] - at, col[b]] = 1
+                both += left @ right.T
+            union = size[own][:, None] + size[at:end][None] - both
+            p = np.divide(both, union, out=np.zeros(both.shape), where=union > 0, dtype=np.float64)
+            good = (p >= threshold) & (norm[own][:, None] != norm[at:end][None])
+            c, e = np.nonzero(good)
+            found.append((own[c], e + at, p[c, e]))
+    if not found:
+        return np.zeros(0, int), np.zeros(0, int), np.zeros(0)
+    c, e, p = (np.concatenate(v) for v in zip(*found))
+    by = np.lexsort((e, c))
+    return c[by], e[by], p[by]
+
+
+def _overlap_pairs(claims: Column, part: Column, norm: Column, words: Column, threshold: float) -> Column:
+    """The pairs of one row: ``claims`` tells which sentences are claims, ``part`` which CLAIMS of them are meant."""
+
+    @F.arrow_udf(_PAIRS)
+    def run(claim: pa.Array, part: pa.Array, norm: pa.Array, words: pa.Array) -> pa.Array:
+        counts, out = [0], []
+        for i in range(len(words)):
+            own = words[i].values
+            size = np.asarray(own.value_lengths().fill_null(0)) if own is not None else np.zeros(0, int)
+            lo = part[i].as_py() * CLAIMS
+            chosen = np.flatnonzero(np.asarray(claim[i].values))[lo : lo + CLAIMS] if len(size) else np.zeros(0, int)
+            got = _pairs_of(np.asarray(own.flatten()), size, chosen, np.asarray(norm[i].values), threshold) if len(chosen) else None
+            if got is not None and len(got[0]):
+                out.append(got)
+            counts.append(counts[-1] + (len(got[0]) if got is not None else 0))
+        c, e, p = (np.concatenate(v) for v in zip(*out)) if out else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+        rows = pa.StructArray.from_arrays([pa.array(c, pa.int32()), pa.array(e, pa.int32()), pa.array(p, pa.float64())], names=["c", "e", "p"])
+        return pa.ListArray.from_arrays(pa.array(counts, pa.int32()), rows)
+
+    return run(claims, part, norm, words)
+
+
 def claim_evidence(df: DataFrame, claim_threshold: float = 0.45, evidence_threshold: float = 0.35, key: str = "doc_id", text: str = "text", claim_scorer: ClaimScorer = claim_score, evidence_scorer: EvidenceScorer = overlap) -> DataFrame:
     """(key, claim_pos, evidence_pos, claim, evidence, p): each claim with each other sentence of its
     document that scores; a sentence equal to the claim (case and white space aside) is left out."""
-    base = with_sentences(df.select(key, text), text)
+    base = with_sentences(df.select(key, text), text).select(key, "_sents")
+    if evidence_scorer is overlap and evidence_threshold > 0:
+        base = base.withColumn("_claims", F.transform("_sents", lambda s: claim_scorer(s["t"]) >= claim_threshold))
+        many = F.size(F.filter("_claims", lambda c: c))
+        small = base.filter(many.between(1, CLAIMS)).withColumn("_part", F.lit(0))
+        parts = base.filter(many > CLAIMS).withColumn("_part", F.explode(F.sequence(F.lit(0), F.ceil(many / CLAIMS).cast("int") - 1)))
+        rows = small.unionByName(parts.repartition(key, "_part"))
+        rows = rows.withColumn("_p", F.explode(_overlap_pairs(F.col("_claims"), F.col("_part"), F.transform("_sents", lambda s: F.xxhash64(s["norm"])), F.transform("_sents", lambda s: s["t"]), evidence_threshold)))
+        c, e = F.get("_sents", F.col("_p.c")), F.get("_sents", F.col("_p.e"))
+        return rows.select(key, c["pos"].alias("claim_pos"), e["pos"].alias("evidence_pos"), c["s"].alias("claim"), e["s"].alias("evidence"), F.col("_p.p").alias("p"))
     found = F.filter("_sents", lambda s: claim_scorer(s["t"]) >= claim_threshold)
-    # with the default scorer the sizes alone rule out most pairs
-    fits = lambda c, s: F.least(F.size(c["t"]), F.size(s["t"])) >= evidence_threshold * F.greatest(F.size(c["t"]), F.size(s["t"]))
-    usable = (lambda c, s: fits(c, s)) if evidence_scorer is overlap else (lambda c, s: F.lit(True))
-    good = lambda c: F.filter("_sents", lambda s: usable(c, s) & (evidence_scorer(c["t"], s["t"]) >= evidence_threshold) & (s["norm"] != c["norm"]))
+    good = lambda c: F.filter("_sents", lambda s: (evidence_scorer(c["t"], s["t"]) >= evidence_threshold) & (s["norm"] != c["norm"]))
     pairs = F.flatten(F.transform(found, lambda c: F.transform(good(c), lambda s: F.struct(c["pos"].alias("claim_pos"), s["pos"].alias("evidence_pos"), c["s"].alias("claim"), s["s"].alias("evidence"), evidence_scorer(c["t"], s["t"]).alias("p")))))
     return base.select(key, F.explode(pairs).alias("x")).select(key, "x.claim_pos", "x.evidence_pos", "x.claim", "x.evidence", "x.p")
 

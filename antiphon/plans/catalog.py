@@ -12,6 +12,7 @@ from ..functions import html, style, text, vectors
 from ..operators import datasets, encode, extract, filters, framing, inference, keywords, learn, metrics, search
 from ..schemas import frame_name, frames
 from ..sources import web
+from ..storage import once
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -247,6 +248,7 @@ def encoded_vectors(spark, sf_dir):
 @query
 def encode_search(spark, sf_dir):
     d = encoded_documents(spark, sf_dir).withColumn("y", encode.projection(F.col("x"))).select("doc_id", "primary_frame", "y")
+    d = once(d)  # block counts, both sides of the search
     return search.farthest(d, d, k=5, group="primary_frame", key="doc_id", vector="y").withColumn("similarity", F.round("similarity", 4))
 
 

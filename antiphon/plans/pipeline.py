@@ -15,6 +15,7 @@ from ..functions import style
 from ..operators import encode, extract, framing, inference, search
 from ..operators.datasets import hash_key
 from ..operators.filters import sanitise
+from ..storage import once
 
 
 @dataclass
@@ -73,7 +74,7 @@ class Counterarguments:
         # every argument's merge of a candidate is a candidate of its own
         cand = cand.select(key, F.concat_ws("/", "r_id", "o_id").alias("id"), "claim", "evidence")
         group = F.concat_ws("|", key, "primary_frame").alias("grp")
-        a, c = (self.encoded(df).select("*", group) for df in (args, cand))
+        a, c = (once(self.encoded(df).select("*", group)) for df in (args, cand))  # each is read by the search and by what follows
         found = search.farthest(a, c, k, group="grp", key="id", vector="code")
         out = search.counterarguments(a, found, c.select("id", "claim", "evidence"), group="grp")
         return out.select(key, "id", "claim", "evidence", "primary_frame", framing.frame_index(F.col("primary_frame")).alias("frame_idx"), "counterarguments").orderBy(key, "frame_idx", "id").drop("frame_idx")

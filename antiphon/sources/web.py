@@ -6,7 +6,7 @@ import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import Cache
@@ -26,8 +26,9 @@ def keyword_results(queries: DataFrame, documents: DataFrame, limit: int = 5, ke
     q = queries.filter(~is_blank(F.col("normalized"))).select(key, F.explode(F.array_distinct(tokens(F.col("normalized")))).alias("t"))
     d = documents.select("url", F.explode(F.array_distinct(tokens(F.col("text")))).alias("t"))
     hits = q.join(d, "t").groupBy(key, "url").agg(F.count("*").alias("shared"))
-    best = hits.groupBy(key).agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("shared")).alias("neg"), "url"))), 1, limit).alias("r"))
-    return best.select(key, F.posexplode("r").alias("rank", "x")).select(key, "rank", F.col("x.url").alias("url"), (-F.col("x.neg")).alias("shared"))
+    order = Window.partitionBy(key).orderBy(F.desc("shared"), "url")
+    best = hits.withColumn("rank", F.row_number().over(order) - 1).filter(F.col("rank") < limit)
+    return best.select(key, "rank", "url", "shared")
 
 
 def download(results: DataFrame, pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
