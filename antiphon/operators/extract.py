@@ -45,8 +45,9 @@ def claims(df: DataFrame, threshold: float = 0.45, key: str = "doc_id", text: st
     return rows.select(key, F.col("x.pos").alias("pos"), F.col("x.s").alias("claim"), scorer(F.col("x.t")).alias("p")).filter(F.col("p") >= threshold)
 
 
-#: Claims of a long document that one row takes; sentences and tokens in a block of a product.
+#: Claims in a block of a product, and sentences and tokens; the characters from which a document's blocks of claims are dealt over tasks.
 CLAIMS, SENTENCES, TOKENS = 1_024, 2_048, 4_096
+LONG = 100_000
 _PAIRS = "array<struct<c:int,e:int,p:double>>"
 
 
@@ -89,7 +90,7 @@ def _pairs_of(flat: np.ndarray, size: np.ndarray, claims: np.ndarray, norm: np.n
 
 
 def _overlap_pairs(claims: Column, part: Column, norm: Column, words: Column, threshold: float) -> Column:
-    """The pairs of one row: ``claims`` tells which sentences are claims, ``part`` which CLAIMS of them are meant."""
+    """The pairs of one row: ``claims`` tells which sentences are claims, ``part`` which CLAIMS of them are meant (-1: all)."""
 
     @F.arrow_udf(_PAIRS)
     def run(claim: pa.Array, part: pa.Array, norm: pa.Array, words: pa.Array) -> pa.Array:
@@ -97,8 +98,9 @@ def _overlap_pairs(claims: Column, part: Column, norm: Column, words: Column, th
         for i in range(len(words)):
             own = words[i].values
             size = np.asarray(own.value_lengths().fill_null(0)) if own is not None else np.zeros(0, int)
-            lo = part[i].as_py() * CLAIMS
-            chosen = np.flatnonzero(np.asarray(claim[i].values))[lo : lo + CLAIMS] if len(size) else np.zeros(0, int)
+            chosen = np.flatnonzero(np.asarray(claim[i].values)) if len(size) else np.zeros(0, int)
+            if (block := part[i].as_py()) >= 0:
+                chosen = chosen[block * CLAIMS : (block + 1) * CLAIMS]
             got = _pairs_of(np.asarray(own.flatten()), size, chosen, np.asarray(norm[i].values), threshold) if len(chosen) else None
             if got is not None and len(got[0]):
                 out.append(got)
@@ -113,12 +115,12 @@ def _overlap_pairs(claims: Column, part: Column, norm: Column, words: Column, th
 def claim_evidence(df: DataFrame, claim_threshold: float = 0.45, evidence_threshold: float = 0.35, key: str = "doc_id", text: str = "text", claim_scorer: ClaimScorer = claim_score, evidence_scorer: EvidenceScorer = overlap) -> DataFrame:
     """(key, claim_pos, evidence_pos, claim, evidence, p): each claim with each other sentence of its
     document that scores; a sentence equal to the claim (case and white space aside) is left out."""
-    base = with_sentences(df.select(key, text), text).select(key, "_sents")
+    base = with_sentences(df.select(key, F.col(text).alias("_text")), "_text").select(key, "_text", "_sents")
     if evidence_scorer is overlap and evidence_threshold > 0:
         base = base.withColumn("_claims", F.transform("_sents", lambda s: claim_scorer(s["t"]) >= claim_threshold))
         many = F.size(F.filter("_claims", lambda c: c))
-        small = base.filter(many.between(1, CLAIMS)).withColumn("_part", F.lit(0))
-        parts = base.filter(many > CLAIMS).withColumn("_part", F.explode(F.sequence(F.lit(0), F.ceil(many / CLAIMS).cast("int") - 1)))
+        small = base.filter(F.length(F.coalesce("_text", F.lit(""))) <= LONG).withColumn("_part", F.lit(-1))
+        parts = base.filter(F.length("_text") > LONG).withColumn("_part", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(many / CLAIMS).cast("int"), F.lit(1)) - 1)))
         rows = small.unionByName(parts.repartition(key, "_part"))
         rows = rows.withColumn("_p", F.explode(_overlap_pairs(F.col("_claims"), F.col("_part"), F.transform("_sents", lambda s: F.xxhash64(s["norm"])), F.transform("_sents", lambda s: s["t"]), evidence_threshold)))
         c, e = F.get("_sents", F.col("_p.c")), F.get("_sents", F.col("_p.e"))
