@@ -24,6 +24,7 @@ def _need(ok: bool, what: str) -> None:
 class Cleaning:
     """Page cleaning limits and phrases."""
 
+    # The limits.
     min_text_length: int = 150
     max_text_length: int = 50_000
     min_word_count: int = 30

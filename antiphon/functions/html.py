@@ -11,8 +11,9 @@ from ..config import Cleaning
 from .binding import let
 from .text import is_blank, strip, words
 
-#: Elements whose content is never text.
+# Elements whose content is never text, and how lines of code begin.
 TECHNICAL = r"(?is)<!--.*?-->|<(script|style|noscript|form|svg)\b[^>]*>.*?</\1\s*>"
+CODE = ("{", "}", "[", "]", "function", "var ")
 TAG = r"(?s)<[^>]*>"
 # Character references that are decoded, the ampersand last.
 ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"))
@@ -40,7 +41,7 @@ def lines(page: Column) -> Column:
 
 def good_line(line: Column, cleaning: Cleaning) -> Column:
     """Not blank, not code, not a bare address, without a noise phrase."""
-    code = reduce(lambda a, b: a | b, [line.startswith(p) for p in ("{", "}", "[", "]", "function", "var ")])
+    code = reduce(lambda a, b: a | b, [line.startswith(p) for p in CODE])
     address = line.rlike(r"^https?://\S+$")
     low = F.lower(line)
     noise = reduce(lambda a, b: a | b, [low.contains(k) for k in cleaning.noise_line_keywords], F.lit(False))

@@ -100,3 +100,12 @@ def positivity(sentiment: Column, confidence: Column) -> Column:
 def checked(s: Column, text: Column) -> Column:
     """Error texts for what has no style; null where all is well."""
     return F.when(text.isNull() | (text == ""), "empty text").when(s["sentences"] == 0, "no sentences").when(s["words"] == 0, "no words")
+
+
+#: Fixed value: texts with fewer words have unreliable figures.
+FEW_WORDS = 100
+
+
+def short_warning(s: Column) -> Column:
+    """A warning where some words, but fewer than FEW_WORDS, make the scores unreliable; null elsewhere."""
+    return F.when((s["words"] > 0) & (s["words"] < FEW_WORDS), F.concat(F.lit("only "), s["words"].cast("long").cast("string"), F.lit(" words")))

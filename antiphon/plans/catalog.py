@@ -4,15 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..config import Cleaning
+from ..config import Cleaning, Extraction, Settings
 from ..functions import html, style, text, vectors
-from ..operators import datasets, encode, extract, filters, framing, inference, keywords, learn, metrics, search
+from ..operators import annotations, datasets, encode, extract, filters, framing, inference, keywords, learn, metrics, search
 from ..schemas import frame_name, frames
 from ..sources import web
 from ..storage import once
+from .pipeline import Counterarguments
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -354,6 +355,160 @@ def claim_model(spark, sf_dir):
     return model.transform(d).select("doc_id", learn.positive_probability().alias("p"))
 
 
+# --- annotations, look-ups, small filters ---------------------------------------------------------
+
+
+def golden_rows(spark: SparkSession, sf_dir: str, broken: bool = False) -> DataFrame:
+    """Conversations as annotation files, one row each: turns are documents, their first sentence and the
+    rest an argument, neighbours contradict.  ``broken`` adds records that break rules."""
+    parts = F.transform(F.filter(text.sentences(F.col("text")), lambda x: text.strip(x) != ""), text.strip)
+    t = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text", (F.col("conv_id") * 1000 + F.col("turn") + 1).alias("id"), parts.alias("s"))
+    claim, evidence = F.get("s", F.lit(0)), F.array_join(F.slice("s", 2, F.greatest(F.size("s"), F.lit(1))), " ")
+    t = t.withColumn("claim", claim).withColumn("evidence", evidence)
+    span = lambda kind, start, c: F.struct(F.lit(kind).alias("kind"), start.cast("long").alias("start"), (start + F.length(c)).cast("long").alias("end"), c.alias("text"))
+    doc_id = F.when(F.lit(broken) & (F.col("turn") % 5 == 4), -F.col("id")).otherwise(F.col("id"))
+    spans = F.filter(F.array(span("evidence", F.length("claim") + 1, F.col("evidence"))), lambda e: e["text"] != "")
+    argument = F.when(F.col("claim").isNotNull(), F.struct("id", doc_id.alias("documentId"), span("claim", F.lit(0), F.col("claim")).alias("claim"), spans.alias("evidence")))
+    full = (F.col("claim") != "") & (F.col("evidence") != "")
+    before = F.last(F.when(full, F.col("id")), ignorenulls=True).over(Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1))
+    t = t.withColumn("before", before)
+    relation = F.when(full & F.col("before").isNotNull(), F.struct(F.col("before").alias("a"), F.when(F.lit(broken) & (F.col("turn") % 7 == 3), "supports").otherwise("contradicts").alias("type"), F.col("id").alias("b")))
+    loose = F.when(F.lit(broken) & (F.col("turn") % 6 == 5), F.struct(F.col("id").alias("a"), F.lit("contradicts").alias("type"), (F.col("id") + 500000).alias("b")))
+    document = F.struct("id", F.concat_ws(":", "conv_id", "turn").alias("title"), "text", F.col("role").alias("source"))
+    rows = t.select("conv_id", document.alias("d"), argument.alias("a"), relation.alias("r"), loose.alias("x")).groupBy("conv_id")
+    listed = lambda c: F.array_sort(F.collect_list(c))  # noqa: E731  a conversation's turns
+    return rows.agg(listed("d").alias("documents"), listed("a").alias("arguments"), F.array_sort(F.concat(F.collect_list("r"), F.collect_list("x"))).alias("relations")).withColumn("version", F.lit("1")).drop("conv_id")
+
+
+@query
+def golden_arguments(spark, sf_dir):
+    return annotations.arguments(golden_rows(spark, sf_dir))
+
+
+@query
+def golden_texts(spark, sf_dir):
+    return annotations.raw_texts(golden_rows(spark, sf_dir)).select("title", F.sha2("text", 256).alias("sha"))
+
+
+@query
+def related_pairs(spark, sf_dir):
+    return annotations.related_pairs(golden_rows(spark, sf_dir)).drop("rel")
+
+
+@query
+def record_errors(spark, sf_dir):
+    return annotations.record_errors(golden_rows(spark, sf_dir, broken=True))
+
+
+@query
+def frame_join(spark, sf_dir):
+    """Each argument with the candidates found in its frame; frames without candidates keep empty lists."""
+    e = read(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "id")
+    cand = e.filter("label < 8")
+    found = search.farthest(e, cand, k=3, key="id")
+    named = cand.select("id", F.concat(F.lit("c"), F.col("id").cast("string")).alias("claim"), F.concat(F.lit("e"), F.col("id").cast("string")).alias("evidence"))
+    out = search.counterarguments(e.select("id", "label"), found, named, group="label")
+    return out.select("id", "label", F.array_join(F.transform("counterarguments", lambda c: F.concat(c["claim"], F.lit("/"), c["evidence"])), ",").alias("found"))
+
+
+def _versions(spark: SparkSession, sf_dir: str, value: Column) -> tuple[DataFrame, DataFrame]:
+    """Ids, and a side table with an outdated and a current value of each."""
+    e = read(spark, sf_dir, "embeddings").select("vec_id", value.alias("v"))
+    side = e.select("vec_id", F.reverse("v").alias("v"), F.lit(0).alias("place")).union(e.select("vec_id", "v", F.lit(1).alias("place")))
+    return e.select("vec_id"), side
+
+
+@query
+def vector_lookup(spark, sf_dir):
+    ids, side = _versions(spark, sf_dir, F.col("embedding"))
+    return datasets.look_up(ids, side, "vec_id", "v", "vector").select("vec_id", _r6(F.get("vector", F.lit(0)).cast("double")).alias("first"), F.size("vector").cast("long").alias("n"))
+
+
+@query
+def probability_lookup(spark, sf_dir):
+    ids, side = _versions(spark, sf_dir, vectors.softmax(F.transform(F.slice("embedding", 1, 15), lambda x: x.cast("double"))))
+    return datasets.look_up(ids, side, "vec_id", "v", "p").select("vec_id", frame_name(vectors.argmax(F.col("p"))).alias("frame"), _r6(F.get("p", F.lit(0))).alias("p"))
+
+
+@query
+def frame_corpus(spark, sf_dir):
+    d = read(spark, sf_dir, "documents").withColumn("label", F.when(F.col("doc_id") % 7 > 0, F.col("doc_id") % 15))
+    return filters.frame_corpus(d).select(F.sha2("text", 256).alias("sha"), "interpretative_frame")
+
+
+@query
+def head_rows(spark, sf_dir):
+    return filters.head(read(spark, sf_dir, "documents"), 50, "n_chars", "doc_id").select("doc_id", "n_chars")
+
+
+@query
+def known_frames(spark, sf_dir):
+    e = read(spark, sf_dir, "embeddings").select("vec_id", F.when(F.col("label") == 9, "No frame").otherwise(frame_name(F.col("label"))).alias("frame"))
+    return filters.known_frames(e, "frame")[0]
+
+
+@query
+def one_frame(spark, sf_dir):
+    e = read(spark, sf_dir, "embeddings").select("vec_id", frame_name(F.col("label")).alias("primary_frame"))
+    return filters.by_frame(e, "Morality")
+
+
+@query
+def frame_table(spark, sf_dir):
+    return frames(spark)
+
+
+@query
+def phrase_keywords(spark, sf_dir):
+    """Phrases nearest to their item; the embedding counts eight letters, so scores are whole numbers."""
+    letters = lambda c: F.array(*[(F.length(c) - F.length(F.replace(c, F.lit(x), F.lit("")))).cast("double") for x in "aeionrst"])
+    return keywords.by_embedding(read(spark, sf_dir, "benchmark"), letters, vectors.dot, key="item_id")
+
+
+@query
+def split_pairs(spark, sf_dir):
+    toxic = datasets.argument_split(read(spark, sf_dir, "labels").filter("toxic = 1").select("doc_id", "quality"), "doc_id")
+    return datasets.pair_up(toxic, ["doc_id", "quality"])
+
+
+@query
+def cleaned_pairs(spark, sf_dir):
+    return datasets.cleaned(turn_arguments(spark, sf_dir, "user"), "claim", "evidence")
+
+
+@query
+def cosine_distances(spark, sf_dir):
+    e = read(spark, sf_dir, "embeddings")
+    b = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("b"))
+    return e.join(b, "vec_id").select("vec_id", _r6(vectors.cosine_distance(F.col("embedding"), F.col("b"))).alias("distance"))
+
+
+@query
+def positivity(spark, sf_dir):
+    mood = F.when(F.col("toxic") == 1, "negative").when(F.col("quality") == 1, "positive").otherwise("neutral")
+    return read(spark, sf_dir, "labels").select("doc_id", _r6(style.positivity(mood, F.col("doc_id") % 10 / 10.0)).alias("positivity"))
+
+
+@query
+def style_checks(spark, sf_dir):
+    shorter = F.concat(F.when(F.col("doc_id") % 4 == 0, "").when(F.col("doc_id") % 4 == 1, "... !"), F.lit(""))
+    d = style.with_counts(read(spark, sf_dir, "documents").withColumn("t", F.coalesce(shorter, F.col("text"))), "t")
+    return d.select("doc_id", F.col("_style.words").cast("long").alias("words"), style.checked(F.col("_style"), F.col("t")).alias("error"), style.short_warning(F.col("_style")).alias("warning"))
+
+
+@query
+def counterargument_run(spark, sf_dir):
+    """The whole run: benchmark items as references, each against the documents its keywords find.
+
+    The thresholds are lower than the defaults: sentences of the shared texts have little in common."""
+    items = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("ref_id"), "text")
+    hits = keyword_results(spark, sf_dir).select(F.col("item_id").alias("ref_id"), F.substring("url", 5, 12).cast("long").alias("doc_id"))
+    docs = hits.join(read(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    settings = Settings(extraction=Extraction(claim_threshold=0.2, evidence_threshold=0.1))
+    out = Counterarguments(settings).run(filters.non_empty(items, "text"), docs)
+    return out.select("ref_id", "id", "primary_frame", F.size("counterarguments").cast("long").alias("n"), F.sha2(F.array_join(F.transform("counterarguments", lambda c: F.concat(c["claim"], F.lit("|"), c["evidence"])), "\n"), 256).alias("sha"))
+
+
 # --- metrics -------------------------------------------------------------------------------------
 
 

@@ -1,6 +1,6 @@
 """DuckDB twins of the catalogue's queries.
 
-RE2 has no lookaround, so ``corpus_normalise`` has none; ``claim_model`` is fitted, so it has none."""
+``claim_model`` is fitted and ``counterargument_run`` chains most of the others, so they have none."""
 
 from __future__ import annotations
 
@@ -158,6 +158,24 @@ WITH {_STYLE}, fp AS ({_PROBS}),
 x AS (SELECT i5.doc_id, list_position(fp.p, list_max(fp.p)) - 1 AS f, list_concat(i5.v, list_transform(range(15), lambda k: CASE WHEN k = list_position(fp.p, list_max(fp.p)) - 1 THEN 1.0 ELSE 0.0 END), fp.p) AS x FROM i5 JOIN fp USING (doc_id)),
 y AS (SELECT doc_id, f, x, list_transform(range(10), lambda i: list_sum(list_transform(range(48), lambda j: x[j + 1] * sin((i + 1) * (j + 1)) / sqrt(48.0)))) AS y FROM x)"""
 
+_GOLD = f"""
+g0 AS (SELECT conv_id, turn, role, text, conv_id * 1000 + turn + 1 AS id, list_transform(list_filter({_sentences("text")}, lambda s: {_strip("s")} <> ''), lambda s: {_strip("s")}) AS s FROM conversations),
+g1 AS (SELECT *, s[1] AS claim, array_to_string(s[2:], ' ') AS evidence FROM g0),
+g AS (SELECT *, last_value(CASE WHEN claim <> '' AND evidence <> '' THEN id END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM g1)"""
+_LETTERS = "[" + ", ".join(f"CAST(length({{0}}) - length(replace({{0}}, '{x}', '')) AS DOUBLE)" for x in "aeionrst") + "]"
+_UNCITED = r"""list_transform({0}, lambda p: array_to_string(list_transform(string_split(array_to_string(
+  list_transform(list_zip(string_split(p, '['), range(len(string_split(p, '[')))), lambda x: CASE WHEN x[2] = 0 THEN x[1]
+    WHEN contains(x[1], ']') AND len(list_filter(string_split_regex(split_part(x[1], ']', 1), '[,;]'), lambda n: NOT regexp_full_match(n, '\s*[0-9]+\s*'))) = 0 THEN substring(x[1], length(split_part(x[1], ']', 1)) + 2)
+    ELSE '[' || x[1] END), ''), ' '),
+  lambda w: regexp_replace(regexp_replace(w, '^((?:.*[^0-9])?[.!?])[0-9]{{1,3}}$', '\1'), '([A-Za-z])[0-9]{{1,3}}([.,!?;:])', '\1\2', 'g')), ' '))"""
+_NORMALISED = rf"""
+WITH l AS (SELECT doc_id, string_split_regex(text, '\r\n|\r|\n') AS ls FROM documents),
+m AS (SELECT doc_id, array_to_string(list_transform(list_zip(ls, range(len(ls))), lambda x: CASE WHEN regexp_replace(x[1], '^[ \t]+|[ \t]+$', '', 'g') = '' OR (x[2] > 0 AND regexp_matches(x[1], '^[ \t]{{4,}}[^\s\x0b]')) THEN chr(10) ELSE ' ' END
+  || regexp_replace(x[1], '^[ \t]+|[ \t]+$', '', 'g')), '') AS t FROM l),
+p AS (SELECT doc_id, list_filter(list_transform(string_split(t, chr(10)), lambda q: regexp_replace(regexp_replace(q, '[ \t]+', ' ', 'g'), '^ | $', '', 'g')), lambda q: q <> '') AS ps FROM m),
+c AS (SELECT doc_id, array_to_string({_UNCITED.format("ps")}, chr(10) || chr(10)) AS t FROM p)
+SELECT doc_id, {_strip("t")} || chr(10) AS text FROM c"""
+
 ORACLE_SQL: dict[str, str] = {
     "farthest_topk": """
 WITH s AS (SELECT a.label, a.vec_id AS ref_id, b.vec_id AS cand_id, list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS s FROM embeddings a JOIN embeddings b USING (label)),
@@ -234,4 +252,46 @@ SELECT 'union' AS op, doc_id FROM (SELECT * FROM a UNION SELECT * FROM b) UNION
     "class_metrics": f"{_CELLS} SELECT class, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1, support FROM cm",
     "summary_metrics": f"""{_CELLS}, a AS (SELECT CAST(sum(CASE WHEN y_true = y_pred THEN n ELSE 0 END) AS DOUBLE) / sum(n) AS accuracy, CAST(sum(n) AS BIGINT) AS n FROM cells)
 SELECT round(accuracy, 6) AS accuracy, round(accuracy, 6) AS micro_f1, (SELECT round(avg(f1), 6) FROM cm) AS macro_f1, (SELECT round(avg(precision), 6) FROM cm) AS macro_precision, (SELECT round(avg(recall), 6) FROM cm) AS macro_recall, n FROM a""",
+    "corpus_normalise": _NORMALISED,
+    "golden_arguments": f"WITH {_GOLD} SELECT id AS arg_id, id AS document_id, CAST(0 AS INTEGER) AS evidence_pos, claim, evidence FROM g WHERE claim IS NOT NULL AND evidence <> ''",
+    "golden_texts": "SELECT CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR) AS title, sha256(text) AS sha FROM conversations",
+    "related_pairs": f"""WITH {_GOLD} SELECT p.id AS a, q.id AS b, p.claim AS claim_a, p.evidence AS evidence_a, q.claim AS claim_b, q.evidence AS evidence_b
+FROM g q JOIN g p ON p.id = q.before WHERE q.claim <> '' AND q.evidence <> ''""",
+    "record_errors": f"""WITH {_GOLD}, r AS (
+  SELECT conv_id, before AS a, CASE WHEN turn % 7 = 3 THEN 'supports' ELSE 'contradicts' END AS type, id AS b, false AS loose FROM g WHERE claim <> '' AND evidence <> '' AND before IS NOT NULL
+  UNION ALL SELECT conv_id, id, 'contradicts', id + 500000, true FROM g WHERE turn % 6 = 5
+), n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY a, type, b) - 1 AS place FROM r)
+SELECT 'argument' AS kind, id, 'evidence must not be empty' AS error FROM g WHERE claim IS NOT NULL AND evidence = ''
+UNION ALL SELECT 'argument', id, 'unknown document' FROM g WHERE claim IS NOT NULL AND turn % 5 = 4
+UNION ALL SELECT 'relation', place, 'type must be contradicts' FROM n WHERE type <> 'contradicts'
+UNION ALL SELECT 'relation', place, 'unknown argument' FROM n WHERE loose
+UNION ALL SELECT 'relation', place, 'unknown argument' FROM n WHERE loose AND a IN (SELECT id FROM g WHERE claim IS NULL)
+UNION ALL SELECT 'document', id, 'text is missing' FROM g WHERE text IS NULL""",
+    "frame_join": """
+WITH s AS (SELECT a.vec_id AS id, a.label, b.vec_id AS cand, list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS s FROM embeddings a JOIN embeddings b USING (label) WHERE b.label < 8),
+r AS (SELECT *, row_number() OVER (PARTITION BY label, id ORDER BY s, cand) AS rk FROM s),
+f AS (SELECT id, string_agg('c' || cand || '/e' || cand, ',' ORDER BY rk) AS found FROM r WHERE rk <= 3 GROUP BY id)
+SELECT vec_id AS id, label, coalesce(found, '') AS found FROM embeddings LEFT JOIN f ON f.id = vec_id""",
+    "vector_lookup": "SELECT vec_id, round(CAST(embedding[1] AS DOUBLE), 6) AS first, len(embedding) AS n FROM embeddings",
+    "probability_lookup": f"""
+WITH e AS (SELECT vec_id, CAST(embedding[1:15] AS DOUBLE[]) AS v FROM embeddings), x AS (SELECT vec_id, list_transform(v, lambda y: exp(y - list_max(v))) AS e FROM e)
+SELECT vec_id, {_frame("list_position(e, list_max(e)) - 1")} AS frame, round(e[1] / list_sum(e), 6) AS p FROM x""",
+    "frame_corpus": "SELECT sha256(text) AS sha, doc_id % 15 AS interpretative_frame FROM documents WHERE doc_id % 7 > 0 AND text IS NOT NULL",
+    "head_rows": "SELECT doc_id, n_chars FROM documents ORDER BY n_chars, doc_id LIMIT 50",
+    "known_frames": f"SELECT vec_id, {_frame('label')} AS frame FROM embeddings WHERE label < 9",
+    "one_frame": f"SELECT vec_id, {_frame('label')} AS primary_frame FROM embeddings WHERE label = 2",
+    "frame_table": f"SELECT CAST(unnest(range(15)) AS INTEGER) AS frame_idx, CAST(unnest(range(1, 16)) AS INTEGER) AS label, unnest({_FRAMES}) AS frame",
+    "phrase_keywords": f"""
+WITH t AS (SELECT item_id, text, {_tokens("text")} AS t FROM benchmark),
+g AS (SELECT item_id, text, list_concat(t, list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1])) AS g FROM t),
+x AS (SELECT item_id, text, unnest(g) AS keyword, unnest(range(len(g))) AS place FROM g), d AS (SELECT item_id, keyword, any_value(text) AS text, min(place) AS place FROM x GROUP BY item_id, keyword),
+s AS (SELECT item_id, keyword, place, list_dot_product({_LETTERS.format("text")}, {_LETTERS.format("keyword")}) AS score FROM d),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, place) AS rk FROM s) SELECT item_id, CAST(rk AS INTEGER) AS rank, keyword, score FROM r WHERE rk <= 5""",
+    "split_pairs": f"WITH a AS (SELECT doc_id, quality, {_split('CAST(doc_id AS VARCHAR)')} AS split FROM labels WHERE toxic = 1) SELECT a.split, a.doc_id AS doc_id_1, a.quality AS quality_1, b.doc_id AS doc_id_2, b.quality AS quality_2 FROM a JOIN a b USING (split)",
+    "cleaned_pairs": f"WITH {_TURNS} SELECT conv_id, id, claim, evidence FROM a WHERE {_strip('claim')} <> '' AND {_strip('evidence')} <> ''",
+    "cosine_distances": "SELECT a.vec_id, round(1 - list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS distance FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1",
+    "positivity": "SELECT doc_id, round(CAST(CASE WHEN toxic = 1 THEN 0.0 WHEN quality = 1 THEN 1.0 ELSE 0.5 END AS DOUBLE) * (doc_id % 10 / CAST(10 AS DOUBLE)), 6) AS positivity FROM labels",
+    "style_checks": r"""
+WITH t AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '' WHEN 1 THEN '... !' ELSE text END AS t FROM documents), w AS (SELECT doc_id, t, len(regexp_extract_all(coalesce(t, ''), '[\p{L}\p{N}_]+')) AS n FROM t)
+SELECT doc_id, n AS words, CASE WHEN t IS NULL OR t = '' THEN 'empty text' WHEN n = 0 THEN 'no words' END AS error, CASE WHEN n > 0 AND n < 100 THEN 'only ' || n || ' words' END AS warning FROM w""",
 }
