@@ -45,7 +45,7 @@ BITS = 16
 #: Least symbols that agree where the distance is below what the pigeonhole guarantees.
 AGREE = SYMBOLS - CHUNKS * (ERRORS + 1) + 1
 #: Members of a block of signatures, of texts round a lead, and of texts compared with other blocks.
-BLOCK, STAR_BLOCK, TEXT_BLOCK = 1_024, 64, 256
+BLOCK, STAR_BLOCK, TEXT_BLOCK = 256, 64, 256
 BLOCK_SHINGLES = 400_000
 #: Bytes of a text hashed at once.
 PART = 1 << 18
