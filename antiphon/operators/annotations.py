@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..errors import DatasetError
 from ..functions.text import is_blank
 
 
@@ -67,3 +68,20 @@ def record_errors(golden: DataFrame) -> DataFrame:
 def rekeyed(ids: DataFrame, offset: int, key: str = "id") -> DataFrame:
     """(old, new): new ids from offset + 1 in the old ids' order (a merged export's few records)."""
     return ids.select(F.col(key).alias("old")).distinct().withColumn("new", (F.row_number().over(Window.orderBy("old")) + offset).cast("long"))
+
+
+def merged(first: DataFrame, second: DataFrame) -> DataFrame:
+    """One row of annotations: the records of both, those of the second with new ids after the first's.
+
+    Either must be free of errors; ids keep their order, and references follow them."""
+    for side in (first, second):
+        if bad := record_errors(side).limit(3).collect():
+            raise DatasetError(f"invalid annotations: {[tuple(r) for r in bad]}")
+    both = first.select(F.struct("*").alias("l")).crossJoin(second.select(F.struct("*").alias("r")))  # a row each
+    ids = lambda side, part: F.transform(F.col(f"{side}.{part}"), lambda x: x["id"])
+    new = lambda part: lambda old: F.coalesce(F.array_max(ids("l", part)), F.lit(0)) + F.array_position(F.array_sort(F.array_distinct(ids("r", part))), old)
+    doc, arg = new("documents"), new("arguments")
+    documents_ = F.concat("l.documents", F.transform("r.documents", lambda d: d.withField("id", doc(d["id"]))))
+    arguments_ = F.concat("l.arguments", F.transform("r.arguments", lambda a: a.withField("id", arg(a["id"])).withField("documentId", doc(a["documentId"]))))
+    relations_ = F.concat("l.relations", F.transform("r.relations", lambda r: r.withField("a", arg(r["a"])).withField("b", arg(r["b"]))))
+    return both.select(documents_.alias("documents"), arguments_.alias("arguments"), relations_.alias("relations"), F.col("l.version").alias("version"))

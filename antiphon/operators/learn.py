@@ -5,11 +5,11 @@ from __future__ import annotations
 import math
 
 from pyspark.ml import Pipeline, PipelineModel, Transformer
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClassificationEvaluator
-from pyspark.ml.feature import HashingTF, SQLTransformer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import SparseVector, Vectors, VectorUDT
+from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, HashingTF, Normalizer, SQLTransformer, VectorAssembler
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuilder
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,18 +17,20 @@ from pyspark.sql import functions as F
 from ..functions.text import ngrams, tokens
 
 EMBEDDING = 256
+#: The boosted models' trees and their depth.
+TREES, DEPTH = 200, 4
 
 
 def _tokenised(column: str, out: str) -> SQLTransformer:
     return SQLTransformer(statement=f"SELECT *, filter(split(lower(coalesce({column}, '')), '[^\\\\p{{L}}\\\\p{{N}}_]+'), t -> t rlike '^[a-z]{{2,}}$') AS {out} FROM __THIS__")
 
 
-def claim_pipeline(label: str = "is_claim", text: str = "sentence", trees: int = 20, depth: int = 4, seed: int = 42) -> Pipeline:
+def claim_pipeline(label: str = "is_claim", text: str = "sentence", trees: int = TREES, depth: int = DEPTH, seed: int = 42) -> Pipeline:
     """A sentence's hashed tokens to boosted trees."""
     return Pipeline(stages=[_tokenised(text, "_t"), HashingTF(inputCol="_t", outputCol="features", numFeatures=EMBEDDING), GBTClassifier(labelCol=label, maxIter=trees, maxDepth=depth, seed=seed)])
 
 
-def evidence_pipeline(label: str = "is_evidence", trees: int = 20, depth: int = 4, seed: int = 42) -> Pipeline:
+def evidence_pipeline(label: str = "is_evidence", trees: int = TREES, depth: int = DEPTH, seed: int = 42) -> Pipeline:
     """Claim and evidence embeddings side by side to boosted trees."""
     hashed = lambda a, b: HashingTF(inputCol=a, outputCol=b, numFeatures=EMBEDDING)
     return Pipeline(stages=[_tokenised("claim", "_a"), _tokenised("evidence", "_b"), hashed("_a", "_va"), hashed("_b", "_vb"), VectorAssembler(inputCols=["_va", "_vb"], outputCol="features"), GBTClassifier(labelCol=label, maxIter=trees, maxDepth=depth, seed=seed)])
@@ -54,22 +56,31 @@ def tf_idf_weights(df: DataFrame, key: str, text: str = "text", max_n: int = 2,
 
 
 def tf_idf(df: DataFrame, key: str, text: str = "text", max_n: int = 2, limit: int = 1000) -> DataFrame:
-    """(key, features): the weights as sparse vectors; a document without known terms has an empty one."""
-    w, _ = tf_idf_weights(df, key, text, max_n, limit)
-    lists = w.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("idx", "w"))).alias("x"))
+    """(key, features): the weights as sparse vectors; a document without known terms has an empty one.
 
-    @F.udf(VectorUDT())
-    def sparse(x):  # one call per document: assembling a sparse vector has no built-in form
-        return Vectors.sparse(limit, [r["idx"] for r in x], [r["w"] for r in x]) if x else SparseVector(limit, [], [])
-
-    return df.select(key).join(lists, key, "left").select(key, sparse("x").alias("features"))
+    The vocabulary, at most ``limit`` terms, goes through the driver."""
+    _, vocabulary = tf_idf_weights(df, key, text, max_n, limit)
+    terms = vocabulary.orderBy("idx").collect()
+    t = F.col("_t")
+    rows = df.select(key, tokens(F.col(text)).alias("_t")).select(key, F.concat(*[ngrams(t, n) for n in range(1, max_n + 1)]).alias("_grams"))
+    if not terms:
+        return rows.select(key, array_to_vector(F.array_repeat(F.lit(0.0), limit)).alias("features"))
+    counts = CountVectorizerModel.from_vocabulary([r.term for r in terms], inputCol="_grams", outputCol="_counts")
+    weighted = ElementwiseProduct(scalingVec=Vectors.dense([r.idf for r in terms]), inputCol="_counts", outputCol="_weighted")
+    out = Normalizer(p=2.0, inputCol="_weighted", outputCol="features").transform(weighted.transform(counts.transform(rows)))
+    return out.select(key, "features")
 
 
 def frame_classifier(label: str = "label", iterations: int = 30) -> LogisticRegression:
-    """Multinomial, since boosted trees here know two classes only."""
+    """Multinomial logistic regression: quick; ``boosted_frames`` takes trees."""
     return LogisticRegression(labelCol=label, featuresCol="features", family="multinomial", maxIter=iterations, regParam=0.01)
 
 
+def boosted_frames(label: str = "label", trees: int = TREES, depth: int = DEPTH, seed: int = 42) -> OneVsRest:
+    """Boosted trees for each frame against the others, since they know two classes only."""
+    return OneVsRest(labelCol=label, featuresCol="features", classifier=GBTClassifier(labelCol=label, featuresCol="features", maxIter=trees, maxDepth=depth, seed=seed))
+
+
 def tuned(pipeline: Pipeline, train: DataFrame, label: str, grid: dict[str, list] | None = None, folds: int = 3, seed: int = 42) -> CrossValidatorModel:
     """Grid search with cross-validation over the last stage's parameters (F1)."""
     last = pipeline.getStages()[-1]

@@ -351,7 +351,7 @@ def claim_model(spark, sf_dir):
     """Boosted trees over all labelled documents; their probabilities for every document."""
     d, lab = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
     train = d.join(lab, "doc_id").select("text", F.col("quality").cast("double").alias("is_claim"))
-    model = learn.claim_pipeline(text="text", trees=5).fit(train)
+    model = learn.claim_pipeline(text="text").fit(train)
     return model.transform(d).select("doc_id", learn.positive_probability().alias("p"))
 
 

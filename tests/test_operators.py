@@ -5,6 +5,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from antiphon.errors import ConfigurationError, DatasetError
+from antiphon.functions.tokenisers import WordTokeniser
 from antiphon.operators import annotations, datasets, encode, extract, filters, inference, keywords, learn, metrics, search
 from antiphon.schemas import ANNOTATIONS, FRAMES
 
@@ -245,6 +246,69 @@ def test_encoder(spark):
     assert min(losses) <= losses[0]
 
 
+def test_network_learns_in_all_layers(tmp_path):
+    rng = np.random.default_rng(1)
+    a, b = rng.normal(size=(2, 400, 6))
+    distance = np.where((a[:, 0] > 0) == (b[:, 0] > 0), 0.0, 0.5)
+    net = encode.Network.fresh((6, 16, 8, 4))
+    before = net.copy()
+    losses = net.train(a, b, distance, epochs=60, batch=64)
+    assert min(losses) < 0.5 * losses[0] and net.loss(a[4::5], b[4::5], distance[4::5]) == pytest.approx(min(losses))
+    assert all(np.abs(v - w).max() > 1e-3 for v, w in zip(net.weights, before.weights))
+    net.save(str(tmp_path / "net.npz"))
+    assert (encode.Network.load(str(tmp_path / "net.npz")).forward(a) == net.forward(a)).all()
+
+
+def test_network_gradients():
+    rng = np.random.default_rng(2)
+    net, x, want = encode.Network.fresh((3, 4, 2), seed=3), rng.normal(size=(7, 3)), rng.random((7, 2))
+    got = net._gradients(x, lambda y: y - want, 0.0, rng)
+
+    def loss():
+        values = []
+        net.copy()._gradients(x, lambda y: values.append(((y - want) ** 2).sum() / 2) or y - want, 0.0, rng)
+        return values[0]
+
+    for v, g in zip(net._values(), got):
+        for at in np.ndindex(v.shape):
+            v[at] += 1e-6
+            up = loss()
+            v[at] -= 2e-6
+            down = loss()
+            v[at] += 1e-6
+            assert g[at] == pytest.approx((up - down) / 2e-6, rel=1e-3, abs=1e-6)
+
+
+def test_word_tokeniser(spark):
+    df = spark.createDataFrame([("the cat the dog",), ("a cat",)], "text string")
+    tok = WordTokeniser.fit(df, 2)
+    assert tok.vocabulary == ["cat", "the"]
+    got = df.select(tok.encode(F.col("text")).alias("ids"), tok.decode(tok.encode(F.col("text"))).alias("back")).collect()
+    assert [r.ids for r in got] == [[2, 1, 2, 0], [1]] and [r.back for r in got] == ["the cat the ?", "cat"]
+    assert keywords.simple(df.withColumn("doc_id", F.length("text")), tokeniser=tok).filter("doc_id = 15 and rank = 1").first().keyword == "the"
+    assert df.select(tok.decode(F.array(F.lit(9))).alias("x")).first().x is None
+
+
+def test_merged_annotations(spark):
+    g = golden(spark, GOOD)
+    both = annotations.merged(g, g)
+    assert annotations.record_errors(both).count() == 0
+    r = both.first()
+    assert [d.id for d in r.documents] == [1, 2, 3, 4] and [(a.id, a.documentId) for a in r.arguments] == [(1, 1), (2, 2), (3, 3), (4, 4)]
+    assert [(x.a, x.b) for x in r.relations] == [(1, 2), (3, 4)]
+    with pytest.raises(DatasetError):
+        annotations.merged(g, golden(spark, ([(0, " ", None, None)], [], [], None)))
+
+
+def test_hash_ranges_keep_the_order(spark):
+    rows = spark.createDataFrame([(i, f"c{i}", i % 2) for i in range(200)], "k long, claim string, split int")
+    got = datasets.negatives(rows, 7, ["k"], within="split").collect()
+    assert len(got) == 200 and sorted(r.claim for r in got) == sorted(f"c{i}" for i in range(200))  # a permutation
+    assert all(r.claim != f"c{r.k}" and int(r.claim[1:]) % 2 == r.split for r in got)
+    halves = datasets.stratified_halves(rows, "split", "k").groupBy("split").count().collect()
+    assert {r["count"] for r in halves} == {100}
+
+
 def test_models(spark, tmp_path):
     rows = [(f"we claim point {w}", 1) for w in "abcdefghij" * 2] + [(f"nothing to see {w}", 0) for w in "abcdefghij" * 2]
     df = spark.createDataFrame(rows, "sentence string, is_claim int")
@@ -271,6 +335,7 @@ def test_tf_idf(spark):
     assert v == {1: 2, 2: 2, 3: 0}
     train = learn.tf_idf(df, "doc_id", max_n=1).withColumn("label", (F.col("doc_id") % 3).cast("double"))
     assert learn.frame_classifier(iterations=2).fit(train).transform(train).count() == 3
+    assert learn.boosted_frames(trees=1, depth=1).fit(train).transform(train).count() == 3
 
 
 def test_balance_and_histogram(spark):
