@@ -6,7 +6,10 @@
 4. pii: personal data is replaced by its kind in brackets; n_chars follows the new text.
 5. packing: what is left becomes token sequences, one row per piece.
 
-All but the last return the columns they got.  Rows with a null id are never dropped by stages 2 and 3.
+All but the last return the columns they got.  Stage 2: a row with a null id takes no part and stays; of
+rows that repeat an id and a text one stays; rows of one id with different texts stay or go together.
+Stage 3 decides row by row, whatever the ids.  How stage 5 cuts and groups pieces follows the partitions of
+its input; which ids a document's pieces hold does not.
 """
 
 from __future__ import annotations
@@ -28,12 +31,18 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = neardup.groups(docs)
-    return without_ids(docs, found.filter("not kept").select("doc_id"), "doc_id")
+    kept = without_ids(docs, found.filter("not kept").select("doc_id"), "doc_id")
+    again = materialise(docs.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"), "repeated")
+    if not again.limit(1).count():
+        return kept
+    return kept.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(kept.join(again, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"]))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"))
-    return without_ids(docs, found.filter(F.size("spans") > 0).select("doc_id"), "doc_id")
+    key = free_name(docs, "row_key")  # of the text alone: equal texts share their fate
+    keyed = docs.withColumn(key, F.unhex(F.md5(F.col("text").cast("binary"))))
+    found = decontaminate.contamination(keyed, table(spark, sf_dir, "benchmark"), id_col=key)
+    return without_ids(keyed, found.filter(F.size("spans") > 0).select(key), key).select(*docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
