@@ -106,8 +106,8 @@ def salted_join(left: DataFrame, right: DataFrame, keys: list[str], size: str, t
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
 
 
-#: Ids up to which a list of rows to drop is broadcast (16 MB of longs); longer lists are joined by a shuffle.
-BROADCAST_IDS = 2_000_000
+#: Ids up to which a list of rows to drop is broadcast (16 bytes each at most); longer lists are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
 
 
 def without_ids(df: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:

@@ -14,8 +14,8 @@ its overlapping word shingles; a document contains the window where all of them
    place.  Overlapping places merge into intervals, whose lengths are the hit words.
 
 Shingles are compared by 64-bit hashes; a false window needs all of its overlapping shingles to collide.
-The windows' tables are broadcast only if the benchmark has at most ``broadcast_windows`` windows; beyond
-that the same joins shuffle.
+The windows' tables are broadcast only if the benchmark has at most ``broadcast_windows`` windows and items
+of windows; beyond that the same joins shuffle.
 
 Null and empty texts have no words; items without words have no windows.  Rows with equal ids are
 treated one by one; equal items count under each of their ids.  Empty tables give no rows, or no hits.
@@ -68,7 +68,7 @@ def windows_of(items: DataFrame, size: int, id_col: str, text_col: str) -> DataF
 def contamination(docs: DataFrame, items: DataFrame, size: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", broadcast_windows: int = 500_000) -> DataFrame:
     """Per document row: id, n_words, spans (array of (start, end) in words, disjoint, ordered), items (sorted ids as strings)."""
     windows = materialise(windows_of(items, size, item_col, item_text), "windows")
-    shape = windows.agg(F.count("*").alias("rows"), F.coalesce(F.sort_array(F.collect_set("n")), F.array()).alias("lengths")).first()
+    shape = windows.agg((F.count("*") + F.coalesce(F.sum(F.size("items")), F.lit(0))).alias("rows"), F.coalesce(F.sort_array(F.collect_set("n")), F.array()).alias("lengths")).first()
     small = shape.rows <= broadcast_windows
     hint = F.broadcast if small else lambda df: df
     lengths = list(shape.lengths)  # at most ``size`` values

@@ -573,6 +573,21 @@ def test_twins(spark, sf_dir, name):
     assert sorted(map(tuple, got[sorted(got.columns)].astype(str).to_numpy())) == sorted(map(tuple, want[sorted(want.columns)].astype(str).to_numpy()))
 
 
+def test_pipeline_stages_of_odd_rows(spark, tmp_path):
+    import corpus_pipeline
+
+    item = " ".join(f"bench{i}" for i in range(12))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    text = " ".join(f"w{i}" for i in range(30))
+    rows = [(1, text), (1, text), (2, text + " end"), (None, text), (3, item), (None, item), (4, "clean words"), (4, item), (5, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    left = corpus_pipeline.near_duplicates(spark, docs, str(tmp_path)).collect()
+    assert sorted((str(r.doc_id), r.text or "") for r in left if r.text in (text, text + " end")) == [("1", text), ("None", text)]
+    clean = corpus_pipeline.decontamination(spark, docs, str(tmp_path)).collect()
+    assert sorted((str(r.doc_id), r.text or "") for r in clean) == sorted((str(i), t or "") for i, t in rows if t != item)
+    assert all(f(spark, docs.limit(0), str(tmp_path)).count() == 0 for _, f in corpus_pipeline.STAGES)
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
