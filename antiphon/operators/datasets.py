@@ -116,6 +116,11 @@ def pair_up(df: DataFrame, columns: Sequence[str], within: str = "split") -> Dat
     return a.join(b, within)
 
 
+def store_values(df: DataFrame, path: str, key: str, value: str, place: int) -> None:
+    """Append (key, value, place) to a side table in Parquet, which ``look_up`` reads: a later ``place`` wins."""
+    df.select(F.col(key).alias("key"), F.col(value).alias("value"), F.lit(place).alias("place")).write.mode("append").parquet(path)
+
+
 def look_up(df: DataFrame, side: DataFrame, key: str, value: str, as_col: str) -> DataFrame:
     """``df`` with the side table's value by key; the last of repeated keys wins, a missing key is an error.
 

@@ -13,6 +13,8 @@ from ..schemas import CONTRADICTION, ENTAILMENT, NEUTRAL
 from .extract import overlap
 
 NEGATIONS = ("no", "not", "never", "none", "nicht", "kein", "pas", "jamais", "nunca")
+#: Rows that all references may be paired with.
+MOST_OTHERS = 10_000
 #: (text, other text) -> struct(result, confidence)
 Inference = Callable[[Column, Column], Column]
 
@@ -34,10 +36,13 @@ def _lexical(a: Column, b: Column, ta: Column, tb: Column, share: Column, entail
 
 def pairs(references: DataFrame, others: DataFrame, on: Sequence[str] = (), text: str = "text", infer: Inference = lexical) -> DataFrame:
     """Every reference with every other text of the same ``on`` (of all, if that is empty): reference
-    columns as r_*, others as o_*, and result and confidence.  Either side empty gives no rows."""
+    columns as r_*, others as o_*, and result and confidence.  Either side empty gives no rows.  Without
+    ``on`` the others, at most MOST_OTHERS rows, go to every task."""
     r = references.select(*[F.col(c).alias(c if c in on else f"r_{c}") for c in references.columns])
     o = others.select(*[F.col(c).alias(c if c in on else f"o_{c}") for c in others.columns])
-    both = r.join(o, list(on)) if on else r.crossJoin(o)
+    if not on and others.limit(MOST_OTHERS + 1).count() > MOST_OTHERS:
+        raise ValueError(f"more than {MOST_OTHERS} other texts need columns to pair on")
+    both = r.join(o, list(on)) if on else r.crossJoin(F.broadcast(o))
     return both.withColumn("_p", infer(F.col(f"r_{text}"), F.col(f"o_{text}"))).select("*", "_p.result", "_p.confidence").drop("_p")
 
 

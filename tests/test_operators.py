@@ -300,6 +300,21 @@ def test_merged_annotations(spark):
         annotations.merged(g, golden(spark, ([(0, " ", None, None)], [], [], None)))
 
 
+def test_side_store(spark, tmp_path):
+    for place, vector in enumerate(([1.0], [2.0])):
+        datasets.store_values(spark.createDataFrame([("a", vector)], "t string, v array<double>"), str(tmp_path / "s"), "t", "v", place)
+    side = spark.read.parquet(str(tmp_path / "s")).withColumnRenamed("key", "t")
+    assert datasets.look_up(spark.createDataFrame([("a",)], "t string"), side, "t", "value", "v").first().v == [2.0]
+
+
+def test_pairs_without_keys_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(inference, "MOST_OTHERS", 2)
+    df = spark.createDataFrame([("a",), ("b",)], "text string")
+    assert inference.pairs(df, df).count() == 4
+    with pytest.raises(ValueError):
+        inference.pairs(df, df.union(df))
+
+
 def test_hash_ranges_keep_the_order(spark):
     rows = spark.createDataFrame([(i, f"c{i}", i % 2) for i in range(200)], "k long, claim string, split int")
     got = datasets.negatives(rows, 7, ["k"], within="split").collect()
