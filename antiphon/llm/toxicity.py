@@ -9,7 +9,7 @@ all its words, and over words spelled out with spaces; the landmarks' own kernel
 root) maps them to the Nyström space, where a linear SVM is trained with Platt scaling.
 
 The fit takes at most ``PER_LABEL`` documents of each label, none over ``sampling.MAX_BYTES`` long
-(documented bounds); every text is scored whole.  A null or empty text has no features: it gets the score of a text without any match.
+(documented bounds); every text is scored whole, a long one in parts whose best values count.  A null or empty text has no features: it gets the score of a text without any match.
 Documents with several labels count as toxic if one says so; labels without a document are ignored.
 Without both labels the score is the share of toxic rows (0 without rows).  Repeated rows get equal
 scores; an empty table gives no rows; other columns pass through.
@@ -38,9 +38,13 @@ ALIKE, WORTH, APART = 0.85, 0.4, 0.6
 DECAY = 0.85
 WINDOW, STEP = 8, 2
 FLOOR = 0.4
-SEEN = 400_000
+#: Words that are remembered, and those whose values are computed at once.
+SEEN, PART = 200_000, 4_000
+#: Characters of text whose words are held at once.
+CHUNK = 1 << 18
 _SPELLED = re.compile(r"(?<!\S)\w(?:\s\w){3,}(?!\S)")
 _RUNS = re.compile(r"[^\W\d_]+")
+_WORD_END = re.compile(r"\w\w\s")
 _TRIPLES = [(i, j, k, DECAY ** (k - i + 1)) for i, j, k in combinations(range(WINDOW + 1), 3)]
 _START = 40
 #: The norm by length, as if no three symbols stood twice; where they do, the bound is this much too low.
@@ -121,6 +125,19 @@ def _pieces(word: str) -> list[str]:
     return [*runs, "".join(runs)] if len(runs) > 1 and len(word) <= 4 * WINDOW else runs
 
 
+def parts(text: str) -> Iterator[str]:
+    """Pieces of at most CHUNK characters, cut after a word of several letters if there is one near."""
+    at = 0
+    while at < len(text):
+        end = at + CHUNK
+        if end < len(text):
+            near = max(at, end - 4096)
+            last = max((m.end() for m in _WORD_END.finditer(text, near, end)), default=end)
+            end = last
+        yield text[at:end]
+        at = end
+
+
 class Features:
     """Documents' landmark features; remembers words, in two generations of at most SEEN."""
 
@@ -130,8 +147,8 @@ class Features:
         self.warm: dict[str, np.ndarray] = {}
 
     def _learn(self, words: list[str]) -> None:
-        for lo in range(0, len(words), 20_000):
-            part = words[lo : lo + 20_000]
+        for lo in range(0, len(words), PART):
+            part = words[lo : lo + PART]
             strings, owner = [], []
             for i, w in enumerate(part):
                 for run in (w,) if w.isalpha() else _pieces(w):
@@ -145,28 +162,40 @@ class Features:
             value = np.maximum(value - FLOOR, 0) / (1 - FLOOR)
             for r in np.flatnonzero(value.any(1)).tolist():
                 w = part[owner[some[r]]]
-                self.warm[w] = np.maximum(self.warm[w], value[r]) if w in self.warm else value[r]
+                self.warm[w] = np.maximum(self.warm[w], value[r]) if w in self.warm else value[r].copy()  # a view would hold all rows
 
     def __call__(self, texts: list[str | None]) -> np.ndarray:
+        out = np.zeros((len(texts), self.m), np.float32)
+        held: list[tuple[int, str]] = []
+        size = 0
+        for i, text in enumerate(texts):
+            for piece in parts(text or ""):
+                if held and size + len(piece) > CHUNK:
+                    self._add(held, out)
+                    held, size = [], 0
+                held.append((i, piece))
+                size += len(piece)
+        self._add(held, out)
+        return out
+
+    def _add(self, pieces: list[tuple[int, str]], out: np.ndarray) -> None:
         sets = []
-        for t in texts:
-            t = (t or "").lower()
+        for _, t in pieces:
+            t = t.lower()
             s = set(t.split())
             s.update("".join(m.split()) for m in _SPELLED.findall(t))
             sets.append(s)
         new = set().union(*sets) - self.cold if sets else set()
         new -= self.warm.keys()
         self._learn(list(new))
-        out = np.zeros((len(texts), self.m), np.float32)
-        for i, s in enumerate(sets):
+        for (i, _), s in zip(pieces, sets):
             for w in s & self.warm.keys():
                 np.maximum(out[i], self.warm[w], out=out[i])
         self.cold |= new - self.warm.keys()
         if len(self.cold) > SEEN:
             self.cold = set()
-        if len(self.warm) > SEEN // 4:
+        if len(self.warm) > SEEN // 8:
             self.warm = {}
-        return out
 
 
 class Model:

@@ -407,6 +407,14 @@ def test_toxicity_without_labels(spark, sf_dir):
     assert [r._toxicity for r in toxicity.with_toxicity(docs.limit(3), none).collect()] == [0.0] * 3
 
 
+def test_toxicity_of_a_text_in_parts():
+    f = toxicity.Features(["^idiot", "idiot"])
+    long = "fine days " * 60_000
+    assert "".join(toxicity.parts(long)) == long and len(list(toxicity.parts(long))) > 2
+    got = f([long + " you i d i o t", "you i d i o t", None, "x" * 600_000])
+    assert (got[0] == got[1]).all() and got[0].max() > 0.5 and not got[2:].any()
+
+
 def test_kernel_tolerates_gaps():
     k = toxicity.Kernel(["^idiot"])
     same, gap, other = k(["^idiot", "^idxiot", "^garden"])[:, 0]
