@@ -29,6 +29,7 @@ table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -49,6 +50,8 @@ BLOCK, STAR_BLOCK, TEXT_BLOCK = 256, 64, 256
 BLOCK_SHINGLES = 400_000
 #: Bytes of a text hashed at once.
 PART = 1 << 18
+#: Words of more bytes are hashed one by one: sums of powers modulo 2**64 clash for some words of a thousand.
+LONG_WORD = 64
 #: Columns of shingles counted at once.
 COLUMNS = 4_096
 
@@ -90,7 +93,10 @@ def _words(raw: np.ndarray) -> np.ndarray:
     power, inverse = _powers(len(raw) + 1)
     total = np.zeros(len(raw) + 1, np.uint64)
     np.cumsum(_BYTE[raw] * inverse[: len(raw)], out=total[1:])
-    return _mix((total[end] - total[start]) * power[start] + (end - start).astype(np.uint64))
+    out = _mix((total[end] - total[start]) * power[start] + (end - start).astype(np.uint64))
+    for i in np.flatnonzero(end - start > LONG_WORD).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(raw[start[i] : end[i]], digest_size=8).digest(), "little")
+    return out
 
 
 def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:

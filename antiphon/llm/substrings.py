@@ -35,6 +35,8 @@ from .common import materialise, release_shuffles, small_batches
 
 TRIGGER = 24
 CHUNK = 1 << 17
+#: Bytes of a stretch hashed as one sum.
+PLAIN = 512
 _NULL = -(1 << 63)
 _BASE = 0xD1342543DE82EF95
 _RNG = np.random.default_rng(77)
@@ -79,8 +81,18 @@ class Bytes:
             self.sums.append(s)
 
     def hash(self, a: np.ndarray, b: np.ndarray, which: int) -> np.ndarray:
+        """Hashes of the stretches a to b.  Sums of powers modulo 2**64 clash for some stretches of a
+        thousand bytes, so those of over PLAIN are mixed part by part."""
         s = self.sums[which]
-        return _mix((s[b] - s[a]) * self.power[a])
+        stop = np.minimum(b, a + PLAIN)
+        out = _mix((s[stop] - s[a]) * self.power[a])
+        more = np.flatnonzero(b > stop)
+        while len(more):
+            lo = stop[more]
+            stop[more] = hi = np.minimum(b[more], lo + PLAIN)
+            out[more] = _mix(out[more] * np.uint64(_BASE) + (s[hi] - s[lo]) * self.power[lo])
+            more = more[b[more] > hi]
+        return out
 
 
 def phrases(texts: Bytes, begin: np.ndarray, end: np.ndarray, length: int) -> tuple[np.ndarray, ...]:

@@ -4,8 +4,8 @@ A vocabulary's pre-tokeniser cuts a text into pieces that are encoded independen
 For texts of letters, digits, marks, single spaces and line breaks the cuts follow from the characters'
 classes alone, so arrays find them, hash the pieces and look their ids up in a table; only pieces not yet
 seen reach the library.  Any other text (other white space, apostrophes, characters outside the basic
-plane, combining marks) goes to the library whole.  Ids therefore equal ``Tokenizer.encode``'s, but for
-two pieces with equal 64-bit hashes.
+plane, combining marks) goes to the library whole.  A piece found by its hash counts only if its characters
+are those in the table; if not, the library encodes it.  Ids therefore equal ``Tokenizer.encode``'s.
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 SPACE, BREAK, LETTER, DIGIT, MARK, ODD = 1, 2, 3, 4, 5, 6
 CHUNK = 1 << 20
+#: Characters of pieces that the table holds before it forgets all.
+HELD_CHARS = 1 << 24
 
 
 def _class(c: int) -> int:
@@ -33,7 +35,7 @@ def _class(c: int) -> int:
 
 
 class PieceTable:
-    """64-bit keys -> slices of one array of ids; open addressing, probed for many keys at a time."""
+    """64-bit keys -> a piece's characters and ids; open addressing, probed for many keys at a time."""
 
     def __init__(self, bits: int):
         self.bits = bits
@@ -46,7 +48,9 @@ class PieceTable:
         self.value = np.zeros(1 << self.bits, np.int32)
         self.start, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
         self.pool = np.zeros(1 << 18, np.uint32)
-        self.n = self.used = 0
+        self.char_start, self.char_size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.chars = np.zeros(1 << 20, np.uint16)
+        self.n = self.used = self.held = 0
 
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
@@ -66,16 +70,37 @@ class PieceTable:
             left = left[~hit & (got != 0)]
         return out
 
-    def add(self, keys: np.ndarray, ids: np.ndarray, size: np.ndarray) -> None:
-        """Add distinct keys that are not there; ``ids`` holds theirs one after another."""
-        while self.n + len(keys) > len(self.start):
-            self.start, self.size = (np.concatenate([a, np.zeros_like(a)]) for a in (self.start, self.size))
+    def store(self, ids: np.ndarray, size: np.ndarray, pieces: list[str]) -> np.ndarray:
+        """Entries of new pieces; ``ids`` holds theirs one after another, ``size`` how many each has."""
+        chars, length = np.frombuffer("".join(pieces).encode("utf-16-le"), np.uint16), np.array([len(p) for p in pieces], np.int64)
+        while self.n + len(pieces) > len(self.start):
+            self.start, self.size, self.char_start, self.char_size = (np.concatenate([a, np.zeros_like(a)]) for a in (self.start, self.size, self.char_start, self.char_size))
         while self.used + len(ids) > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-        own = np.arange(self.n, self.n + len(keys))
+        while self.held + len(chars) > len(self.chars):
+            self.chars = np.concatenate([self.chars, np.zeros_like(self.chars)])
+        own = np.arange(self.n, self.n + len(pieces))
         self.pool[self.used : self.used + len(ids)] = ids
+        self.chars[self.held : self.held + len(chars)] = chars
         self.start[own], self.size[own] = self.used + np.cumsum(size) - size, size
-        self.used, self.n = self.used + len(ids), self.n + len(keys)
+        self.char_start[own], self.char_size[own] = self.held + np.cumsum(length) - length, length
+        self.used, self.held, self.n = self.used + len(ids), self.held + len(chars), self.n + len(pieces)
+        return own
+
+    def differing(self, entry: np.ndarray, c: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Pieces of ``c`` (by number) whose characters are not those of their entry."""
+        length = end - start
+        wrong = self.char_size[entry] != length
+        n = np.where(wrong, 0, length)
+        first = np.cumsum(n) - n
+        at = np.arange(int(n.sum()))
+        odd = self.chars[at + np.repeat(self.char_start[entry] - first, n)] != c[at + np.repeat(start - first, n)]
+        wrong[np.searchsorted(first + n, np.flatnonzero(odd), "right")] = True
+        return np.flatnonzero(wrong)
+
+    def add(self, keys: np.ndarray, ids: np.ndarray, size: np.ndarray, pieces: list[str]) -> None:
+        """Add pieces with distinct keys that are not there."""
+        own = self.store(ids, size, pieces)
         slot, left = self._slot(keys), np.arange(len(keys))
         while len(left):
             free = left[self.keys[slot[left]] == 0]
@@ -160,7 +185,7 @@ class CachedTokenizer:
             if len(cut) != len(part):  # cannot be told apart: one by one
                 each = [np.frombuffer(self.whole(p), np.uint32) for p in part]
                 ids, size = np.concatenate(each), np.array([len(e) for e in each])
-            self.table.add(keys[lo : lo + 20_000], ids, size)
+            self.table.add(keys[lo : lo + 20_000], ids, size, part)
 
     def _chunk(self, texts: list[str]) -> list[bytes]:
         size = np.array([len(t) for t in texts])
@@ -170,7 +195,7 @@ class CachedTokenizer:
         entry = self.table.find(keys)
         miss = np.flatnonzero(entry < 0)
         if len(miss):
-            if self.table.n + len(miss) > 1 << (self.table.bits - 1):
+            if self.table.n + len(miss) > 1 << (self.table.bits - 1) or self.table.held > HELD_CHARS:
                 self.table.clear(len(np.unique(keys)))
                 miss = np.arange(len(keys))
             new, first = np.unique(keys[miss], return_index=True)
@@ -183,8 +208,12 @@ class CachedTokenizer:
                 own = np.array([w == "\n" for w in whole], bool)
                 self._learn([w for w in whole if w != "\n"], new[~own])
                 if own.any():
-                    self.table.add(new[own], np.flatnonzero(self.mark).astype(np.uint32), np.ones(1, np.int64))
+                    self.table.add(new[own], np.flatnonzero(self.mark).astype(np.uint32), np.ones(1, np.int64), ["\n"])
             entry[miss] = self.table.find(keys[miss])
+        for i in self.table.differing(entry, c, start, end).tolist():  # another piece has its key
+            piece = c[start[i] : end[i]].tobytes().decode("utf-32-le")
+            ids = np.frombuffer(self.whole(piece), np.uint32)
+            entry[i] = self.table.store(ids, np.array([len(ids)]), [piece])[0]
         n = self.table.size[entry]
         stop = np.cumsum(n)
         ids = self.table.pool[np.arange(int(stop[-1]) if len(stop) else 0) + np.repeat(self.table.start[entry] - stop + n, n)]

@@ -64,6 +64,30 @@ def test_cached_ids_equal_the_librarys(spark, sf_dir, path):
             assert np.frombuffer(got, "<u4").tolist() == (ids_of(path, t) if t else []), repr((t or "")[:60])
 
 
+def thue_morse(n, a="a", b="b"):
+    return "".join(b if i.bit_count() & 1 else a for i in range(n))
+
+
+@pytest.mark.parametrize("path", [WORDS, BYTES])
+def test_words_whose_hashes_clash_keep_their_ids(path):
+    words = [w for n in (512, 1024, 2048, 4096) for w in (thue_morse(n), thue_morse(n, "b", "a"))]
+    tok = CachedTokenizer(path, bits=12)
+    texts = [*words, " ".join(words), "x " + words[3] + "\n" + words[2]]
+    for _ in range(2):
+        assert [np.frombuffer(got, "<u4").tolist() for got in tok.encode_batch(texts)] == [ids_of(path, t) for t in texts]
+    for t in reversed(texts):
+        assert np.frombuffer(tok.encode_batch([t])[0], "<u4").tolist() == ids_of(path, t)
+
+
+def test_pieces_with_one_key_are_told_apart(monkeypatch):
+    tok = CachedTokenizer(WORDS, bits=12)
+    pieces = tok._pieces
+    monkeypatch.setattr(tok, "_pieces", lambda raw, at: (lambda s, e, k, c: (s, e, k % np.uint64(7) + np.uint64(1), c))(*pieces(raw, at)))
+    texts = ["one two three four", "some other words, then 12 more: one two", "the end"]
+    for _ in range(3):
+        assert [np.frombuffer(got, "<u4").tolist() for got in tok.encode_batch(texts)] == [ids_of(WORDS, t) for t in texts]
+
+
 def check_packing(rows, texts, capacity=2048):
     docs, seqs = defaultdict(list), defaultdict(list)
     for r in rows:
@@ -191,6 +215,15 @@ def test_samples_are_bounded(spark):
     assert max(got.values()) <= 50  # repeated rows share a hash: all or none of them, but for the bound
 
 
+def test_repeated_substrings_of_a_thousand_bytes(spark):
+    a, b = thue_morse(1024), thue_morse(1024, "b", "a")
+    rng = random.Random(3)
+    other = "".join(rng.choice("abcdefgh ") for _ in range(1500))
+    rows = [(1, a), (2, b), (3, "x" + a + "y"), (4, other), (5, other[100:] + b), (6, other[:1100])]
+    got = substrings.digest(substrings.repeated(spark.createDataFrame(rows, "doc_id long, text string"), length=1024)).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert sorted(tuple(r) for r in got.collect()) == sorted(brute.repeated_bytes(rows, 1024))
+
+
 def test_repeated_substrings_odd_tables(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert substrings.repeated(empty).count() == 0
@@ -247,6 +280,13 @@ def test_near_duplicates_odd_tables(spark):
     assert all(r.kept for r in got) and {r.component_id for r in got} == {1, None}
 
 
+def test_near_duplicates_of_words_whose_sums_clash(spark):
+    rows = [(10 * n + k, thue_morse(n, *"ab"[:: 1 - 2 * k])) for n in (1024, 2048, 4096) for k in (0, 1)]
+    rows += [(50_000 + i, f"{t} b c d e f g h") for i, (_, t) in enumerate(rows[:4])]
+    got = neardup.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert all(r.component_id == r.doc_id and r.kept for r in got)
+
+
 def test_signatures_meet_within_the_distance():
     rng = np.random.default_rng(0)
     sig = rng.integers(0, 1 << 16, (1, neardup.SYMBOLS)).astype(np.uint16)
