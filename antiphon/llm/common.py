@@ -6,7 +6,10 @@ import gc
 import tempfile
 import time
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -84,6 +87,33 @@ def fold(doc_id: str | Column) -> Column:
     return F.crc32(col.cast("string").cast("binary")) % 5
 
 
+def summed(parts: DataFrame, kinds: dict[str, tuple[type, type]], blocks: int) -> DataFrame:
+    """``parts`` (block int, then a binary array of numbers for each of ``kinds``) added up by block: one row each.
+
+    ``kinds`` gives the numbers' type in a part and in a sum.  Tasks hold sums only, however many parts there are."""
+    schema = ", ".join(["block int", *(f"{k} binary" for k in kinds)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[np.ndarray]] = {}
+        for b in batches:
+            for k, *values in zip(*(c.to_pylist() for c in b.columns)):
+                values = [np.frombuffer(v, t) for v, (t, _) in zip(values, kinds.values())]
+                if k not in held:
+                    held[k] = [np.zeros(len(v), t) for v, (_, t) in zip(values, kinds.values())]
+                for total, v in zip(held[k], values):
+                    total += v
+        for k, values in held.items():
+            yield block_row(k, dict(zip(kinds, values)))
+
+    n = max(1, min(blocks, int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    return parts.select("block", *kinds).repartition(n, "block").mapInArrow(run, schema)
+
+
+def block_row(block: int, values: dict[str, np.ndarray]) -> pa.RecordBatch:
+    """A row for ``summed``."""
+    return pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), *(pa.array([v.tobytes()], pa.binary()) for v in values.values())], names=["block", *values])
+
+
 def free_name(df: DataFrame, base: str) -> str:
     """``base`` with as many underscores as it takes to differ from every column of ``df``."""
     taken = {c.lower() for c in df.columns}

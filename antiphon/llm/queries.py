@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, huffman, knn, langid, neardup, packing, pii, substrings, toxicity
+from . import decontaminate, html_text, huffman, knn, langid, neardup, packing, pii, quality, resampling, substrings, toxicity, whitening
 from .common import fold, table
 
 
@@ -59,6 +59,20 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.coalesce(fold("doc_id") == 0, F.lit(False)).alias("held_out"), F.col("_language.lang").alias("lang_pred"), F.col("_language.score").alias("score"), F.col("_language.ambiguous").alias("ambiguous"))
 
 
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = quality.with_quality(docs, quality.train(docs, table(spark, sf_dir, "labels")), as_col="score")
+    return out.select("doc_id", F.coalesce(fold("doc_id") == 0, F.lit(False)).alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_substring_dedup": op2_substring_dedup,
@@ -70,6 +84,9 @@ QUERIES = {
     "op8_top_k": op8_top_k,
     "op9_html_text": op9_html_text,
     "op10_language_id": op10_language_id,
+    "op11_quality": op11_quality,
+    "op12_whitening": op12_whitening,
+    "op13_resampling": op13_resampling,
 }
 
 #: DuckDB twins, where SQL can express the operator.
@@ -132,4 +149,24 @@ WITH e AS (
   FROM e q JOIN e c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0
 ), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rk FROM s)
 SELECT query_id, CAST(rk AS INTEGER) AS rank, vec_id, score FROM r WHERE rk <= 10""",
+    "op13_resampling": r"""
+WITH RECURSIVE crc AS (SELECT range AS i, CAST(range AS BIGINT) AS c, 0 AS k FROM range(256) UNION ALL SELECT i, xor(c >> 1, 3988292384 * (c & 1)), k + 1 FROM crc WHERE k < 8),
+tab AS (SELECT list(c ORDER BY i) AS t FROM crc WHERE k = 8),
+d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+b AS (SELECT regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+dw AS (SELECT doc_id, w, count(*) AS c FROM (SELECT doc_id, unnest(ws) AS w FROM d) GROUP BY ALL),
+bw AS (SELECT w, count(*) AS c FROM (SELECT unnest(ws) AS w FROM b) GROUP BY ALL),
+hashed AS (
+  SELECT w, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(0, length(h) // 2), lambda i: CAST('0x' || substr(h, 2 * i + 1, 2) AS BIGINT))), lambda c, x: xor(c >> 8, t[xor(c & 255, x) + 1])), 4294967295) % 10000 AS bucket
+  FROM (SELECT w, hex(encode(w)) AS h FROM (SELECT w FROM dw UNION SELECT w FROM bw)), tab
+), s AS (SELECT bucket, sum(c) AS s FROM dw JOIN hashed USING (w) GROUP BY bucket), t AS (SELECT bucket, sum(c) AS t FROM bw JOIN hashed USING (w) GROUP BY bucket),
+totals AS (SELECT CAST(coalesce((SELECT sum(s) FROM s), 0) AS DOUBLE) + 10000 AS s_all, CAST(coalesce((SELECT sum(t) FROM t), 0) AS DOUBLE) + 10000 AS t_all),
+g AS (SELECT bucket, floor(1000 * ln((CAST(coalesce(t, 0) AS DOUBLE) + 1) * s_all / ((CAST(coalesce(s, 0) AS DOUBLE) + 1) * t_all))) AS gain FROM s FULL JOIN t USING (bucket), totals),
+w AS (SELECT doc_id, sum(c) AS n, sum(c * gain) AS weight FROM dw JOIN hashed USING (w) JOIN g USING (bucket) GROUP BY doc_id),
+scored AS (
+  SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight,
+    CAST(coalesce(weight, 0) + floor(-1000 * ln(-ln((CAST(CAST('0x' || substr(sha256('2024:' || doc_id), 1, 8) AS BIGINT) AS DOUBLE) + 0.5) / 4294967296))) AS BIGINT) AS score
+  FROM documents LEFT JOIN w USING (doc_id)
+), drawn AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM scored WHERE n_features >= 20)
+SELECT scored.*, CASE WHEN rank <= (SELECT count(*) FROM drawn) * 10 // 100 THEN rank END AS rank FROM scored LEFT JOIN drawn USING (doc_id)""",
 }
