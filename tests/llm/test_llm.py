@@ -511,7 +511,68 @@ def test_main_text(spark, sf_dir):
         assert r._main_text == brute.article_text(r.html)
 
 
-@pytest.mark.parametrize("part", ["<nav><p>x", "<div class=ad>", "<svg><p>", '<a ">" ', "<a ", "<head><noscript>", "<li><!-- x "])
+@pytest.fixture(scope="module")
+def weights(spark):
+    return html_text.train(spark.read.parquet("/root/testdata/sf0.01/pages.parquet"))
+
+
+ARTICLE = "<h1>A fine title</h1><p>First para of some words here.</p><p>Second para with more words than that.</p>"
+WANT = "A fine title\nFirst para of some words here.\nSecond para with more words than that."
+MENU = "<nav><ul><li><a href=/a>One</a></li><li><a href=/b>Two</a></li></ul></nav>"
+WRAPPERS = ["<div class='has-sidebar'>", "<div class='content with-sidebar'>", '<div class="menu-open">', "<form action=/x method=post>", "<div id=page class='sidebar'>", "<section role=search>", "<div class=no-footer>", "<div hidden-by=me>"]
+
+
+@pytest.mark.parametrize("learned", [False, True])
+@pytest.mark.parametrize("wrapper", WRAPPERS)
+def test_articles_survive_what_is_round_them(weights, wrapper, learned):
+    tag = html_text._TAG_NAME.match(wrapper)[2]
+    for inner in (f"<article>{ARTICLE}</article>", f"<div class=x><article>{ARTICLE}</article></div>", f"<main>{ARTICLE}</main>"):
+        page = f"<html><body>{MENU}{wrapper}{inner}</{tag}><footer>words of the foot</footer></body></html>"
+        assert html_text.extract(page, weights if learned else {}) == WANT
+    if not any(w in wrapper for w in ("id=page", "role")):  # those say that they are no text, and hold no article here
+        assert html_text.extract(f"<html><body>{MENU}{wrapper}{ARTICLE}</{tag}><footer>words of the foot</footer></body></html>", weights if learned else {}) == WANT
+
+
+@pytest.mark.parametrize("learned", [False, True])
+def test_what_is_left_out_of_articles(weights, learned):
+    w = weights if learned else {}
+    gone = ["<div class=ad>Buy this now please</div>", "<div class='cookie-notice'>We use cookies here</div>", "<div id=commentList><p>Reader says things</p></div>", "<section class=comments><article class=comment><p>Reader says many things here today</p></article></section>", "<div class='post-comments'>x y z</div>", "<div hidden>not seen</div>", "<p style='color: red; display : none'>not seen</p>", "<form><label>Your mail</label><button>Go</button></form>", "<div role='complementary'>aside words</div>", "<aside>aside words</aside>", "<div class='ad-300x250 ad'>Buy this</div>", "<script>if (a < b && '</p>') x()</script>", "<div class=siteFooter>foot words</div>"]
+    kept = ["<p title='what is hidden here'>plain words stay</p>", "<p class='a hidden b'>plain words stay</p>", "<div class=commentary>plain words stay</div>", "<p data-x='class=ad'>plain words stay</p>", "<p class=advice>plain words stay</p>", "<p class='has-comments'>plain words stay</p>", "<p data-role=navigation>plain words stay</p>"]
+    for part in gone:
+        assert html_text.extract(f"<body>{MENU}<article>{ARTICLE}{part}</article>", w) == WANT, part
+        assert html_text.extract(f"<body>{MENU}<article><p>Lead with words.</p>{part}{ARTICLE}</article>", w) == "Lead with words.\n" + WANT, part
+        assert html_text.extract(f"<body>{MENU}<div>{ARTICLE}{part}</div>", w) == WANT, part
+    for part in kept:
+        assert html_text.extract(f"<body>{MENU}<article>{ARTICLE}{part}</article>", w) == WANT + "\nplain words stay", part
+        assert html_text.extract(f"<body>{MENU}<div>{part}{ARTICLE}</div>", w) == "plain words stay\n" + WANT, part
+
+
+@pytest.mark.parametrize("learned", [False, True])
+def test_links_inside_a_kept_block_stay(weights, learned):
+    w = weights if learned else {}
+    link = "<a href=/x>one two three four five six seven eight nine</a>"
+    text = "one two three four five six seven eight nine"
+    for a, b in (("<article>", "</article>"), ("<div>", "</div>")):
+        assert html_text.extract(f"<body>{MENU}{a}{ARTICLE}<p>See {link} end.</p>{b}", w) == f"{WANT}\nSee {text} end."
+        assert html_text.extract(f"<body>{MENU}{a}<p>See {link} end.</p>{ARTICLE}{b}", w) == f"See {text} end.\n{WANT}"
+        assert html_text.extract(f"<body>{MENU}{a}{ARTICLE}<p>{link}, as said.</p>{b}", w) == f"{WANT}\n{text}, as said."
+    assert html_text.extract(f"<body>{MENU}<article>{ARTICLE}<p>{link}</p></article>", w) == f"{WANT}\n{text}"
+    assert html_text.extract(f"<body>{MENU}<div>{ARTICLE}</div><ul><li>{link}</li><li>{link}</li></ul>", w) == WANT
+
+
+def test_tags_of_any_length():
+    for n in (65_000, 66_000, 200_000):
+        for q in "\"'":
+            assert html_text.extract(f"<p>Hello big world</p><p title={q}{'x' * n} > leaked words here{q}>and more</p>", {}) == "Hello big world\nand more"
+    many = " ".join(f'a{i}="b > c < d"' for i in range(2_000))
+    assert html_text.extract(f"<p>Hello big world</p><p {many}>and more</p>", {}) == "Hello big world\nand more"
+    assert html_text.extract("<p>Hello big world</p><p " + "x " * 100_000 + "class=ad>gone</p><p>and more", {}) == "Hello big world\nand more"
+    assert html_text.extract("<p>Hello big world</p><p a = 'x>y' b=\"1\"c=d/>and more", {}) == "Hello big world\nand more"
+    assert html_text.extract("<p>Hello big world</p><p title='never closed>and more</p>", {}) == "Hello big world\nand more"
+    assert html_text.extract("<p>1 < 2 and 3 > 2 <3 said they</p>", {}) == "1 < 2 and 3 > 2 <3 said they"
+
+
+@pytest.mark.parametrize("part", ["<a b='>c='", "<!x", "<a b=\"'>c=\" '", "<p a=1 b", "<textarea", "<a =", "<nav><p>x", "<div class=ad>", "<svg><p>", '<a ">" ', "<a ", "<head><noscript>", "<li><!-- x "])
 def test_main_text_takes_time_in_proportion(part):
     began = time.monotonic()
     html_text.extract(part * 100_000, {})
