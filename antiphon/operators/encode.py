@@ -36,6 +36,34 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -60, 60)))
 
 
+def pair_gradient(distance: np.ndarray) -> Callable[[np.ndarray], np.ndarray]:
+    """The gradient, by the codes of both sides one below the other, of the mean squared error of their cosine distance."""
+
+    def of_codes(y: np.ndarray) -> np.ndarray:
+        ya, yb = y[: len(distance)], y[len(distance) :]
+        na, nb = (np.linalg.norm(v, axis=1, keepdims=True) for v in (ya, yb))
+        cos = (ya * yb).sum(1, keepdims=True) / (na * nb)
+        g = (-2 * (1 - cos[:, 0] - distance) / len(distance))[:, None]
+        return np.concatenate([g * (yb / (na * nb) - cos * ya / na**2), g * (ya / (na * nb) - cos * yb / nb**2)])
+
+    return of_codes
+
+
+class Adam:
+    """Steps of a network's own arrays."""
+
+    def __init__(self, net: Network, rate: float):
+        self.net, self.rate, self.steps = net, rate, 0
+        self.first, self.second = ([np.zeros_like(v) for v in net._values()] for _ in range(2))
+
+    def step(self, grads: Sequence[np.ndarray]) -> None:
+        self.steps += 1
+        for v, g, m, q in zip(self.net._values(), grads, self.first, self.second):
+            m += 0.1 * (g - m)
+            q += 0.001 * (g * g - q)
+            v -= self.rate * (m / (1 - 0.9**self.steps)) / (np.sqrt(q / (1 - 0.999**self.steps)) + 1e-8)
+
+
 @dataclass
 class Network:
     """[linear, batch norm, SiLU, dropout]* then linear and sigmoid; weights are plain arrays (a few kilobytes)."""
@@ -103,28 +131,14 @@ class Network:
         rng = np.random.default_rng(seed)
         held = np.arange(len(a)) % 5 == 4
         check, fit = np.flatnonzero(held if held.any() else ~held), np.flatnonzero(~held)
-        moments = [[np.zeros_like(v) for v in self._values()] for _ in range(2)]
-        losses, best, wait, step = [self.loss(a[check], b[check], distance[check])], self.copy(), 0, 0
+        adam = Adam(self, rate)
+        losses, best, wait = [self.loss(a[check], b[check], distance[check])], self.copy(), 0
         for _ in range(epochs):
             order = rng.permutation(fit)
             for lo in range(0, len(order), batch):
                 rows = order[lo : lo + batch]
-                if len(rows) < 2:
-                    continue
-
-                def of_codes(y: np.ndarray) -> np.ndarray:
-                    ya, yb = y[: len(rows)], y[len(rows) :]
-                    na, nb = (np.linalg.norm(v, axis=1, keepdims=True) for v in (ya, yb))
-                    cos = (ya * yb).sum(1, keepdims=True) / (na * nb)
-                    g = (-2 * (1 - cos[:, 0] - distance[rows]) / len(rows))[:, None]
-                    return np.concatenate([g * (yb / (na * nb) - cos * ya / na**2), g * (ya / (na * nb) - cos * yb / nb**2)])
-
-                step += 1
-                grads = self._gradients(np.concatenate([a[rows], b[rows]]), of_codes, dropout, rng)
-                for v, g, m, q in zip(self._values(), grads, *moments):
-                    m += 0.1 * (g - m)
-                    q += 0.001 * (g * g - q)
-                    v -= rate * (m / (1 - 0.9**step)) / (np.sqrt(q / (1 - 0.999**step)) + 1e-8)
+                if len(rows) > 1:
+                    adam.step(self._gradients(np.concatenate([a[rows], b[rows]]), pair_gradient(distance[rows]), dropout, rng))
             losses.append(self.loss(a[check], b[check], distance[check]))
             if losses[-1] < min(losses[:-1]) - 1e-7:
                 best, wait = self.copy(), 0

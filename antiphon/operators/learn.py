@@ -71,6 +71,14 @@ def tf_idf(df: DataFrame, key: str, text: str = "text", max_n: int = 2, limit: i
     return out.select(key, "features")
 
 
+def sparse_rows(df: DataFrame, key: str, text: str = "text", max_n: int = 2, limit: int = 1000) -> DataFrame:
+    """(key, idx, w): ``tf_idf_weights`` as two arrays per document, in order of the terms; empty ones without known terms."""
+    weights, _ = tf_idf_weights(df, key, text, max_n, limit)
+    own = weights.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("idx", "w"))).alias("_f"))
+    out = df.select(key).distinct().join(own, key, "left")
+    return out.select(key, F.coalesce(F.col("_f.idx"), F.array().cast("array<int>")).alias("idx"), F.coalesce(F.col("_f.w"), F.array().cast("array<double>")).alias("w"))
+
+
 def frame_classifier(label: str = "label", iterations: int = 30) -> LogisticRegression:
     """Multinomial logistic regression: quick; ``boosted_frames`` takes trees."""
     return LogisticRegression(labelCol=label, featuresCol="features", family="multinomial", maxIter=iterations, regParam=0.01)

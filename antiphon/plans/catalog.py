@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from ..config import Cleaning, Extraction, Settings
 from ..functions import html, style, text, vectors
-from ..operators import annotations, datasets, encode, extract, filters, framing, inference, keywords, learn, metrics, search
-from ..schemas import frame_name, frames
-from ..sources import web
+from ..operators import annotations, boost, datasets, encode, extract, filters, framing, inference, keywords, learn, metrics, search, train
+from ..schemas import FRAMES, frame_name, frames
+from ..sources import index, web
 from ..storage import once
 from .pipeline import Counterarguments
 
@@ -153,6 +153,14 @@ def keyword_results(spark, sf_dir):
     return web.keyword_results(q, d, key="item_id")
 
 
+@query
+def ranked_results(spark, sf_dir):
+    """The best documents for the words of each benchmark item, by BM25 over the index."""
+    d = read(spark, sf_dir, "documents").select(F.concat(F.lit("doc:"), F.lpad(F.col("doc_id").cast("string"), 12, "0")).alias("url"), "text")
+    q = read(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("normalized"))
+    return index.search(index.build(d), q, 10, "item_id").withColumn("score", _r6(F.col("score")))
+
+
 @query
 def page_lookup(spark, sf_dir):
     p = read(spark, sf_dir, "pages").select("url", "html").groupBy("url").agg(F.max("html").alias("html"))
@@ -246,6 +254,30 @@ def encoded_vectors(spark, sf_dir):
     return d.select("doc_id", *[F.round(F.col("y")[i], 5).alias(f"y{i}") for i in range(10)])
 
 
+@query
+def softmax_frames(spark, sf_dir):
+    """Frames by trees that know all classes at once, fitted to the default frames of the training documents."""
+    d = framing.assign(read(spark, sf_dir, "documents").select("doc_id", "text"), F.col("text"))
+    rows = learn.sparse_rows(d, "doc_id").join(d.select("doc_id", framing.frame_index(F.col("primary_frame")).alias("label")), "doc_id")
+    rows = once(datasets.group_split(rows, "doc_id"))
+    forest = boost.fit(rows.filter(F.col("split") == "training"), len(FRAMES), 1000)
+    out = rows.withColumn("p", forest.column(F.col("idx"), F.col("w")))
+    return out.select("doc_id", "split", "label", vectors.argmax(F.col("p")).cast("int").alias("predicted"), _r6(F.get("p", F.col("label"))).alias("probability"))
+
+
+@query
+def trained_codes(spark, sf_dir):
+    """Codes of a network fitted to the expected distances of neighbouring vectors."""
+    e = read(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("x"))
+    pairs = e.toDF("vec_id", "x1").join(e.select(F.col("vec_id") - 1, "x").toDF("vec_id", "x2"), "vec_id").join(expected_distance(spark, sf_dir), "vec_id")
+    pairs = datasets.group_split(pairs, "vec_id").withColumn("distance", F.least("distance", F.lit(1.0)))  # codes are positive
+    side = lambda s: pairs.filter(F.col("split") == s)
+    width = e.agg(F.max(F.size("x"))).first()[0]
+    net = train.train_encoder(side("training"), side("validation"), (width, 24, 10), train.Settings(epochs=6)).network
+    out = e.withColumn("y", encode.network(F.col("x"), net))
+    return out.select("vec_id", *[F.round(F.col("y")[i], 5).alias(f"y{i}") for i in range(10)])
+
+
 @query
 def encode_search(spark, sf_dir):
     d = encoded_documents(spark, sf_dir).withColumn("y", encode.projection(F.col("x"))).select("doc_id", "primary_frame", "y")

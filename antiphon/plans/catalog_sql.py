@@ -210,6 +210,12 @@ WITH k AS ({_top(_simple("benchmark", "item_id"), "benchmark", "item_id")}), q A
 d AS (SELECT DISTINCT 'doc:' || lpad(CAST(doc_id AS VARCHAR), 12, '0') AS url, unnest({_tokens("text")}) AS t FROM documents),
 h AS (SELECT item_id, url, count(*) AS shared FROM q JOIN d USING (t) GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY shared DESC, url) - 1 AS rk FROM h)
 SELECT item_id, CAST(rk AS INTEGER) AS rank, url, shared FROM r WHERE rk < 5""",
+    "ranked_results": f"""
+WITH q AS (SELECT DISTINCT item_id, unnest({_tokens("text")}) AS t FROM benchmark), d AS (SELECT 'doc:' || lpad(CAST(doc_id AS VARCHAR), 12, '0') AS url, {_tokens("text")} AS ts FROM documents),
+a AS (SELECT count(*) AS n, avg(len(ts)) AS mean FROM d), p AS (SELECT t, url, len(ts) AS l, count(*) AS tf FROM (SELECT url, ts, unnest(ts) AS t FROM d) GROUP BY ALL), f AS (SELECT t, count(*) AS df FROM p GROUP BY t),
+s AS (SELECT item_id, url, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * l / mean))), 9) AS s FROM q JOIN p USING (t) JOIN f USING (t), a GROUP BY item_id, url),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY s DESC, url) - 1 AS rk FROM s)
+SELECT item_id, CAST(rk AS INTEGER) AS rank, url, round(s, 6) AS score FROM r WHERE rk < 10""",
     "page_lookup": "WITH p AS (SELECT url, max(html) AS html FROM pages GROUP BY url) SELECT url, length(html) AS chars FROM p UNION ALL SELECT 'missing:' || url, 0 FROM p",
     "claim_candidates": f"WITH {_SENTS} SELECT doc_id, pos, sent AS claim, CAST(least(1.0, len(t) / 20.0) AS DOUBLE) AS p FROM st WHERE least(1.0, len(t) / 20.0) >= 0.45",
     "claim_evidence_pairs": f"{_PAIRS} SELECT doc_id, claim_pos, evidence_pos, claim, evidence, round(p, 6) AS p FROM q WHERE p >= 0.35",

@@ -6,12 +6,12 @@ import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Cache
-from ..functions.text import is_blank, tokens
 from ..schemas import DOCUMENT
+from . import index
 
 
 def local_results(documents: DataFrame, url: str = "url", text: str = "text") -> DataFrame:
@@ -19,16 +19,14 @@ def local_results(documents: DataFrame, url: str = "url", text: str = "text") ->
     return documents.select(F.col(url).alias("url"), F.substring(text, 1, 30).alias("title"), F.col(text).alias("snippet"))
 
 
-def keyword_results(queries: DataFrame, documents: DataFrame, limit: int = 5, key: str = "doc_id") -> DataFrame:
+def keyword_results(queries: DataFrame, documents: DataFrame | index.Index, limit: int = 5, key: str = "doc_id") -> DataFrame:
     """Offline web search: per query (key, normalized) the documents (url, text) that share most tokens.
 
-    Blank queries find nothing; ties go to the smaller address."""
-    q = queries.filter(~is_blank(F.col("normalized"))).select(key, F.explode(F.array_distinct(tokens(F.col("normalized")))).alias("t"))
-    d = documents.select("url", F.explode(F.array_distinct(tokens(F.col("text")))).alias("t"))
-    hits = q.join(d, "t").groupBy(key, "url").agg(F.count("*").alias("shared"))
-    order = Window.partitionBy(key).orderBy(F.desc("shared"), "url")
-    best = hits.withColumn("rank", F.row_number().over(order) - 1).filter(F.col("rank") < limit)
-    return best.select(key, "rank", "url", "shared")
+    Documents are a table, which is indexed first, or its index.  Blank queries find nothing; ties go to the
+    smaller address."""
+    held = documents if isinstance(documents, index.Index) else index.build(documents)
+    found = index.search(held, queries, limit, key, scoring="shared")
+    return found.select(key, "rank", "url", F.col("score").cast("long").alias("shared"))
 
 
 def download(results: DataFrame, pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
