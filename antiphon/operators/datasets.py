@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..errors import DatasetError
 from ..functions.text import collapse, is_blank, strip
 from .filters import is_claim, min_words, non_empty, require
+from .tiles import tiled_join
 
 
 def hash_key(seed: int | str, *cols: str | Column) -> Column:
@@ -110,10 +111,10 @@ def argument_split(df: DataFrame, key: str, seed: int = 42) -> DataFrame:
 
 
 def pair_up(df: DataFrame, columns: Sequence[str], within: str = "split") -> DataFrame:
-    """All ordered pairs within a split, each row with itself included: columns as c_1 and c_2."""
+    """All ordered pairs within a split, each row with itself included: columns as c_1 and c_2, block by block."""
     a = df.select(within, *[F.col(c).alias(f"{c}_1") for c in columns])
     b = df.select(within, *[F.col(c).alias(f"{c}_2") for c in columns])
-    return a.join(b, within)
+    return tiled_join(a, b, [within])
 
 
 def store_values(df: DataFrame, path: str, key: str, value: str, place: int) -> None:

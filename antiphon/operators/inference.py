@@ -11,10 +11,9 @@ from ..functions.binding import let
 from ..functions.text import normalise_equal, tokens
 from ..schemas import CONTRADICTION, ENTAILMENT, NEUTRAL
 from .extract import overlap
+from .tiles import tiled_join
 
 NEGATIONS = ("no", "not", "never", "none", "nicht", "kein", "pas", "jamais", "nunca")
-#: Rows that all references may be paired with.
-MOST_OTHERS = 10_000
 #: (text, other text) -> struct(result, confidence)
 Inference = Callable[[Column, Column], Column]
 
@@ -36,13 +35,11 @@ def _lexical(a: Column, b: Column, ta: Column, tb: Column, share: Column, entail
 
 def pairs(references: DataFrame, others: DataFrame, on: Sequence[str] = (), text: str = "text", infer: Inference = lexical) -> DataFrame:
     """Every reference with every other text of the same ``on`` (of all, if that is empty): reference
-    columns as r_*, others as o_*, and result and confidence.  Either side empty gives no rows.  Without
-    ``on`` the others, at most MOST_OTHERS rows, go to every task."""
+    columns as r_*, others as o_*, and result and confidence.  Either side empty gives no rows.  Both sides
+    meet block by block, whatever their sizes."""
     r = references.select(*[F.col(c).alias(c if c in on else f"r_{c}") for c in references.columns])
     o = others.select(*[F.col(c).alias(c if c in on else f"o_{c}") for c in others.columns])
-    if not on and others.limit(MOST_OTHERS + 1).count() > MOST_OTHERS:
-        raise ValueError(f"more than {MOST_OTHERS} other texts need columns to pair on")
-    both = r.join(o, list(on)) if on else r.crossJoin(F.broadcast(o))
+    both = tiled_join(r, o, on)
     return both.withColumn("_p", infer(F.col(f"r_{text}"), F.col(f"o_{text}"))).select("*", "_p.result", "_p.confidence").drop("_p")
 
 
@@ -53,7 +50,7 @@ def merge_claims(arguments: DataFrame, candidates: DataFrame, on: Sequence[str],
     Inputs have ``on``, an id, claim and evidence; the output adds r_id, o_id, claim, evidence, merged."""
     r = arguments.select(*on, F.col("id").alias("r_id"), F.col("claim").alias("r_claim"))
     o = candidates.select(*on, F.col("id").alias("o_id"), F.col("claim").alias("o_claim"), "evidence")
-    both = r.join(o, list(on)).withColumn("merged", infer(F.col("r_claim"), F.col("o_claim"))["result"] == ENTAILMENT)
+    both = tiled_join(r, o, on).withColumn("merged", infer(F.col("r_claim"), F.col("o_claim"))["result"] == ENTAILMENT)
     return both.select(*on, "r_id", "o_id", F.when(F.col("merged"), F.col("r_claim")).otherwise(F.col("o_claim")).alias("claim"), "evidence", "merged")
 
 

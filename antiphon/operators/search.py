@@ -14,9 +14,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import dot, unit
+from . import tiles
 
 MAX_CANDIDATES = 100
-BLOCK = 2_048
+BLOCK = tiles.BLOCK
 
 
 def _checked(k: int | None) -> int:
@@ -25,53 +26,32 @@ def _checked(k: int | None) -> int:
     return min(k or MAX_CANDIDATES, MAX_CANDIDATES)
 
 
-#: Groups up to which the table of their block counts goes through the driver and is broadcast.
-BROADCAST_GROUPS = 100_000
-
-
-def _shape(references: DataFrame, candidates: DataFrame, group: str, size: int) -> DataFrame:
-    """(group, _rb, _cb): the numbers of blocks on either side."""
-
-    def blocks(df: DataFrame, name: str) -> DataFrame:
-        return df.groupBy(group).agg(F.ceil(F.count("*") / size).cast("int").alias(name))
-
-    if references is candidates:
-        shape = blocks(references, "_rb").withColumn("_cb", F.col("_rb"))
-    else:
-        shape = blocks(references, "_rb").join(blocks(candidates, "_cb"), group)
-    rows = shape.limit(BROADCAST_GROUPS + 1).collect()
-    if len(rows) > BROADCAST_GROUPS:
-        return shape
-    return F.broadcast(references.sparkSession.createDataFrame(rows, shape.schema))
-
-
 def farthest(references: DataFrame, candidates: DataFrame, k: int | None = None, group: str = "label", key: str = "vec_id", vector: str = "embedding", block: int = BLOCK) -> DataFrame:
     """(group, ref_id, rank, cand_id, similarity): at most min(k, 100) candidates of the reference's group
     in ascending cosine similarity, ties by id.  Zero vectors and unequal lengths are errors."""
     k = _checked(k)
-    shape = _shape(references, candidates, group, block)
-    own = lambda n: F.pmod(F.xxhash64("id"), F.col(n).cast("long")).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    rows = lambda df: df.select(group, F.col(key).alias("id"), F.col(vector).alias("v")).join(shape, group)
-    left = rows(references).withColumn("rb", own("_rb")).withColumn("cb", every("_cb")).select(group, "rb", "cb", "id", "v")
-    right = rows(candidates).withColumn("cb", own("_cb")).withColumn("rb", every("_rb"))
+    by = tiles.shape(references, candidates, [group], block)
+    rows = lambda df: df.select(group, F.col(key).alias("id"), F.col(vector).alias("v")).join(by, group)
+    left = rows(references).withColumn("rb", tiles.own_block("id", "_lb")).withColumn("cb", tiles.every_block("_rb")).select(group, "rb", "cb", "id", "v")
+    right = rows(candidates).withColumn("cb", tiles.own_block("id", "_rb")).withColumn("rb", tiles.every_block("_lb"))
     right = right.select(*[F.col(c).alias(n) for c, n in ((group, "_g"), ("rb", "_r"), ("cb", "_c"), ("id", "id"), ("v", "v"))])  # fresh names: both sides may be one table
 
     def solve(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        out = {group: [], "ref_id": [], "cand_id": [], "similarity": []}
-        if len(a) and len(b):
-            x, y = (np.stack(p["v"].to_numpy()).astype(float) for p in (a, b))
-            x, y = (_unit(m) for m in (x, y))
-            sim, ids = x @ y.T, b["id"].to_numpy()
-            for i, ref_id in enumerate(a["id"].to_numpy()):
-                s = sim[i]
-                pick = np.flatnonzero(s <= np.partition(s, k - 1)[k - 1]) if len(s) > k else np.arange(len(s))
-                pick = pick[np.lexsort((ids[pick], s[pick]))][:k]
-                out[group] += [a[group].iloc[0]] * len(pick)
-                out["ref_id"] += [ref_id] * len(pick)
-                out["cand_id"] += ids[pick].tolist()
-                out["similarity"] += s[pick].tolist()
-        return pd.DataFrame(out)
+        if not len(a) or not len(b):
+            return pd.DataFrame({group: [], "ref_id": [], "cand_id": [], "similarity": []})
+        x, y = (_unit(np.stack(p["v"].to_numpy()).astype(float)) for p in (a, b))
+        sim, ids = x @ y.T, b["id"].to_numpy()
+        if len(ids) > k:  # all up to the k-th value, which ties may exceed
+            i, j = np.nonzero(sim <= np.partition(sim, k - 1, axis=1)[:, k - 1 : k])
+        else:
+            i, j = (v.ravel() for v in np.indices(sim.shape))
+        s = sim[i, j]
+        order = np.lexsort((ids[j], s, i))
+        i, j, s = i[order], j[order], s[order]
+        first = np.searchsorted(i, np.arange(len(a)))
+        some = np.arange(len(i)) - first[i] < k
+        i, j = i[some], j[some]
+        return pd.DataFrame({group: np.full(len(i), a[group].iloc[0]), "ref_id": a["id"].to_numpy()[i], "cand_id": ids[j], "similarity": s[some]})
 
     kind = references.schema[group].dataType.simpleString()
     idk = references.schema[key].dataType.simpleString()

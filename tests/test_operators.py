@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from antiphon.errors import ConfigurationError, DatasetError
 from antiphon.functions.tokenisers import WordTokeniser
-from antiphon.operators import annotations, datasets, encode, extract, filters, inference, keywords, learn, metrics, search
+from antiphon.operators import annotations, datasets, encode, extract, filters, inference, keywords, learn, metrics, search, tiles
 from antiphon.schemas import ANNOTATIONS, FRAMES
 
 
@@ -307,12 +307,31 @@ def test_side_store(spark, tmp_path):
     assert datasets.look_up(spark.createDataFrame([("a",)], "t string"), side, "t", "value", "v").first().v == [2.0]
 
 
-def test_pairs_without_keys_are_bounded(spark, monkeypatch):
-    monkeypatch.setattr(inference, "MOST_OTHERS", 2)
-    df = spark.createDataFrame([("a",), ("b",)], "text string")
-    assert inference.pairs(df, df).count() == 4
-    with pytest.raises(ValueError):
-        inference.pairs(df, df.union(df))
+def test_pairs_meet_block_by_block(spark, monkeypatch):
+    monkeypatch.setattr(tiles.tiled_join, "__defaults__", ((), 4))
+    left = spark.createDataFrame([(i, f"a{i}", {"m": i}) for i in range(23)] + [(None, "x", None)], "k long, text string, m map<string,int>")
+    right = spark.createDataFrame([(i % 3, f"b{i}") for i in range(31)] + [(None, "y")], "k long, text string")
+    got = [(r.r_text, r.o_text) for r in inference.pairs(left, right).collect()]
+    assert len(got) == len(set(got)) == 24 * 32
+    keyed = [(r.k, r.r_text, r.o_text) for r in inference.pairs(left.withColumn("k", F.col("k") % 2), right, ["k"]).collect()]
+    assert sorted(keyed) == sorted((k, f"a{i}", f"b{j}") for k in (0, 1) for i in range(23) if i % 2 == k for j in range(31) if j % 3 == k)
+    assert inference.pairs(left.limit(0), right).count() == inference.pairs(left, right.limit(0)).count() == 0
+    rows = spark.createDataFrame([(f"t{i % 2}", i) for i in range(40)], "split string, n int")
+    assert sorted((r.split, r.n_1, r.n_2) for r in datasets.pair_up(rows, ["n"]).collect()) == sorted((f"t{i % 2}", i, j) for i in range(40) for j in range(40) if i % 2 == j % 2)
+
+
+def test_farthest_search_with_ties_and_blocks(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, i % 3, rng.integers(-1, 2, 4).tolist()) for i in range(150)]
+    rows = [(i, g, [float(v) for v in x] if any(x) else [1.0, 0.0, 0.0, 0.0]) for i, g, x in rows]
+    e = spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>").repartition(3)
+    unit = {i: np.array(x) / np.linalg.norm(x) for i, _, x in rows}
+    got = {}
+    for r in search.farthest(e, e, k=6, block=16).collect():
+        got.setdefault(r.ref_id, []).append((r.rank, r.cand_id, round(r.similarity, 6)))
+    for i, g, _ in rows:
+        want = sorted((round(float(unit[i] @ unit[j]), 6) + 0.0, j) for j, h, _ in rows if h == g)[:6]
+        assert [s + 0.0 for _, _, s in sorted(got[i])] == [s for s, _ in want]
 
 
 def test_hash_ranges_keep_the_order(spark):
