@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import Cleaning, Extraction, Settings
 from ..functions import html, style, text, vectors
-from ..operators import annotations, boost, datasets, encode, extract, filters, framing, inference, keywords, learn, metrics, search, train
+from ..operators import annotations, boost, datasets, encode, extract, filters, fingerprint, framing, inference, keywords, learn, metrics, search, train
 from ..schemas import FRAMES, frame_name, frames
 from ..sources import index, web
 from ..storage import once
@@ -254,6 +254,16 @@ def encoded_vectors(spark, sf_dir):
     return d.select("doc_id", *[F.round(F.col("y")[i], 5).alias(f"y{i}") for i in range(10)])
 
 
+@query
+def table_fingerprints(spark, sf_dir):
+    """The multiset hash of the rows of four tables."""
+    parts = [fingerprint.fingerprint(read(spark, sf_dir, t).select(*c)).withColumn("name", F.lit(t)) for t, c in (("documents", ["doc_id", "text", "lang", "source", "n_chars"]), ("labels", ["doc_id", "quality", "toxic"]), ("benchmark", ["item_id", "text"]), ("conversations", ["conv_id", "turn", "role", "text"]))]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 @query
 def softmax_frames(spark, sf_dir):
     """Frames by trees that know all classes at once, fitted to the default frames of the training documents."""

@@ -176,6 +176,12 @@ p AS (SELECT doc_id, list_filter(list_transform(string_split(t, chr(10)), lambda
 c AS (SELECT doc_id, array_to_string({_UNCITED.format("ps")}, chr(10) || chr(10)) AS t FROM p)
 SELECT doc_id, {_strip("t")} || chr(10) AS text FROM c"""
 
+def _fingerprint(table: str, columns: list[str]) -> str:
+    told = ", ".join(f"coalesce(length(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')" for c in sorted(columns))
+    sums = ", ".join(f"CAST(coalesce(sum(CAST('0x' || substr(h, {8 * k + 1}, 8) AS BIGINT)), 0) AS VARCHAR)" for k in range(4))
+    return f"SELECT count(*) AS n, sha256(concat_ws(':', CAST(count(*) AS VARCHAR), {sums})) AS fingerprint, '{table}' AS name FROM (SELECT md5(concat_ws(',', {told})) AS h FROM {table})"
+
+
 ORACLE_SQL: dict[str, str] = {
     "farthest_topk": """
 WITH s AS (SELECT a.label, a.vec_id AS ref_id, b.vec_id AS cand_id, list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS s FROM embeddings a JOIN embeddings b USING (label)),
@@ -210,6 +216,7 @@ WITH k AS ({_top(_simple("benchmark", "item_id"), "benchmark", "item_id")}), q A
 d AS (SELECT DISTINCT 'doc:' || lpad(CAST(doc_id AS VARCHAR), 12, '0') AS url, unnest({_tokens("text")}) AS t FROM documents),
 h AS (SELECT item_id, url, count(*) AS shared FROM q JOIN d USING (t) GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY shared DESC, url) - 1 AS rk FROM h)
 SELECT item_id, CAST(rk AS INTEGER) AS rank, url, shared FROM r WHERE rk < 5""",
+    "table_fingerprints": " UNION ALL ".join(_fingerprint(t, c) for t, c in (("documents", ["doc_id", "text", "lang", "source", "n_chars"]), ("labels", ["doc_id", "quality", "toxic"]), ("benchmark", ["item_id", "text"]), ("conversations", ["conv_id", "turn", "role", "text"]))),
     "ranked_results": f"""
 WITH q AS (SELECT DISTINCT item_id, unnest({_tokens("text")}) AS t FROM benchmark), d AS (SELECT 'doc:' || lpad(CAST(doc_id AS VARCHAR), 12, '0') AS url, {_tokens("text")} AS ts FROM documents),
 a AS (SELECT count(*) AS n, avg(len(ts)) AS mean FROM d), p AS (SELECT t, url, len(ts) AS l, count(*) AS tf FROM (SELECT url, ts, unnest(ts) AS t FROM d) GROUP BY ALL), f AS (SELECT t, count(*) AS df FROM p GROUP BY t),

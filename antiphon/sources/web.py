@@ -58,34 +58,83 @@ def fetch(results: DataFrame, get: Callable[[str], str], partitions: int = 8, ur
 
 
 class CacheTable:
-    """Search results by key with a time to live, appended to a Parquet folder; the latest entry wins."""
+    """Search results by key with a time to live; the latest entry wins.
 
-    SCHEMA = f"key string, docs array<{DOCUMENT.simpleString()}>, set_at timestamp, ttl_s long"
+    Entries are appended to Parquet folders by a hash of their key, and a look-up reads its own keys'
+    folders alone.  ``compact`` writes the latest live entries as a new generation: a folder that counts
+    once Spark has committed it (its mark comes last), so that readers see the old one or the new one,
+    never half.  The generation before stays until the next compaction, for look-ups under way; entries
+    set while a compaction runs may be lost, as from any cache."""
+
+    SCHEMA = f"key string, docs array<{DOCUMENT.simpleString()}>, set_at timestamp, ttl_s long, bucket int"
+    FOLDERS = 64
 
     def __init__(self, spark, settings: Cache, path: str | None = None):
         self.spark, self.settings, self.path = spark, settings, path or settings.path
 
+    def _generations(self) -> list[str]:
+        """The folders of committed generations, the latest last."""
+        root = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        fs = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not fs.exists(root):
+            return []
+        there = [s.getPath() for s in fs.listStatus(root) if s.isDirectory() and s.getPath().getName().startswith("generation-")]
+        mark = self.spark._jvm.org.apache.hadoop.fs.Path
+        return sorted(str(p) for p in there if fs.exists(mark(p, "_SUCCESS")))
+
+    def _current(self) -> str:
+        found = self._generations()
+        return found[-1] if found else f"{self.path}/generation-{0:09}"
+
     def _rows(self) -> DataFrame:
-        try:
-            return self.spark.read.schema(self.SCHEMA).parquet(self.path)
-        except Exception as e:
-            if "PATH_NOT_FOUND" in str(e):
-                return self.spark.createDataFrame([], self.SCHEMA)
-            raise
+        if not self._generations():
+            return self.spark.createDataFrame([], self.SCHEMA)
+        return self.spark.read.schema(self.SCHEMA).parquet(self._current())
+
+    def _moment(self, now: float | None):
+        return F.timestamp_seconds(F.lit(time.time() if now is None else now))
+
+    def _latest_live(self, rows: DataFrame, now: float | None) -> DataFrame:
+        last = rows.groupBy("bucket", "key").agg(F.max_by(F.struct("docs", "set_at", "ttl_s"), "set_at").alias("e"))
+        return last.filter(F.unix_micros("e.set_at") + F.col("e.ttl_s") * 1_000_000 > F.unix_micros(self._moment(now))).select("key", "e.*", "bucket")
+
+    def _bucket(self):
+        return F.pmod(F.xxhash64("key"), F.lit(self.FOLDERS)).cast("int")
 
     def get(self, keys: DataFrame, now: float | None = None) -> DataFrame:
         """(key, docs) of the keys' live entries; nothing while the cache is disabled."""
         if not self.settings.enabled:
             return self.spark.createDataFrame([], "key string, docs array<" + DOCUMENT.simpleString() + ">")
-        moment = F.timestamp_seconds(F.lit(time.time() if now is None else now))
-        last = self._rows().join(keys.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.max_by(F.struct("docs", "set_at", "ttl_s"), "set_at").alias("e"))
-        return last.filter(F.unix_micros("e.set_at") + F.col("e.ttl_s") * 1_000_000 > F.unix_micros(moment)).select("key", "e.docs")
+        wanted = keys.select("key").distinct().withColumn("bucket", self._bucket())
+        folders = [r.bucket for r in wanted.select("bucket").distinct().collect()]  # at most FOLDERS
+        rows = self._rows().filter(F.col("bucket").isin(folders)).join(wanted, ["bucket", "key"], "left_semi")
+        return self._latest_live(rows, now).select("key", "docs")
+
+    def _write(self, rows: DataFrame, path: str, mode: str) -> None:
+        rows.repartition("bucket").write.mode(mode).partitionBy("bucket").parquet(path)
 
     def set(self, entries: DataFrame, now: float | None = None) -> None:
         """Append (key, docs); empty lists are kept for the whole time, too."""
         if self.settings.enabled:
-            moment = F.timestamp_seconds(F.lit(time.time() if now is None else now))
-            entries.select("key", "docs", moment.alias("set_at"), F.lit(self.settings.ttl_seconds).cast("long").alias("ttl_s")).write.mode("append").parquet(self.path)
+            rows = entries.select("key", "docs", self._moment(now).alias("set_at"), F.lit(self.settings.ttl_seconds).cast("long").alias("ttl_s")).withColumn("bucket", self._bucket())
+            self._write(rows, self._current(), "append")
+
+    def compact(self, now: float | None = None) -> None:
+        """Keep the latest live entry of each key in as many files as folders; drop what came before it and what expired."""
+        held = self._generations()
+        if held:
+            number = int(held[-1].rsplit("-", 1)[-1])
+            self._write(self._latest_live(self._rows(), now), f"{self.path}/generation-{number + 1:09}", "overwrite")
+            self._drop(held[:-1])
 
     def clear(self) -> None:
-        self.spark.createDataFrame([], self.SCHEMA).write.mode("overwrite").parquet(self.path)
+        """Forget all: an empty generation takes over."""
+        held = self._generations()
+        number = int(held[-1].rsplit("-", 1)[-1]) if held else -1
+        self._write(self.spark.createDataFrame([], self.SCHEMA), f"{self.path}/generation-{number + 1:09}", "overwrite")
+        self._drop(held)
+
+    def _drop(self, folders: list[str]) -> None:
+        for folder in folders:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)

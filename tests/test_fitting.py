@@ -2,6 +2,7 @@
 
 import math
 import random
+import shutil
 from collections import Counter
 
 import numpy as np
@@ -9,7 +10,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from antiphon.errors import DatasetError
-from antiphon.operators import boost, encode, train
+from antiphon.config import Cache
+from antiphon.operators import boost, encode, fingerprint, learn, train, tune
 from antiphon.sources import index, web
 
 # --- the encoder ---------------------------------------------------------------------------------
@@ -188,3 +190,85 @@ def test_an_empty_index(spark):
     assert index.search(held, spark.createDataFrame([(1, "a word")], "doc_id long, normalized string")).collect() == []
     with pytest.raises(ValueError):
         index.search(held, spark.range(1).selectExpr("id doc_id", "'a' normalized"), scoring="other")
+
+
+# --- settings, fingerprints, the cache -------------------------------------------------------------
+
+SPACE = {"x": tune.Number(-5, 5), "rate": tune.Number(1e-4, 1, log=True), "n": tune.Number(1, 30, whole=True), "kind": tune.Choice(("a", "b", "c"))}
+
+
+def hill(t):
+    s = t.settings
+    return -((s["x"] - 1.5) ** 2) - math.log10(s["rate"] / 0.02) ** 2 - abs(s["n"] - 11) / 10 - (s["kind"] != "b")
+
+
+def test_search_is_deterministic_and_beats_chance():
+    a, b = (tune.search(SPACE, hill, 40, parallel=4, seed=3) for _ in range(2))
+    assert [t.settings for t in a.trials] == [t.settings for t in b.trials] and len(a.trials) == 40
+    assert all(-5 <= t.settings["x"] <= 5 and 1e-4 <= t.settings["rate"] <= 1 and isinstance(t.settings["n"], int) for t in a.trials)
+    led, drawn = ([tune.search(SPACE, hill, 40, seed=s, startup=n).best.score for s in range(12)] for n in (10, 40))
+    assert np.mean(led) > np.mean(drawn) and np.median(led) > np.median(drawn)
+    worst = tune.search(SPACE, lambda t: math.nan, 4).best
+    assert worst.score == -math.inf
+    with pytest.raises(Exception, match="needs settings"):
+        tune.search({}, hill)
+
+
+def test_weak_trials_are_given_up():
+    def objective(t):
+        for k in range(5):
+            t.report(hill(t) + 0.01 * k)
+        return hill(t) + 0.04
+
+    study = tune.search(SPACE, objective, 30, parallel=3, seed=1, startup=8)
+    gone = [t for t in study.trials if t.pruned]
+    assert gone and all(len(t.reports) < 5 and t.number >= 8 for t in gone) and not study.best.pruned
+
+
+def test_settings_of_a_pipeline(spark):
+    words = ["therefore we must act", "it is raining today", "we should because of that", "the cat sat there"]
+    df = spark.createDataFrame([(i, f"{words[i % 4]} w{'abcdefgh'[i % 8]}", (i + 1) % 2) for i in range(80)], "id long, sentence string, is_claim int")
+    study, model = tune.tuned(learn.claim_pipeline(), df, "is_claim", "id", {"maxDepth": tune.Number(1, 3, whole=True), "maxIter": tune.Number(1, 3, whole=True)}, trials=3, folds=2, parallel=2)
+    assert len(study.trials) == 3 and study.best.score > 0.9 and model.transform(df).count() == 80
+
+
+def test_fingerprints_of_tables(spark):
+    rows = [(1, "a", None), (2, "b", 1.5), (2, "b", 1.5), (None, "", 2.0)]
+    of = lambda r, **k: fingerprint.fingerprint(spark.createDataFrame(r, "i long, t string, d double").repartition(k.get("parts", 1))).first()
+    base = of(rows)
+    assert base.n == 4 and of(rows[::-1], parts=3) == base
+    others = [rows[:-1], [*rows, rows[0]], rows[:3] + [(None, None, 2.0)], [(1, "a", 0.0), *rows[1:]], [(1, "b", 1.5), *rows[1:]], rows[:2] + [rows[0], rows[3]], []]
+    assert len({base.fingerprint, *(of(r).fingerprint for r in others)}) == len(others) + 1
+
+
+def test_cache_reads_its_folders_and_compacts(spark, tmp_path):
+    cache = web.CacheTable(spark, Cache(ttl_seconds=10), str(tmp_path / "c"))
+    kind = ", ".join(web.CacheTable.SCHEMA.split(", ")[:2])
+    entries = lambda tag, n: spark.createDataFrame([(f"k{i}", [(f"u{i}", tag, *[None] * (len(web.DOCUMENT.fields) - 2))]) for i in range(n)], kind)
+    keys = lambda *k: spark.createDataFrame([(x,) for x in k], "key string")
+    for now, tag, n in ((0, "old", 30), (5, "new", 20), (8, "newest", 2)):
+        cache.set(entries(tag, n), now)
+    got = cache.get(keys("k1", "k5", "none"), 9)
+    plan = got._jdf.queryExecution().toString()
+    assert "PartitionFilters: [" in plan and "bucket" in plan.split("PartitionFilters: [")[1][:60]
+    own = {r.b for r in keys("k1", "k5", "none").select(cache._bucket().alias("b")).collect()}
+    shutil.copytree(tmp_path / "c", tmp_path / "other")
+    for f in (tmp_path / "other").rglob("*.parquet"):  # whatever it must not read is broken
+        if int(f.parent.name.split("=")[1]) not in own:
+            f.write_bytes(b"broken")
+            (f.parent / f".{f.name}.crc").unlink()
+    other = web.CacheTable(spark, Cache(ttl_seconds=10), str(tmp_path / "other"))
+    assert {r.key for r in other.get(keys("k1", "k5", "none"), 9).collect()} == {"k1", "k5"}
+    assert {r.key: r.docs[0][1] for r in got.collect()} == {"k1": "newest", "k5": "new"}
+    assert {r.key: r.docs[0][1] for r in cache.get(keys("k1", "k5", "k25"), 12).collect()} == {"k1": "newest", "k5": "new"}
+    before = cache.get(keys("k5"), 12)
+    cache.compact(12)
+    assert cache._rows().count() == 20 and [r.docs[0][1] for r in before.collect()] == ["new"]
+    (tmp_path / "c" / "generation-000000009").mkdir()  # half written
+    assert cache._current().endswith("generation-000000001")
+    assert {r.key: r.docs[0][1] for r in cache.get(keys("k1", "k5", "k25"), 12).collect()} == {"k1": "newest", "k5": "new"}
+    cache.set(entries("again", 1), 13)
+    cache.compact(17)
+    assert {r.key: r.docs[0][1] for r in cache._rows().collect()} == {"k0": "again", "k1": "newest"} and len(cache._generations()) == 2
+    cache.clear()
+    assert cache._rows().count() == 0 and len(cache._generations()) == 1
