@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from typing import Protocol
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +29,7 @@ class WordTokeniser:
         if len(set(vocabulary)) < len(vocabulary):
             raise ValueError("a vocabulary must not repeat words")
         self.vocabulary, self.unknown = list(vocabulary), unknown
+        self._known = {w: i for i, w in enumerate(self.vocabulary, 1)}
 
     @classmethod
     def fit(cls, df: DataFrame, size: int, text: str = "text") -> WordTokeniser:
@@ -41,8 +43,15 @@ class WordTokeniser:
     __call__ = tokenise
 
     def encode(self, text: Column) -> Column:
-        known = F.array(*[F.lit(w) for w in self.vocabulary]) if self.vocabulary else F.array().cast("array<string>")
-        return F.transform(tokens(text), lambda w: F.array_position(known, w).cast("int"))
+        """Ids from a table by word, however large the vocabulary."""
+        known = self._known
+
+        @F.pandas_udf("array<int>")
+        def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            for b in batches:
+                yield pd.Series([[known.get(w, 0) for w in words] for words in b], dtype=object)
+
+        return run(tokens(text))
 
     def decode(self, ids: Column) -> Column:
         """Words joined by spaces; null for an id outside the vocabulary."""

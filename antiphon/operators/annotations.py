@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import DatasetError
 from ..functions.text import is_blank
+from .ranks import ranked
 
 
 def documents(golden: DataFrame) -> DataFrame:
@@ -66,8 +67,28 @@ def record_errors(golden: DataFrame) -> DataFrame:
 
 
 def rekeyed(ids: DataFrame, offset: int, key: str = "id") -> DataFrame:
-    """(old, new): new ids from offset + 1 in the old ids' order (a merged export's few records)."""
-    return ids.select(F.col(key).alias("old")).distinct().withColumn("new", (F.row_number().over(Window.orderBy("old")) + offset).cast("long"))
+    """(old, new): new ids from offset + 1 in the old ids' order, by ranks from the counts of sorted ranges."""
+    out = ranked(ids.select(F.col(key).alias("old")).filter("old is not null").distinct(), "old", as_col="new")
+    return out.select("old", (F.col("new") + offset).cast("long").alias("new"))
+
+
+def merged_rows(first: dict[str, DataFrame], second: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """``documents`` (id, ...), ``arguments`` (id, documentId, ...) and ``relations`` (a, b, ...) of both sides, a record a row.
+
+    Records of the second side get new ids after the first's, in their old order, and references follow
+    them; a reference to nothing is an error.  Only the first side's largest ids reach the driver."""
+
+    def follow(rows: DataFrame, keys: DataFrame, column: str) -> DataFrame:
+        new = keys.toDF("_old", "_new")
+        miss = F.raise_error(F.concat(F.lit(f"{column} refers to unknown "), F.col(column).cast("string")))
+        kind = rows.schema[column].dataType
+        return rows.join(new, F.col(column) == F.col("_old"), "left").withColumn(column, F.when(F.col("_new").isNull(), miss).otherwise(F.col("_new")).cast(kind)).drop("_old", "_new")
+
+    keys = {part: rekeyed(second[part], first[part].agg(F.max("id")).first()[0] or 0) for part in ("documents", "arguments")}
+    moved = {part: follow(second[part], keys[part], "id") for part in keys}
+    moved["arguments"] = follow(moved["arguments"], keys["documents"], "documentId")
+    moved["relations"] = follow(follow(second["relations"], keys["arguments"], "a"), keys["arguments"], "b")
+    return {part: first[part].unionByName(rows) for part, rows in moved.items()}
 
 
 def merged(first: DataFrame, second: DataFrame) -> DataFrame:

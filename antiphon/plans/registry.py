@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Any
@@ -64,3 +66,74 @@ class ModelStore:
         model = train()
         self.save(want, model)
         return model
+
+
+class ModelFolder:
+    """Fitted models in folders of a shared store, each with a manifest of what it was fitted with.
+
+    A model is written under a name of its own, its manifest last, and renamed into place: what is half
+    written has no place and is never found."""
+
+    MANIFEST = "manifest.json"
+
+    def __init__(self, spark, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+        self.refused: list[str] = []
+
+    def _at(self, name: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def commit(self, settings: Any, data_version: str, metrics: dict[str, float], write: Callable[[str], None], files: tuple[str, ...] = ()) -> str:
+        """Have ``write`` fill a folder, and put it in place of what these settings had before; returns it.
+
+        ``files``: names that must be there for the model to count."""
+        name = fingerprint(settings)
+        held, fs = self._at(f".{name}-{uuid.uuid4().hex}")
+        fs.mkdirs(held)
+        write(str(held))
+        manifest = {"fingerprint": name, "data_version": data_version, "metrics": metrics, "files": list(files)}
+        out = fs.create(self.spark._jvm.org.apache.hadoop.fs.Path(held, self.MANIFEST))
+        out.write(bytearray(json.dumps(manifest, sort_keys=True).encode()))
+        out.close()
+        place, _ = self._at(name)
+        fs.delete(place, True)
+        if not fs.rename(held, place):
+            raise ConfigurationError(f"cannot put {held} in place")
+        return str(place)
+
+    def find(self, settings: Any, data_version: str, least: dict[str, float] | None = None) -> str | None:
+        """The folder of a whole model of these settings and data that has every metric of ``least`` or more;
+        None, with the reason in ``refused``, where there is no such one."""
+        name = fingerprint(settings)
+        place, fs = self._at(name)
+        mark = self.spark._jvm.org.apache.hadoop.fs.Path
+
+        def no(why: str) -> None:
+            self.refused.append(why)
+
+        if not fs.exists(mark(place, self.MANIFEST)):
+            return no("no manifest")
+        try:
+            manifest = json.loads("".join(r.value for r in self.spark.read.text(str(mark(place, self.MANIFEST))).collect()))
+            found, version, metrics, files = (manifest[k] for k in ("fingerprint", "data_version", "metrics", "files"))
+        except (ValueError, KeyError, TypeError):
+            return no("unreadable manifest")
+        if found != name:
+            return no("other settings")
+        if version != data_version:
+            return no(f"data version {version}")
+        if missing := [f for f in files if not fs.exists(mark(place, f))]:
+            return no(f"missing {missing[0]}")
+        for metric, value in (least or {}).items():
+            if not isinstance(metrics.get(metric), (int, float)) or not metrics[metric] >= value:
+                return no(f"{metric} is {metrics.get(metric)}")
+        return str(place)
+
+    def resolve(self, settings: Any, data_version: str, fit: Callable[[], tuple[dict[str, float], Callable[[str], None]]], least: dict[str, float] | None = None, files: tuple[str, ...] = ()) -> str:
+        """The folder found, else that of a model newly fitted: ``fit`` gives its metrics and how to write it."""
+        found = self.find(settings, data_version, least)
+        if found is None:
+            metrics, write = fit()
+            found = self.commit(settings, data_version, metrics, write, files)
+        return found

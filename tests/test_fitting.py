@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 
 from antiphon.errors import DatasetError
 from antiphon.config import Cache
-from antiphon.operators import boost, encode, fingerprint, learn, train, tune
+from antiphon.functions.tokenisers import WordTokeniser
+from antiphon.operators import annotations, boost, encode, fingerprint, learn, ranks, train, tune
+from antiphon.plans import registry
 from antiphon.sources import index, web
 
 # --- the encoder ---------------------------------------------------------------------------------
@@ -272,3 +274,58 @@ def test_cache_reads_its_folders_and_compacts(spark, tmp_path):
     assert {r.key: r.docs[0][1] for r in cache._rows().collect()} == {"k0": "again", "k1": "newest"} and len(cache._generations()) == 2
     cache.clear()
     assert cache._rows().count() == 0 and len(cache._generations()) == 1
+
+
+# --- ranks, merged records, stored models ----------------------------------------------------------
+
+
+def test_ranks_of_a_whole_table(spark):
+    rng = random.Random(4)
+    rows = [(rng.randrange(40), i) for i in range(500)] + [(None, 900)]
+    got = ranks.ranked(spark.createDataFrame(rows, "k int, i int").repartition(5), F.desc("k"), "i").collect()
+    want = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))
+    assert [(r.k, r.i) for r in sorted(got, key=lambda r: r.rank)] == want and sorted(r.rank for r in got) == list(range(1, 502))
+    assert ranks.ranked(spark.createDataFrame([], "k int"), "k").count() == 0
+
+
+def test_merged_records(spark):
+    side = lambda ids: {"documents": spark.createDataFrame([(i, f"d{i}") for i in ids], "id long, title string"), "arguments": spark.createDataFrame([(10 * i, i) for i in ids], "id long, documentId long"), "relations": spark.createDataFrame([(10 * a, 10 * b) for a, b in zip(ids, ids[1:])], "a long, b long")}
+    got = annotations.merged_rows(side([1, 5]), side([2, 3, 9]))
+    assert sorted(tuple(r) for r in got["documents"].collect()) == [(1, "d1"), (5, "d5"), (6, "d2"), (7, "d3"), (8, "d9")]
+    assert sorted(tuple(r) for r in got["arguments"].collect()) == [(10, 1), (50, 5), (51, 6), (52, 7), (53, 8)]
+    assert sorted(tuple(r) for r in got["relations"].collect()) == [(10, 50), (51, 52), (52, 53)]
+    empty = annotations.merged_rows({k: v.limit(0) for k, v in side([1]).items()}, side([4]))
+    assert empty["documents"].collect()[0].id == 1
+    bad = side([2]) | {"relations": spark.createDataFrame([(20, 77)], "a long, b long")}
+    with pytest.raises(Exception, match="unknown 77"):
+        annotations.merged_rows(side([1]), bad)["relations"].collect()
+
+
+def test_words_of_a_large_vocabulary(spark):
+    names = [a + b + c for a in "abcdefghijklmnopqrst" for b in "abcdefghijklmnopqrst" for c in "abcdefghijklmnopqrst"]
+    tok = WordTokeniser(names)
+    df = spark.createDataFrame([("aaa aab zzz ttt",), ("",), (None,)], "t string")
+    assert [r.x for r in df.select(tok.encode(F.col("t")).alias("x")).collect()] == [[1, 2, 0, 8000], [], []]
+
+
+def test_models_in_folders(spark, tmp_path):
+    store = registry.ModelFolder(spark, str(tmp_path / "m"))
+    write = lambda folder: (__import__("pathlib").Path(folder.removeprefix("file:")) / "weights").write_text("w")
+    assert store.find({"a": 1}, "v1") is None
+    with pytest.raises(ZeroDivisionError):
+        store.commit({"a": 1}, "v1", {}, lambda folder: 1 / 0)
+    assert store.find({"a": 1}, "v1") is None  # half written
+    place = store.resolve({"a": 1}, "v1", lambda: ({"f1": 0.8}, write), {"f1": 0.5}, ("weights",))
+    assert store.find({"a": 1}, "v1", {"f1": 0.8}) == place == store.resolve({"a": 1}, "v1", lambda: 1 / 0)
+    assert store.find({"a": 2}, "v1") is None and store.find({"a": 1}, "v2") is None
+    assert store.find({"a": 1}, "v1", {"f1": 0.9}) is None and store.find({"a": 1}, "v1", {"recall": 0.1}) is None
+    here = __import__("pathlib").Path(place.removeprefix("file:"))
+    (here / "weights").rename(here / "gone")
+    assert store.find({"a": 1}, "v1") is None
+    (here / "gone").rename(here / "weights")
+    for text in ('{"fingerprint": "other", "data_version": "v1", "metrics": {}, "files": []}', "{", "[]"):
+        (here / ".manifest.json.crc").unlink(missing_ok=True)
+        (here / "manifest.json").write_text(text)
+        assert store.find({"a": 1}, "v1") is None
+    assert store.refused == ["no manifest", "no manifest", "no manifest", "no manifest", "data version v1", "f1 is 0.8", "recall is None", "missing weights", "other settings", "unreadable manifest", "unreadable manifest"]
+    assert store.resolve({"a": 1}, "v2", lambda: ({"f1": 0.7}, write)) == place and store.find({"a": 1}, "v2") == place
