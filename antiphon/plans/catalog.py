@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import Cleaning, Extraction, Settings
-from ..functions import html, style, text, vectors
+from ..functions import html, readable, style, text, vectors
 from ..operators import annotations, boost, datasets, encode, extract, filters, fingerprint, framing, inference, keywords, learn, metrics, search, train
 from ..schemas import FRAMES, frame_name, frames
 from ..sources import index, web
@@ -254,6 +254,12 @@ def encoded_vectors(spark, sf_dir):
     return d.select("doc_id", *[F.round(F.col("y")[i], 5).alias(f"y{i}") for i in range(10)])
 
 
+@query
+def readable_pages(spark, sf_dir):
+    """The main content of every page by block scores."""
+    return read(spark, sf_dir, "pages").select("page_id", readable.readable(F.col("html")).alias("text")).withColumn("n_chars", F.length("text"))
+
+
 @query
 def table_fingerprints(spark, sf_dir):
     """The multiset hash of the rows of four tables."""

@@ -217,6 +217,11 @@ d AS (SELECT DISTINCT 'doc:' || lpad(CAST(doc_id AS VARCHAR), 12, '0') AS url, u
 h AS (SELECT item_id, url, count(*) AS shared FROM q JOIN d USING (t) GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY shared DESC, url) - 1 AS rk FROM h)
 SELECT item_id, CAST(rk AS INTEGER) AS rank, url, shared FROM r WHERE rk < 5""",
     "table_fingerprints": " UNION ALL ".join(_fingerprint(t, c) for t, c in (("documents", ["doc_id", "text", "lang", "source", "n_chars"]), ("labels", ["doc_id", "quality", "toxic"]), ("benchmark", ["item_id", "text"]), ("conversations", ["conv_id", "turn", "role", "text"]))),
+    "readable_pages": r"""
+WITH a AS (SELECT page_id, regexp_extract(html, '(?is)<article[^>]*>(.*)</article', 1) AS x FROM pages),
+b AS (SELECT page_id, regexp_replace(regexp_replace(x, '(?i)<br[^>]*>', ' ', 'g'), '(?is)<script.*?</script>|<style.*?</style>|<!--.*?-->', '', 'g') AS x FROM a),
+l AS (SELECT page_id, list_filter(list_transform(regexp_split_to_array(x, '(?i)</?(?:h[1-6]|p|ul|ol|li|div|section)\b[^>]*>'), lambda s: trim(regexp_replace(replace(replace(replace(replace(regexp_replace(s, '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '\s+', ' ', 'g'))), lambda s: s <> '') AS ls FROM b)
+SELECT page_id, array_to_string(ls, chr(10)) AS text, length(array_to_string(ls, chr(10))) AS n_chars FROM l""".replace("\\\\", "\\"),
     "ranked_results": f"""
 WITH q AS (SELECT DISTINCT item_id, unnest({_tokens("text")}) AS t FROM benchmark), d AS (SELECT 'doc:' || lpad(CAST(doc_id AS VARCHAR), 12, '0') AS url, {_tokens("text")} AS ts FROM documents),
 a AS (SELECT count(*) AS n, avg(len(ts)) AS mean FROM d), p AS (SELECT t, url, len(ts) AS l, count(*) AS tf FROM (SELECT url, ts, unnest(ts) AS t FROM d) GROUP BY ALL), f AS (SELECT t, count(*) AS df FROM p GROUP BY t),

@@ -7,7 +7,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from antiphon.config import Cleaning
-from antiphon.functions import html, style, text, vectors
+from antiphon.functions import html, style, text, vectors, readable
 from antiphon.operators import filters, framing
 
 
@@ -151,3 +151,21 @@ def test_framing(spark):
     assert got[1].primary_frame == "Economic"
     assert one(spark, '{"Other": 0.5}', lambda c: framing.probabilities(framing.parsed(c)))[-1] == 0.5
     assert one(spark, None, lambda c: framing.probabilities(framing.parsed(c))) == [0.0] * 15
+
+
+PARAGRAPHS = "<h1>A title of its own</h1><p>First para, of some words, that run on for a while so that it counts.<p>Second <b>para</b> with more <a href=/x>words</a>, and more words than that, all in one line.</p><p>Short one.</p>"
+LINES = "A title of its own\nFirst para, of some words, that run on for a while so that it counts.\nSecond para with more words, and more words than that, all in one line.\nShort one."
+SITE = "<html><head><title>t</title></head><body><nav><ul><li><a href=/a>One</a></li></ul></nav>{}<div class='sidebar'><p>Other things to read, that are long enough to count as text.</p></div><ul>" + "<li><a href=/y>A long link to another page of the site, with commas, too</a></li>" * 9 + "</ul><footer>All rights, of all kinds, are reserved by those who reserve them</footer></body></html>"
+
+
+@pytest.mark.parametrize("wrap", ["<article>{}</article>", "<div>{}</div>", "<div class='content'><div>{}</div></div>", "<div class='has-sidebar'><main>{}</main></div>", "<form><article>{}</article></form>", "<div class=nav><article>{}</article></div>", "<table><tr><td>{}</td></tr></table>"])
+def test_readable_content(wrap):
+    assert readable.content(SITE.format(wrap.format(PARAGRAPHS))) == LINES
+
+
+def test_readable_content_of_odd_pages(spark):
+    pages = [None, "", " ", "<p>", "plain text only", "<p>Hello big world", "<nav>menu</nav>", "a &lt; b <!-- never closed <p>gone", "<p>x &amp; y</p><script>no</script>", "<div><a href=/>only a link</a></div>", "<p>end <b"]
+    want = ["", "", "", "", "plain text only", "Hello big world", "", "a < b", "x & y", "", "end <b"]
+    assert [readable.content(p) for p in pages] == want
+    got = spark.createDataFrame([(i, p) for i, p in enumerate(pages)], "i int, p string").withColumn("t", readable.readable(F.col("p"))).orderBy("i").collect()
+    assert [r.t for r in got] == want
