@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import Cleaning, Extraction, Settings
 from ..functions import html, readable, style, text, vectors
-from ..operators import annotations, boost, datasets, encode, extract, filters, fingerprint, framing, inference, keywords, learn, metrics, search, train
+from ..operators import annotations, boost, datasets, encode, extract, filters, fingerprint, framing, inference, keywords, learn, metrics, search, sentiment, train, wordvectors
 from ..schemas import FRAMES, frame_name, frames
 from ..sources import index, web
 from ..storage import once
@@ -294,6 +294,50 @@ def trained_codes(spark, sf_dir):
     return out.select("vec_id", *[F.round(F.col("y")[i], 5).alias(f"y{i}") for i in range(10)])
 
 
+@query
+def word_associations(spark, sf_dir):
+    """Pairs of the commonest words that stand near each other more often than by chance."""
+    d = read(spark, sf_dir, "documents")
+    top = once(wordvectors.vocabulary(d, limit=500))
+    words = [r.word for r in top.orderBy("idx").collect()]
+    pairs = wordvectors.positive_pmi(once(wordvectors.cooccurrences(d, words)))
+    name = lambda c: F.broadcast(top.select(F.col("idx").alias(c), F.col("word").alias(f"{c}_word")))  # noqa: E731  500 rows
+    return pairs.join(name("a"), "a").join(name("b"), "b").select("a_word", "b_word", "n", _r6(F.col("ppmi")).alias("ppmi"))
+
+
+@query
+def text_vectors(spark, sf_dir):
+    """The mean word vector of every document: its first four entries and its length."""
+    d = read(spark, sf_dir, "documents")
+    model = wordvectors.fit(d)
+    v = d.select("doc_id", model.embed(F.col("text")).alias("v"))
+    return v.select("doc_id", *[_r6(F.get("v", F.lit(i))).alias(f"v{i}") for i in range(4)], _r6(F.sqrt(vectors.dot(F.col("v"), F.col("v")))).alias("length"))
+
+
+@query
+def vector_keywords(spark, sf_dir):
+    """Phrases whose word vectors are nearest to their item's, by vectors of the documents' words."""
+    model = wordvectors.fit(read(spark, sf_dir, "documents"))
+    top = keywords.by_embedding(read(spark, sf_dir, "benchmark"), model.embed, wordvectors.nearness, key="item_id")
+    return top.withColumn("score", _r6(F.col("score")))
+
+
+#: Seeds of words that the shared texts hold.
+_SEEDS = ("best", "great", "good"), ("idiot", "stupid", "moron", "worthless")
+
+
+@query
+def sentiment_words(spark, sf_dir):
+    return sentiment.orientations(read(spark, sf_dir, "documents"), *_SEEDS).withColumn("orientation", _r6(F.col("orientation")))
+
+
+@query
+def text_positivity(spark, sf_dir):
+    d = read(spark, sf_dir, "documents")
+    words = sentiment.lexicon(sentiment.orientations(d, *_SEEDS))
+    return d.select("doc_id", _r6(words.positivity(F.col("text"))).alias("positivity"))
+
+
 @query
 def encode_search(spark, sf_dir):
     d = encoded_documents(spark, sf_dir).withColumn("y", encode.projection(F.col("x"))).select("doc_id", "primary_frame", "y")

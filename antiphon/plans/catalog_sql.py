@@ -36,6 +36,11 @@ def _frame(i: str) -> str:
     return f"list_extract({_FRAMES}, CAST(({i}) + 1 AS BIGINT))"
 
 
+_LEANING = f"""
+s AS (SELECT list_distinct({_tokens("x")}) AS t FROM (SELECT unnest({_sentences("text")}) AS x FROM documents)),
+m AS (SELECT t, CAST(list_has_any(t, ['best', 'great', 'good']) AS BIGINT) AS p, CAST(list_has_any(t, ['idiot', 'stupid', 'moron', 'worthless']) AS BIGINT) AS m FROM s),
+a AS (SELECT sum(p) AS ap, sum(m) AS am FROM m), w AS (SELECT word, sum(p) AS good, sum(m) AS bad FROM (SELECT unnest(t) AS word, p, m FROM m WHERE p + m > 0) GROUP BY word),
+o AS (SELECT word, CAST(good AS BIGINT) AS good, CAST(bad AS BIGINT) AS bad, ln((good + 0.5) * (am + 0.5) / ((bad + 0.5) * (ap + 0.5))) AS orientation FROM w, a WHERE good + bad >= 3 ORDER BY round(abs(orientation), 9) DESC, word LIMIT 2000)"""
 _FRAME_TABLE = f"(SELECT unnest({_FRAMES}) AS frame)"
 
 
@@ -228,6 +233,16 @@ a AS (SELECT count(*) AS n, avg(len(ts)) AS mean FROM d), p AS (SELECT t, url, l
 s AS (SELECT item_id, url, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * l / mean))), 9) AS s FROM q JOIN p USING (t) JOIN f USING (t), a GROUP BY item_id, url),
 r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY s DESC, url) - 1 AS rk FROM s)
 SELECT item_id, CAST(rk AS INTEGER) AS rank, url, round(s, 6) AS score FROM r WHERE rk < 10""",
+    "word_associations": f"""
+WITH t AS (SELECT row_number() OVER () AS k, {_tokens("text")} AS l FROM documents), p AS (SELECT k, generate_subscripts(l, 1) AS i, unnest(l) AS w FROM t),
+v AS (SELECT w FROM p GROUP BY w ORDER BY count(*) DESC, w LIMIT 500), o AS (SELECT k, i, w FROM p JOIN v USING (w)),
+c AS (SELECT x.w AS a_word, y.w AS b_word, count(*) AS n FROM (SELECT k, w, unnest([i - 5, i - 4, i - 3, i - 2, i - 1, i + 1, i + 2, i + 3, i + 4, i + 5]) AS i FROM o) x JOIN o y USING (k, i) GROUP BY ALL),
+s AS (SELECT a_word AS w, sum(n) AS own FROM c GROUP BY ALL), r AS (SELECT a_word, b_word, n, ln(CAST(n AS DOUBLE) * CAST((SELECT sum(own) FROM s) AS DOUBLE) / (CAST(x.own AS DOUBLE) * CAST(y.own AS DOUBLE))) AS p FROM c JOIN s x ON x.w = a_word JOIN s y ON y.w = b_word)
+SELECT a_word, b_word, n, round(p, 6) AS ppmi FROM r WHERE p > 0""",
+    "sentiment_words": f"WITH {_LEANING} SELECT word, good, bad, round(orientation, 6) AS orientation FROM o",
+    "text_positivity": f"""
+WITH {_LEANING}, k AS (SELECT doc_id, unnest({_tokens("text")}) AS word FROM documents), g AS (SELECT doc_id, avg(orientation) AS v FROM k JOIN o USING (word) GROUP BY doc_id)
+SELECT doc_id, round(1 / (1 + exp(-coalesce(v, 0))), 6) AS positivity FROM documents LEFT JOIN g USING (doc_id)""",
     "page_lookup": "WITH p AS (SELECT url, max(html) AS html FROM pages GROUP BY url) SELECT url, length(html) AS chars FROM p UNION ALL SELECT 'missing:' || url, 0 FROM p",
     "claim_candidates": f"WITH {_SENTS} SELECT doc_id, pos, sent AS claim, CAST(least(1.0, len(t) / 20.0) AS DOUBLE) AS p FROM st WHERE least(1.0, len(t) / 20.0) >= 0.45",
     "claim_evidence_pairs": f"{_PAIRS} SELECT doc_id, claim_pos, evidence_pos, claim, evidence, round(p, 6) AS p FROM q WHERE p >= 0.35",
