@@ -47,9 +47,9 @@ _RUNS = re.compile(r"[^\W\d_]+")
 _WORD_END = re.compile(r"\w\w\s")
 _TRIPLES = [(i, j, k, DECAY ** (k - i + 1)) for i, j, k in combinations(range(WINDOW + 1), 3)]
 _START = 40
-#: The norm by length, as if no three symbols stood twice; where they do, the bound is this much too low.
+#: The norm by length of a string in which no three symbols stand twice.
 _NORMS = np.array([sum(w * w for *_, k, w in _TRIPLES if k < n) ** 0.5 for n in range(WINDOW + 2)], np.float32)
-_REPEATS = np.float32(1.6)
+_ENDS, _WEIGHTS = np.array([k for *_, k, _ in _TRIPLES]), np.array([w for *_, w in _TRIPLES])
 
 
 def _symbols(strings: list[str]) -> np.ndarray:
@@ -65,6 +65,28 @@ def windows(word: str) -> list[str]:
     return ["^" + word[:WINDOW], *(word[k : k + WINDOW] for k in range(STEP, len(word) - 3, STEP))]
 
 
+def _repeats(sym: np.ndarray) -> np.ndarray:
+    """At most how often three symbols in order stand in each string (a column of ``sym``); 1 where none does twice."""
+    same = (sym[:, None] == sym[None]) & (sym > 0)
+    first = ~np.tril(same.transpose(2, 0, 1), -1).any(2).T
+    most = -np.sort(-(same.sum(1) * first), axis=0)[:3].astype(np.int64)
+    a, b, c = np.maximum(most, 1)
+    return np.maximum(np.maximum(a * b * c, a * (a - 1) // 2 * b), a * (a - 1) * (a - 2) // 6)
+
+
+def _norms(sym: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The norms of strings (columns of ``sym``): weights of equal features add up before they are squared."""
+    key = np.stack([(sym[i] * 41 + sym[j]) * 41 + sym[k] for i, j, k, _ in _TRIPLES], 1)
+    weight = np.where(_ENDS < size[:, None], _WEIGHTS, 0.0)
+    order = np.argsort(key, axis=1)
+    key, weight = np.take_along_axis(key, order, 1), np.take_along_axis(weight, order, 1)
+    new = np.ones(key.shape, bool)
+    new[:, 1:] = key[:, 1:] != key[:, :-1]
+    at = np.flatnonzero(new)
+    sums = np.add.reduceat(weight.ravel(), at)
+    return np.sqrt(np.bincount(at // len(_TRIPLES), sums * sums, len(key)))
+
+
 class Kernel:
     """Normalised kernel values of strings with fixed landmarks."""
 
@@ -90,7 +112,8 @@ class Kernel:
     def near(self, strings: list[str], least: float) -> tuple[np.ndarray, np.ndarray]:
         """The strings (by number) that can have a value of ``least`` or more, and all of their values.
 
-        A value is at most the share of a string's norm that lies in features of any landmark."""
+        A value is at most the share of a string's norm that lies in features of any landmark.  A feature that
+        stands m times has at most m times the sum of its squared weights; the norm is at least as without repeats."""
         sym = _symbols(strings)
         size = (sym > 0).sum(1)
         order = np.argsort(-size, kind="stable")  # so that the strings with a symbol k come first
@@ -105,7 +128,12 @@ class Kernel:
             own = self.where[pair[: many[k]] + sym[k, : many[k]]]
             at.append(own)
             held[: many[k]] += (own > 0) * np.float32(w * w)
-        some = np.flatnonzero(np.sqrt(held) * _REPEATS >= least * norm)
+        some = np.flatnonzero(held > 0) if least > 0 else np.arange(len(strings))
+        often = _repeats(sym[:, some])
+        near = np.sqrt(held[some] * often) * np.float32(1.0001) >= least * norm[some]
+        some, often = some[near], often[near]
+        again = some[often > 1]
+        norm[again] = _norms(sym[:, again], size[again]) if len(again) else 0
         out = np.zeros((len(some), self.rows.shape[1]), np.float32)
         for own, (_, _, k, w) in zip(at, _TRIPLES):
             own = own[some[: np.searchsorted(some, many[k])]]
@@ -278,7 +306,8 @@ def fit(texts: list[str], y: np.ndarray) -> Model:
     if not marks or len(set(y[~aside])) < 2:
         return Model([], np.zeros((0, 0)), np.zeros(0), 0.0, (0.0, 0.0), prior)
     x = Features(marks)(texts).astype(float)
-    value, vector = np.linalg.eigh(Kernel(marks)(marks).astype(float))
+    own = Kernel(marks)(marks).astype(float)
+    value, vector = np.linalg.eigh((own + own.T) / 2)  # equal but for rounding
     root = vector @ np.diag(1 / np.sqrt(np.maximum(value, 1e-2))) @ vector.T
     w, b = svm(x[~aside] @ root, y[~aside])
     model = Model(marks, root, w, b, (1.0, 0.0), prior)

@@ -10,7 +10,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from antiphon.llm import quality, queries, resampling, whitening
+from antiphon.llm import quality, queries, resampling, toxicity, whitening
 
 # --- quality -------------------------------------------------------------------------------------
 
@@ -254,3 +254,56 @@ def test_resampling_of_odd_tables(spark, n):
     assert resampling.resample(df.limit(0), other).collect() == []
     alone = resampling.resample(df, other.limit(0), n=n).collect()
     assert order(tuple(r) for r in alone) == order(slow_resample(docs, [], n=n))
+
+
+def kernel_features(s):
+    """Three symbols in order with their weights, by loops."""
+    out = {}
+    for i in range(len(s)):
+        for j in range(i + 1, len(s)):
+            for k in range(j + 1, len(s)):
+                out[s[i] + s[j] + s[k]] = out.get(s[i] + s[j] + s[k], 0.0) + toxicity.DECAY ** (k - i + 1)
+    return out
+
+
+def kernel_value(s, t):
+    a, b = kernel_features(s), kernel_features(t)
+    norm = (sum(v * v for v in a.values()) * sum(v * v for v in b.values())) ** 0.5
+    return sum(v * b.get(k, 0.0) for k, v in a.items()) / norm if norm else 0.0
+
+
+def test_string_kernel_equals_loops_and_is_one():
+    rng = np.random.default_rng(5)
+    marks = ["banana", "aaaa", "^idiot", "moron", "^abababab", "aabb", "abcdefgh", "^mississi"]
+    words = marks + ["".join(rng.choice(list("abimno"), n)) for n in rng.integers(1, 9, 400)] + ["^" + "".join(rng.choice(list("idots"), 8)) for _ in range(200)]
+    kernel = toxicity.Kernel(marks)
+    want = np.array([[kernel_value(w, m) for m in marks] for w in words])
+    assert np.abs(kernel(words) - want).max() < 1e-5
+    for least in (0.2, 0.4, 0.8):
+        some, value = kernel.near(words, least)
+        assert np.abs(value - want[some]).max() < 1e-5
+        assert set(np.flatnonzero(want.max(1) >= least + 1e-5)) <= set(some.tolist())
+    own = kernel(marks)
+    assert np.abs(own - own.T).max() < 1e-6 and np.abs(np.diag(own) - 1).max() < 1e-6 and np.linalg.eigvalsh(own.astype(float)).min() > -1e-6
+
+
+def test_toxicity_scores_equal_loops_over_all_strings():
+    """Scores from given landmarks: windows, floor, best values, Nystroem space, curve."""
+    marks = ["^idiot", "moron", "^banana"]
+    own = np.array([[kernel_value(a, b) for b in marks] for a in marks])
+    value, vector = np.linalg.eigh(own)
+    root = vector @ np.diag(1 / np.sqrt(np.maximum(value, 1e-2))) @ vector.T
+    model = toxicity.Model(marks, root, np.array([1.0, 2.0, -1.0]), -0.5, (1.5, 0.1), 0.0)
+    texts = ["You are an idiot, a real idi0t", "xxmoronxx i d i o t", "bananas ananas", "", None, "oxmoronic mo-ron"]
+    for text, got in zip(texts, model.scores(toxicity.Features(marks)(texts).astype(float))):
+        words = (text or "").lower().split()
+        words += ["".join(m.split()) for m in re.findall(r"(?<!\S)\w(?:\s\w){3,}(?!\S)", (text or "").lower())]
+        best = np.zeros(3)
+        for w in words:
+            runs = re.findall(r"[a-z]+", w)
+            for run in [*runs, "".join(runs)] if len(runs) > 1 else runs:
+                if len(run) >= 3:
+                    for s in ["^" + run[:8], *(run[k : k + 8] for k in range(2, len(run) - 3, 2))]:
+                        best = np.maximum(best, [max(0.0, kernel_value(s, m) - 0.4) / 0.6 for m in marks])
+        f = best @ root @ model.weight - 0.5
+        assert got == pytest.approx(1 / (1 + np.exp(-(1.5 * f + 0.1))), abs=1e-4)
