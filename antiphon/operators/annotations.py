@@ -51,18 +51,25 @@ def span_errors(s: Column) -> Column:
 
 
 def record_errors(golden: DataFrame) -> DataFrame:
-    """(kind, id, error) of every broken rule within a record and of every dangling reference."""
-    d = documents(golden)
+    """(kind, id, error) of every broken rule within a record and of every dangling reference.
+
+    Ids are a row's own: what a row's records refer to must be in that row.  Rows meet by a hash of their
+    ids, since rows with the same ids know the same records."""
+    ids_of = lambda part: F.sha2(F.concat_ws(",", F.transform(part, lambda x: x["id"].cast("string"))), 256)
+    golden = golden.withColumn("_docs", ids_of("documents")).withColumn("_args", ids_of("arguments"))
+    d = golden.select("_docs", F.explode("documents").alias("d")).select("_docs", "d.*")
     doc = d.select(F.lit("document").alias("kind"), "id", F.explode(_errors((F.col("id") > 0, "id must be positive"), (~is_blank(F.col("title")), "title must not be empty"), (F.col("text").isNotNull(), "text is missing"))).alias("error"))
-    a = golden.select(F.explode("arguments").alias("a")).select("a.*")
+    a = golden.select("_docs", "_args", F.explode("arguments").alias("a")).select("_docs", "_args", "a.*")
     own = F.concat(_errors((F.col("id") > 0, "id must be positive"), (F.size("evidence") > 0, "evidence must not be empty")), span_errors(F.col("claim")), F.flatten(F.transform(F.coalesce("evidence", F.array().cast(golden.schema["arguments"].dataType.elementType["evidence"].dataType)), span_errors)))
     arg = a.select(F.lit("argument").alias("kind"), "id", F.explode(own).alias("error"))
-    r = golden.select(F.posexplode("relations").alias("at", "r")).select("at", "r.*")
+    r = golden.select("_args", F.posexplode("relations").alias("at", "r")).select("_args", "at", "r.*")
     rel = r.select(F.lit("relation").alias("kind"), F.col("at").cast("long").alias("id"), F.explode(_errors((F.col("a") > 0, "a must be positive"), (F.col("b") > 0, "b must be positive"), (F.col("a") != F.col("b"), "a and b must differ"), (F.col("type") == "contradicts", "type must be contradicts"))).alias("error"))
-    ids = a.select(F.col("id").alias("known"))
-    no_doc = a.join(d.select(F.col("id").alias("known")), F.col("documentId") == F.col("known"), "left_anti").select(F.lit("argument").alias("kind"), "id", F.lit("unknown document").alias("error"))
-    ends = r.select("at", F.explode(F.array("a", "b")).alias("end"))
-    no_arg = ends.join(ids, F.col("end") == F.col("known"), "left_anti").select(F.lit("relation").alias("kind"), F.col("at").cast("long").alias("id"), F.lit("unknown argument").alias("error"))
+    known = lambda rows, by: rows.select(F.col(by).alias("_by"), F.col("id").alias("known")).distinct()
+    no_doc = a.join(known(d, "_docs"), (F.col("_docs") == F.col("_by")) & (F.col("documentId") == F.col("known")), "left_anti").select(F.lit("argument").alias("kind"), "id", F.lit("unknown document").alias("error"))
+    there = known(a, "_args")
+    end = lambda n: there.toDF(f"_by_{n}", f"_known_{n}")
+    met = r.join(end("a"), (F.col("_args") == F.col("_by_a")) & (F.col("a") == F.col("_known_a")), "left").join(end("b"), (F.col("_args") == F.col("_by_b")) & (F.col("b") == F.col("_known_b")), "left")
+    no_arg = met.filter(F.col("_known_a").isNull() | F.col("_known_b").isNull()).select(F.lit("relation").alias("kind"), F.col("at").cast("long").alias("id"), F.lit("unknown argument").alias("error"))
     return reduce(DataFrame.unionByName, [doc, arg, rel, no_doc, no_arg])
 
 

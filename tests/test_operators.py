@@ -228,6 +228,13 @@ def test_annotation_errors(spark):
         annotations.related_pairs(golden(spark, bad)).collect()
 
 
+def test_references_stay_within_their_row(spark):
+    loose = ([(1, "t", "text", None)], [(1, 1, SPAN("claim", "c"), [SPAN("evidence", "e")]), (2, 8, SPAN("claim", "c"), [SPAN("evidence", "e")])], [(1, "contradicts", 9), (8, "contradicts", 9)], "1")
+    other = ([(8, "t", "text", None)], [(8, 8, SPAN("claim", "c"), [SPAN("evidence", "e")]), (9, 8, SPAN("claim", "c"), [SPAN("evidence", "e")])], [(8, "contradicts", 9)], "1")
+    got = annotations.record_errors(spark.createDataFrame([loose, other, other], ANNOTATIONS)).collect()
+    assert sorted(map(tuple, got)) == [("argument", 2, "unknown document"), ("relation", 0, "unknown argument"), ("relation", 1, "unknown argument")]
+
+
 def test_encoder(spark):
     df = spark.createDataFrame([([0.1] * 18, "Morality", {"Morality": 0.7})], "s array<double>, f string, p map<string,double>").select(encode.encoder_input(F.col("s"), F.col("f"), F.col("p")).alias("x"))
     x = df.first().x
