@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -60,6 +61,67 @@ def farthest(references: DataFrame, candidates: DataFrame, k: int | None = None,
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select(group, "ref_id", "rank", "cand_id", "similarity")
 
 
+#: Rows of an Arrow batch of pairs; most partitions over which blocks of pairs are dealt.
+BATCH, PARTITIONS = 65_536, 2_000
+
+
+def cosine_pairs(df: DataFrame, group: str = "label", key: str = "vec_id", vector: str = "embedding", digits: int = 6, block: int = BLOCK) -> DataFrame:
+    """(group, key_1, key_2, similarity): all ordered pairs of a group's rows, each row with itself included.
+
+    Each pair of blocks is one matrix product, written as Arrow batches.  The similarity is null where a side
+    is null, zero or holds nulls, or where lengths differ; rows without a group meet nothing."""
+    by = tiles.shape(df, df, [group], block)
+    tasks = min(max(1, by.agg(F.sum(F.col("_lb").cast("long") * F.col("_rb"))).first()[0] or 1), PARTITIONS)
+    rows = df.select(group, F.col(key).alias("id"), F.col(vector).alias("v")).join(by, group)
+    left = rows.withColumn("lb", tiles.own_block("id", "_lb")).withColumn("rb", tiles.every_block("_rb")).select(group, "lb", "rb", "id", "v")
+    right = rows.withColumn("rb", tiles.own_block("id", "_rb")).withColumn("lb", tiles.every_block("_lb"))
+    right = right.select(*[F.col(c).alias(n) for c, n in ((group, "_g"), ("lb", "_l"), ("rb", "_r"), ("id", "id"), ("v", "v"))])  # fresh names: both sides are one table
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    schema = f"`{group}` {kinds[group]}, `{key}_1` {kinds[key]}, `{key}_2` {kinds[key]}, similarity double"
+    names = [group, f"{key}_1", f"{key}_2", "similarity"]
+
+    def solve(a: pa.Table, b: pa.Table) -> pa.Table:
+        one, two = (t["id"].combine_chunks() for t in (a, b))
+        label, batches = a[group].combine_chunks()[:1], []
+        x, y = _by_length(a["v"]), _by_length(b["v"])
+        step = max(1, BATCH // max(1, len(two)))
+        for lo in range(0, len(one) if len(two) else 0, step):
+            n = min(step, len(one) - lo)
+            sim, null = np.zeros((n, len(two))), np.ones((n, len(two)), bool)
+            for width in x.keys() & y.keys():
+                (i, u), (j, v) = x[width], y[width]
+                some = (i >= lo) & (i < lo + n)
+                at = np.ix_(i[some] - lo, j)
+                sim[at], null[at] = u[some] @ v.T, False
+            s = np.floor(np.abs(sim) * 10.0**digits + 0.5) / 10.0**digits
+            s = np.where(s == 0, 0.0, np.copysign(s, sim)).ravel()
+            at = pa.array(np.repeat(np.arange(lo, lo + n), len(two))), pa.array(np.tile(np.arange(len(two)), n))
+            columns = [label.take(pa.array(np.zeros(len(s), int))), one.take(at[0]), two.take(at[1]), pa.array(s, mask=null.ravel())]
+            batches.append(pa.RecordBatch.from_arrays(columns, names=names))
+        return pa.Table.from_batches(batches) if batches else pa.table([label[:0], one[:0], two[:0], pa.array([], pa.float64())], names=names)
+
+    left, right = left.repartition(tasks, group, "lb", "rb"), right.repartition(tasks, "_g", "_l", "_r")
+    return left.groupBy(group, "lb", "rb").cogroup(right.groupBy("_g", "_l", "_r")).applyInArrow(solve, schema)
+
+
+def _by_length(vectors: pa.ChunkedArray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """By length, the rows and the unit vectors of those that have one."""
+    lists = vectors.combine_chunks()
+    lengths = np.asarray(lists.value_lengths().fill_null(0))
+    values = lists.flatten()
+    start = np.cumsum(lengths) - lengths
+    gaps = np.concatenate([[0], np.cumsum(np.asarray(values.is_null()))])
+    held = np.asarray(values.fill_null(0), float)
+    out = {}
+    for width in np.unique(lengths[lengths > 0]).tolist():
+        rows = np.flatnonzero((lengths == width) & (gaps[start + lengths] == gaps[start]))
+        m = held[start[rows][:, None] + np.arange(width)]
+        norm = np.sqrt((m * m).sum(1))
+        some = ~(norm == 0)
+        out[width] = rows[some], m[some] / norm[some, None]
+    return out
+
+
 def _unit(m: np.ndarray) -> np.ndarray:
     n = np.sqrt((m * m).sum(1, keepdims=True))
     if (n == 0).any():

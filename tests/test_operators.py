@@ -96,6 +96,27 @@ def test_farthest_edges(spark):
         search.farthest(vectors(spark, np.zeros((1, 3))), a, 1).collect()
 
 
+def test_cosine_pairs_by_blocks(spark):
+    x = np.random.default_rng(2).normal(size=(60, 4)).round(2).tolist()
+    odd = [(90, 0, None), (91, 0, [0.0] * 4), (92, 0, [1.0, None, 0.0, 2.0]), (93, 0, [1.0, 2.0]), (94, 0, []), (95, None, [1.0] * 4), (96, 0, [2.0, 4.0])]
+    rows = [(i, i % 2, v) for i, v in enumerate(x)] + odd
+    got = search.cosine_pairs(spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>"), block=8)
+    assert got.columns == ["label", "vec_id_1", "vec_id_2", "similarity"]
+    at = {i: (g, v) for i, g, v in rows}
+
+    def cosine(a, b):
+        if any(not v or None in v or not any(v) for v in (a, b)) or len(a) != len(b):
+            return None
+        a, b = (np.array(v, np.float32).astype(float) for v in (a, b))
+        return round(float(a @ b / np.sqrt((a @ a) * (b @ b))), 6)
+
+    want = {(g, i, j): cosine(v, at[j][1]) for i, (g, v) in at.items() for j in at if g is not None and at[j][0] == g}
+    have = {(r.label, r.vec_id_1, r.vec_id_2): r.similarity for r in got.collect()}
+    assert got.count() == len(have) and have.keys() == want.keys() and have[0, 93, 96] == 1.0
+    assert all(have[k] is None if v is None else abs(have[k] - v) < 2e-6 for k, v in want.items())
+    assert search.cosine_pairs(spark.createDataFrame([], "vec_id long, label int, embedding array<float>")).count() == 0
+
+
 def test_counterarguments_keep_lonely_arguments(spark):
     args = spark.createDataFrame([("a", "Other", "c", "e"), ("b", "Morality", "c", "e")], "id string, primary_frame string, claim string, evidence string")
     found = spark.createDataFrame([("Other", "a", 1, "x", 0.1), ("Other", "a", 2, "y", 0.2)], "primary_frame string, ref_id string, rank int, cand_id string, similarity double")
