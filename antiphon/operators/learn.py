@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import math
+from collections import Counter
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClassificationEvaluator
@@ -11,12 +15,15 @@ from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Hashing
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuilder
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import ngrams, tokens
+from ..storage import once
 
 EMBEDDING = 256
+#: Words up to which a task holds the common ones; with more of them all longer grams are counted.
+COMMON = 1_000_000
 #: The boosted models' trees and their depth.
 TREES, DEPTH = 200, 4
 
@@ -45,14 +52,95 @@ def tf_idf_weights(df: DataFrame, key: str, text: str = "text", max_n: int = 2,
     ln((1 + documents) / (1 + document count)) + 1, scaled to length 1 per document.
 
     The vocabulary has at most ``limit`` rows, which bounds its broadcast."""
-    t = F.col("_t")
-    grams = df.select(key, tokens(F.col(text)).alias("_t")).select(key, F.explode(F.concat(*[ngrams(t, n) for n in range(1, max_n + 1)])).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
-    docs = df.select(key).distinct().count()
-    top = grams.groupBy("term").agg(F.sum("tf").alias("total"), F.count("*").alias("df")).orderBy(F.desc("total"), "term").limit(limit)
-    vocabulary = top.withColumn("idx", (F.row_number().over(Window.orderBy("term")) - 1).cast("int")).withColumn("idf", F.log((1 + F.lit(float(docs))) / (1 + F.col("df"))) + 1).select("term", "idx", "idf")
-    w = grams.join(F.broadcast(vocabulary), "term").select(key, "idx", "term", (F.col("tf") * F.col("idf")).alias("w"))
-    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))
-    return w.withColumn("w", F.col("w") / norm), vocabulary
+    held, vocabulary = _term_weights(df, key, text, max_n, limit)
+    named = held.select(key, F.explode(F.arrays_zip("idx", "w")).alias("_e")).select(key, "_e.idx", "_e.w")
+    return named.join(F.broadcast(vocabulary.select("idx", "term")), "idx").select(key, "idx", "term", "w"), vocabulary
+
+
+def _commonest(df: DataFrame, text: str, max_n: int, limit: int) -> list[str]:
+    """The ``limit`` commonest 1..max_n-grams, ties to the smaller term.
+
+    A longer gram is at most as common as each of its words.  So only those count whose words all are at least
+    as common as the ``limit``-th word: what is counted and shuffled is bounded by those words."""
+    best = lambda terms: terms.groupBy("term").agg(F.count("*").alias("total")).orderBy(F.desc("total"), "term").limit(limit)
+    words = once(df.select(F.explode(tokens(F.col(text))).alias("term")).groupBy("term").agg(F.count("*").alias("total")))
+    top = words.orderBy(F.desc("total"), "term").limit(limit).collect()
+    if max_n > 1 and top:
+        least = top[-1].total if len(top) == limit else 1
+        common = words.filter(F.col("total") >= least)
+        longer = _longer(df, text, max_n, [r.term for r in common.collect()] if common.count() <= COMMON else None)
+        top = best(longer).collect() + top
+    words.unpersist()
+    return [r.term for r in sorted(top, key=lambda r: (-r.total, r.term))[:limit]]
+
+
+def _longer(df: DataFrame, text: str, max_n: int, words: list[str] | None) -> DataFrame:
+    """(term): the 2..max_n-grams of the texts, of those words only if there are any given."""
+    grams = F.concat(*[ngrams(F.col("_t"), n) for n in range(2, max_n + 1)])
+    rows = df.select(tokens(F.col(text)).alias("_t"))
+    if words is None:
+        return rows.select(F.explode(grams).alias("term"))
+    known = frozenset(words)
+
+    @F.pandas_udf("array<string>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for many in batches:
+            out = []
+            for t in many:
+                some = [w if w in known else None for w in t]
+                out.append([" ".join(some[i : i + n]) for n in range(2, max_n + 1) for i in range(len(some) - n + 1) if None not in some[i : i + n]])
+            yield pd.Series(out, dtype=object)
+
+    return rows.select(F.explode(run("_t")).alias("term"))
+
+
+def _term_weights(df: DataFrame, key: str, text: str, max_n: int, limit: int) -> tuple[DataFrame, DataFrame]:
+    """((key, idx, w), (term, idx, idf)), arrays in order of the terms: a document's terms are counted in its rows,
+    and one shuffle of counts by number brings together the rows of a key."""
+    terms = sorted(_commonest(df, text, max_n, limit))
+    spark, at = df.sparkSession, {t: i for i, t in enumerate(terms)}
+
+    @F.pandas_udf("struct<idx:array<int>,tf:array<int>>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for many in batches:
+            ids, counts = [], []
+            for t in many:
+                own = Counter(at[x] for n in range(1, max_n + 1) for x in (t if n == 1 else map(" ".join, zip(*(t[i:] for i in range(n))))) if x in at)
+                ids.append(list(own.keys()))
+                counts.append(list(own.values()))
+            yield pd.DataFrame({"idx": pd.Series(ids, dtype=object), "tf": pd.Series(counts, dtype=object)})
+
+    rows = df.select(key, run(tokens(F.col(text))).alias("c")).groupBy(key).agg(F.collect_list("c").alias("_c"))
+
+    @F.pandas_udf("struct<idx:array<int>,tf:array<long>>")
+    def added(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for many in batches:
+            ids, counts = [], []
+            for parts in many:
+                own: Counter = Counter()
+                for c in parts:
+                    for i, n in zip(np.asarray(c["idx"]).tolist(), np.asarray(c["tf"]).tolist()):
+                        own[i] += n
+                ids.append(sorted(own))
+                counts.append([own[i] for i in ids[-1]])
+            yield pd.DataFrame({"idx": pd.Series(ids, dtype=object), "tf": pd.Series(counts, dtype=object)})
+
+    held = once(rows.select(key, added("_c").alias("_n")).select(key, F.col("_n.idx").alias("_i"), F.col("_n.tf").alias("_tf")))
+    docs = held.count()
+    df_of = {r.idx: r.df for r in held.select(F.explode("_i").alias("idx")).groupBy("idx").agg(F.count("*").alias("df")).collect()}  # at most ``limit``
+    weights = np.array([math.log((1.0 + docs) / (1 + df_of[i])) + 1 for i in range(len(terms))])
+    vocabulary = spark.createDataFrame([(t, i, float(weights[i])) for i, t in enumerate(terms)], "term string, idx int, idf double")
+
+    @F.pandas_udf("array<double>")
+    def weighed(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for ids, counts in batches:
+            out = []
+            for i, n in zip(ids, counts):
+                w = np.asarray(n, float) * weights[np.asarray(i, int)]
+                out.append(w / np.sqrt((w * w).sum()) if len(w) else w)
+            yield pd.Series(out, dtype=object)
+
+    return held.select(key, F.col("_i").alias("idx"), weighed("_i", "_tf").alias("w")), vocabulary
 
 
 def tf_idf(df: DataFrame, key: str, text: str = "text", max_n: int = 2, limit: int = 1000) -> DataFrame:
@@ -73,10 +161,7 @@ def tf_idf(df: DataFrame, key: str, text: str = "text", max_n: int = 2, limit: i
 
 def sparse_rows(df: DataFrame, key: str, text: str = "text", max_n: int = 2, limit: int = 1000) -> DataFrame:
     """(key, idx, w): ``tf_idf_weights`` as two arrays per document, in order of the terms; empty ones without known terms."""
-    weights, _ = tf_idf_weights(df, key, text, max_n, limit)
-    own = weights.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("idx", "w"))).alias("_f"))
-    out = df.select(key).distinct().join(own, key, "left")
-    return out.select(key, F.coalesce(F.col("_f.idx"), F.array().cast("array<int>")).alias("idx"), F.coalesce(F.col("_f.w"), F.array().cast("array<double>")).alias("w"))
+    return _term_weights(df, key, text, max_n, limit)[0]
 
 
 def frame_classifier(label: str = "label", iterations: int = 30) -> LogisticRegression:

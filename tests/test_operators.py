@@ -387,6 +387,17 @@ def test_models(spark, tmp_path):
     assert learn.evidence_pipeline(trees=1, depth=1).fit(pairs).transform(pairs).count() == 10
 
 
+def test_commonest_terms_need_few_counts(spark):
+    rows = [(i, "aa bb " * 5 + f"cc{chr(97 + i % 26)} dd{chr(97 + i // 2)}") for i in range(30)] + [(3, "aa bb"), (50, ""), (51, None)]
+    df = spark.createDataFrame(rows, "doc_id int, text string")
+    assert learn._longer(df, "text", 2, ["aa", "bb"]).distinct().count() == 2  # pairs of rarer words are not counted
+    w, vocabulary = learn.tf_idf_weights(df, "doc_id", limit=3)
+    assert {r.term for r in vocabulary.collect()} == {"aa", "bb", "aa bb"}
+    got = {(r.doc_id, r.term): r.w for r in w.collect()}
+    assert len(got) == 90 and got[3, "aa"] == pytest.approx(6 / 108**0.5)  # both rows of document 3
+    assert {r.doc_id: len(r.idx) for r in learn.sparse_rows(df, "doc_id", limit=3).collect()} == {**{i: 3 for i in range(30)}, 50: 0, 51: 0}
+
+
 def test_tf_idf(spark):
     df = spark.createDataFrame([(1, "aa bb aa"), (2, "aa cc"), (3, "")], "doc_id int, text string")
     w, vocabulary = learn.tf_idf_weights(df, "doc_id", max_n=1)
