@@ -130,6 +130,13 @@ def test_trees_are_those_of_one_pass_over_all_rows(spark):
         assert np.allclose(now.margins(x), grown(before, x, y, 4, 3), atol=1e-9)
 
 
+def test_trees_are_the_same_bits_however_rows_are_dealt(spark):
+    df = spark.createDataFrame(sparse(6, 700)[2], SPARSE)
+    one, many = (boost.fit(df.repartition(n), 4, 12, trees=6, depth=3) for n in (1, 5))
+    for a, b in zip(sum(one.rounds, []), sum(many.rounds, [])):
+        assert (a.feature == b.feature).all() and (a.cut == b.cut).all() and (a.leaf == b.leaf).all()
+
+
 def test_joint_classes_beat_one_against_the_rest(spark):
     _, y, rows = sparse(4, 900)
     _, yt, test = sparse(5, 500)
