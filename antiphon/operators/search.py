@@ -1,8 +1,10 @@
 """Farthest-k search: the candidates least similar to each reference, within a group.
 
-Both sides are dealt into blocks of bounded size by a hash of their ids; each pair of blocks is one
-matrix product on Arrow batches, keeps k rows per reference, and the blocks' winners are merged by a
-window whose input is already cut to k rows a block.  A hot group therefore spreads over many tasks.
+Both sides are dealt into blocks of bounded size by a hash of their ids; each pair of blocks goes by
+matrix products of ``BLOCK`` rows of each side, keeps k rows per reference, and the blocks' winners are
+merged by a window whose input is already cut to k rows a block.  A hot group therefore spreads over many
+tasks.  A row is copied once for each block of the other side, so the blocks of a large group grow: it
+has ``COPIES`` of them until one would hold more than ``MOST`` rows.
 A group of g references and candidates costs g squared products however it is cut: that is the
 operator's own size."""
 
@@ -11,7 +13,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import dot, unit
@@ -19,6 +21,8 @@ from . import tiles
 
 MAX_CANDIDATES = 100
 BLOCK = tiles.BLOCK
+#: Blocks that a side of a group has while they hold no more rows than ``MOST``.
+COPIES, MOST = 4, 65_536
 
 
 def _checked(k: int | None) -> int:
@@ -27,11 +31,17 @@ def _checked(k: int | None) -> int:
     return min(k or MAX_CANDIDATES, MAX_CANDIDATES)
 
 
+def blocks(n: Column, block: int) -> Column:
+    """The number of blocks for a side that has ``n`` of ``block`` rows."""
+    return F.when(n > COPIES, F.greatest(F.lit(COPIES), F.ceil(n * block / max(MOST, block)))).otherwise(n).cast("int")
+
+
 def farthest(references: DataFrame, candidates: DataFrame, k: int | None = None, group: str = "label", key: str = "vec_id", vector: str = "embedding", block: int = BLOCK) -> DataFrame:
     """(group, ref_id, rank, cand_id, similarity): at most min(k, 100) candidates of the reference's group
     in ascending cosine similarity, ties by id.  Zero vectors and unequal lengths are errors."""
     k = _checked(k)
     by = tiles.shape(references, candidates, [group], block)
+    by = by.withColumn("_lb", blocks(F.col("_lb"), block)).withColumn("_rb", blocks(F.col("_rb"), block))
     rows = lambda df: df.select(group, F.col(key).alias("id"), F.col(vector).alias("v")).join(by, group)
     left = rows(references).withColumn("rb", tiles.own_block("id", "_lb")).withColumn("cb", tiles.every_block("_rb")).select(group, "rb", "cb", "id", "v")
     right = rows(candidates).withColumn("cb", tiles.own_block("id", "_rb")).withColumn("rb", tiles.every_block("_lb"))
@@ -41,18 +51,12 @@ def farthest(references: DataFrame, candidates: DataFrame, k: int | None = None,
         if not len(a) or not len(b):
             return pd.DataFrame({group: [], "ref_id": [], "cand_id": [], "similarity": []})
         x, y = (_unit(np.stack(p["v"].to_numpy()).astype(float)) for p in (a, b))
-        sim, ids = x @ y.T, b["id"].to_numpy()
-        if len(ids) > k:  # all up to the k-th value, which ties may exceed
-            i, j = np.nonzero(sim <= np.partition(sim, k - 1, axis=1)[:, k - 1 : k])
-        else:
-            i, j = (v.ravel() for v in np.indices(sim.shape))
-        s = sim[i, j]
-        order = np.lexsort((ids[j], s, i))
-        i, j, s = i[order], j[order], s[order]
-        first = np.searchsorted(i, np.arange(len(a)))
-        some = np.arange(len(i)) - first[i] < k
-        i, j = i[some], j[some]
-        return pd.DataFrame({group: np.full(len(i), a[group].iloc[0]), "ref_id": a["id"].to_numpy()[i], "cand_id": ids[j], "similarity": s[some]})
+        ids, found = b["id"].to_numpy(), []
+        for lo in range(0, len(x), block):
+            found.append(_farthest(x[lo : lo + block], y, ids, k, block))
+            found[-1][0][:] += lo
+        i, j, s = (np.concatenate(v) for v in zip(*found))
+        return pd.DataFrame({group: np.full(len(i), a[group].iloc[0]), "ref_id": a["id"].to_numpy()[i], "cand_id": ids[j], "similarity": s})
 
     kind = references.schema[group].dataType.simpleString()
     idk = references.schema[key].dataType.simpleString()
@@ -61,6 +65,27 @@ def farthest(references: DataFrame, candidates: DataFrame, k: int | None = None,
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select(group, "ref_id", "rank", "cand_id", "similarity")
 
 
+def _farthest(x: np.ndarray, y: np.ndarray, ids: np.ndarray, k: int, block: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of x, row of y, similarity) of each row's k least, ties by id; what is over a row's k-th so far is left out."""
+    i, j, s = np.zeros(0, int), np.zeros(0, int), np.zeros(0)
+    least = np.full((len(x), 1), np.inf)
+    for lo in range(0, len(y), block):
+        sim = x @ y[lo : lo + block].T
+        if sim.shape[1] > k:  # all up to the k-th value, which ties may exceed
+            if not lo:
+                least = np.partition(sim, k - 1, axis=1)[:, k - 1 : k]
+        at = np.nonzero(~(sim > least))
+        i, j, s = np.concatenate([i, at[0]]), np.concatenate([j, at[1] + lo]), np.concatenate([s, sim[at]])
+        order = np.lexsort((ids[j], s, i))
+        i, j, s = i[order], j[order], s[order]
+        some = np.arange(len(i)) - np.searchsorted(i, np.arange(len(x)))[i] < k
+        i, j, s = i[some], j[some], s[some]
+        full = np.bincount(i, minlength=len(x)) == k
+        last = np.searchsorted(i, np.arange(len(x)), "right") - 1
+        least[full, 0] = s[last[full]]
+    return i, j, s
+
+
 #: Rows of an Arrow batch of pairs; most partitions over which blocks of pairs are dealt.
 BATCH, PARTITIONS = 65_536, 2_000
 

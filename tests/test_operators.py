@@ -96,6 +96,22 @@ def test_farthest_edges(spark):
         search.farthest(vectors(spark, np.zeros((1, 3))), a, 1).collect()
 
 
+def test_farthest_copies_rows_a_few_times(spark):
+    x = np.random.default_rng(3).normal(size=(400, 3)).round(1) + 0.01
+    x[300:] = x[:100]  # ties
+    df = vectors(spark, x)
+    got = search.farthest(df, df, 4, block=10)
+    copies = tiles.shape(df, df, ["label"], 10).first()._lb
+    assert copies == 40 and spark.range(1).select(search.blocks(F.lit(copies), 10).alias("n")).first().n == search.COPIES
+    u = x / np.sqrt((x * x).sum(1, keepdims=True))
+    have = {}
+    for r in got.orderBy("ref_id", "rank").collect():
+        have.setdefault(r.ref_id, []).append(r.similarity)
+    assert all(np.allclose(have[i], np.sort(u @ u[i])[:4]) for i in range(400))
+    seen = search.farthest(df, df, 4, block=10).groupBy("ref_id").agg(F.countDistinct("cand_id").alias("n")).agg(F.min("n")).first()[0]
+    assert seen == 4
+
+
 def test_cosine_pairs_by_blocks(spark):
     x = np.random.default_rng(2).normal(size=(60, 4)).round(2).tolist()
     odd = [(90, 0, None), (91, 0, [0.0] * 4), (92, 0, [1.0, None, 0.0, 2.0]), (93, 0, [1.0, 2.0]), (94, 0, []), (95, None, [1.0] * 4), (96, 0, [2.0, 4.0])]
