@@ -13,6 +13,7 @@ Results are exact; ties go to the smaller address.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from math import ceil
@@ -27,6 +28,8 @@ from ..storage import once
 
 BLOCK = 2_048
 FOLDERS = 64
+#: Terms up to which an index for some terms alone holds them in its tasks.
+KNOWN = 100_000
 #: The saturation of a term's frequency, and how much a document's length counts.
 K1, B = 1.2, 0.75
 #: Decimal places to which scores are compared.
@@ -55,23 +58,46 @@ def _folder(term: str = "term"):
     return F.pmod(F.xxhash64(term), F.lit(FOLDERS)).cast("int")
 
 
-def build(documents: DataFrame, url: str = "url", text: str = "text", block: int = BLOCK) -> Index:
-    """The index of all rows; each row is a document of its own.  Rows without an address are left out."""
+def _counted(known: frozenset[str] | None):
+    """A document's distinct tokens, of ``known`` ones if there are any given, and how often each is there."""
+
+    @F.pandas_udf("struct<terms:array<string>,tf:array<int>>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for many in batches:
+            bags = [Counter(t if known is None else (w for w in t if w in known)) for t in many]
+            yield pd.DataFrame({"terms": pd.Series([list(b.keys()) for b in bags], dtype=object), "tf": pd.Series([list(b.values()) for b in bags], dtype=object)})
+
+    return run
+
+
+def build(documents: DataFrame, url: str = "url", text: str = "text", block: int = BLOCK, terms: DataFrame | None = None) -> Index:
+    """The index of all rows; each row is a document of its own.  Rows without an address are left out.
+
+    ``terms`` (term): an index for searches of those terms alone, with the scores of the whole one; if they
+    are over ``KNOWN``, all terms are indexed.  Terms are counted in their row, so that only postings move."""
+    known = None
+    if terms is not None and len(found := terms.select("term").distinct().limit(KNOWN + 1).collect()) <= KNOWN:
+        known = frozenset(r.term for r in found)
     rows = documents.select(F.col(url).cast("string").alias("url"), tokens(F.col(text)).alias("t")).filter("url is not null")
-    rows = once(rows.withColumn("length", F.size("t")))
+    rows = once(rows.select("url", F.size("t").alias("length"), _counted(known)("t").alias("c")))
     n, mean = rows.agg(F.count("*"), F.avg("length")).first()
     blocks = max(1, ceil(n / block))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("url"), F.lit(blocks)).cast("int"))
     rows = once(rows.withColumn("ord", F.row_number().over(Window.partitionBy("block").orderBy("url")) - 1))
     norm = K1 * (1 - B + B * F.col("length") / F.lit(float(mean or 1.0)))
-    counted = rows.select("block", "ord", norm.alias("norm"), F.explode("t").alias("term")).groupBy("term", "block", "ord").agg(F.count("*").alias("tf"), F.first("norm").alias("norm"))
-    counted = counted.withColumn("share", F.col("tf") * (K1 + 1) / (F.col("tf") + F.col("norm")))
+    counted = rows.select("block", "ord", norm.alias("norm"), F.explode(F.arrays_zip("c.terms", "c.tf")).alias("e")).select("block", "ord", "norm", F.col("e.terms").alias("term"), F.col("e.tf").alias("tf"))
+    counted = counted.select("term", "block", "ord", (F.col("tf") * (K1 + 1) / (F.col("tf") + F.col("norm"))).alias("share"))
     lists = once(counted.groupBy("term", "block").agg(F.array_sort(F.collect_list(F.struct("ord", "share"))).alias("p"), F.max("share").alias("bound")))
     df = lists.groupBy("term").agg(F.sum(F.size("p")).alias("df"))
     postings = lists.join(df, "term").select(_folder().alias("folder"), "term", "block", "df", "bound", F.col("p.ord").alias("ords"), F.col("p.share").alias("shares"))
     return Index(rows.select("block", "ord", "url"), once(postings, by="folder"), n)
 
 
+def terms_of(queries: DataFrame, text: str = "normalized") -> DataFrame:
+    """(term): the tokens that searches for these queries look up."""
+    return queries.select(F.explode(tokens(F.col(text))).alias("term")).distinct()
+
+
 def _best(limit: int):
     """The best documents of a block for a query, from its lists (term, df, weight, ords, shares or null)."""
 

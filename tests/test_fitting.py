@@ -194,6 +194,15 @@ def test_search_equals_a_full_scan(spark, scoring, tmp_path):
     assert {(r.doc_id, r.rank, r.url) for r in again.collect()} == {(k, r, u) for k, v in got.items() for r, u, _ in v}
 
 
+def test_an_index_of_some_terms_finds_the_same(spark):
+    docs = spark.createDataFrame([(f"u{i:02}", f"aa {'bb ' * (i % 4)}cc{chr(97 + i % 9)} rare{chr(97 + i % 26)}") for i in range(60)] + [("u03", "aa bb"), ("w", None)], "url string, text string")
+    q = spark.createDataFrame([(1, "bb cca"), (2, "aa unknown"), (3, "")], "doc_id long, normalized string")
+    some, whole = (index.build(docs, block=20, terms=t) for t in (index.terms_of(q), None))
+    assert {r.term for r in some.postings.select("term").collect()} == {"aa", "bb", "cca"} and some.n == whole.n == 62
+    found = [{tuple(r) for r in index.search(held, q, 4).collect()} for held in (some, whole)]
+    assert found[0] == found[1] and {r[0] for r in found[0]} == {1, 2}
+
+
 def test_an_empty_index(spark):
     held = index.build(spark.createDataFrame([], "url string, text string"))
     assert index.search(held, spark.createDataFrame([(1, "a word")], "doc_id long, normalized string")).collect() == []
