@@ -1,4 +1,4 @@
-"""An 18-part style vector in JVM expressions, with heuristic parts of speech and a lexicon for sentiment.
+"""An 18-part style vector: counts by numpy on Arrow batches, formulas in JVM expressions, with heuristic parts of speech and a lexicon for sentiment.
 
 Order: sentence length, word length, shares of NOUN, VERB, ADJ, PUNCT, NUM and PROPN, eight readability
 scores and the share of difficult words (all scaled and clipped to 0..1), then positivity.  Parts of
@@ -8,10 +8,12 @@ tagger and a pronouncing dictionary, which a stage can replace.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import sentences
+from .counting import DIGIT, LOWER, UPPER, Words, pieces
 from .vectors import clip
 
 # The scales.
@@ -20,47 +22,50 @@ GRADES, EASE, DALE_CHALL = (6.0, 17.0), (100.0, 10.0), (4.9, 9.9)
 NAMES = ("sentence_length", "word_length", "noun", "verb", "adj", "punct", "num", "propn", "gunning_fog", "flesch_ease", "flesch_kincaid", "smog", "coleman_liau", "automated", "dale_chall", "linsear", "difficult", "positivity")
 POSITIVE = ("good", "great", "best", "better", "success", "benefit", "safe", "fair", "happy", "love")
 NEGATIVE = ("bad", "worst", "worse", "fail", "harm", "danger", "unfair", "sad", "hate", "wrong")
-VERB_ENDS, ADJ_ENDS = "(ing|ed|en|er|ir|ar)", "(ous|ful|able|ible|al|ive|ic|lich|ig)"
+VERB_ENDS, ADJ_ENDS = ("ing", "ed", "en", "er", "ir", "ar"), ("ous", "ful", "able", "ible", "al", "ive", "ic", "lich", "ig")
 
 
 def scaled(x: Column, bounds: tuple[float, float]) -> Column:
     return (x - bounds[0]) / (bounds[1] - bounds[0])
 
 
-_IN = r"[\p{L}\p{N}_]"  # a word's characters
-_START, _END = rf"(?<!{_IN})", rf"(?!{_IN})"
-_OTHER = r"[\p{L}\p{N}_&&[^aeiouy]]"
+_COUNTS = ("tokens", "words", "sentences", "chars", "punct", "num", "verb", "adj", "lower", "propn", "syllables", "hard", "letters", "good", "bad")
+
+
+def _counts(t: Words) -> list[np.ndarray]:
+    """By text, in the order of ``_COUNTS``."""
+    punct, one = t.marks(), np.ones(len(t.start), int)
+    words, upper = t.per_text(one), t.per_text(t.has(UPPER))
+    heads = t.per_text(t.has(UPPER)[t.opening], t.start[t.opening])
+    moods = [t.start[t.among(lexicon)] for lexicon in (POSITIVE, NEGATIVE)]
+    return [
+        words + punct,
+        words,
+        t.per_text(np.ones(len(t.sentences), int), t.sentences),
+        t.lengths,
+        punct,
+        t.per_text((t.common & DIGIT) > 0),
+        t.per_text(t.ends_in(VERB_ENDS)),
+        t.per_text(t.ends_in(ADJ_ENDS)),
+        t.per_text(t.has(LOWER)),
+        np.maximum(upper - heads, 0),
+        t.per_text(np.maximum(t.vowel_groups, 1)),
+        t.per_text(t.vowel_groups >= 3),
+        t.per_text(t.size),
+        *[t.per_text(np.ones(len(at), int), at) for at in moods],
+    ]
 
 
-def _count(text: Column, pattern: str) -> Column:
-    return F.regexp_count(text, F.lit(pattern)).cast("double")
+def with_counts(df: DataFrame, text_col: str, as_col: str = "_style") -> DataFrame:
+    """``df`` with a struct of what the vector's formulas need, all from one scan of the text's words."""
 
+    @F.arrow_udf(", ".join(f"{n} double" for n in _COUNTS))
+    def run(texts: pa.Array) -> pa.Array:
+        found = [_counts(t) for t in pieces(texts)]
+        columns = [np.concatenate([f[i] for f in found] or [np.zeros(0)]).astype(float) for i in range(len(_COUNTS))]
+        return pa.StructArray.from_arrays([pa.array(c) for c in columns], names=list(_COUNTS))
 
-def with_counts(df: DataFrame, text_col: str, as_col: str = "_style") -> DataFrame:
-    """``df`` with a struct of what the vector's formulas need: each count is one pass over the text."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    low = F.lower(text)
-    parts = sentences(text)
-    heads = F.size(F.filter(parts, lambda s: s.rlike(rf"^[^\p{{L}}\p{{N}}_]*\p{{Lu}}"))).cast("double")
-    any_of = lambda lexicon: rf"{_START}(?:{'|'.join(lexicon)}){_END}"
-    s = F.struct(
-        _count(text, rf"{_IN}+|[^\p{{L}}\p{{N}}_\s]").alias("tokens"),
-        _count(text, rf"{_IN}+").alias("words"),
-        F.size(parts).cast("double").alias("sentences"),
-        F.length(text).cast("double").alias("chars"),
-        _count(text, r"[^\p{L}\p{N}_\s]").alias("punct"),
-        _count(text, rf"{_START}[0-9]+{_END}").alias("num"),
-        _count(text, rf"{_START}\p{{Ll}}+{VERB_ENDS}{_END}").alias("verb"),
-        _count(text, rf"{_START}\p{{Ll}}+{ADJ_ENDS}{_END}").alias("adj"),
-        _count(text, rf"{_START}\p{{Ll}}").alias("lower"),
-        F.greatest(_count(text, rf"{_START}\p{{Lu}}") - heads, F.lit(0.0)).alias("propn"),
-        (_count(low, "[aeiouy]+") + _count(low, rf"{_START}{_OTHER}++{_END}")).alias("syllables"),
-        _count(low, rf"{_START}{_OTHER}*+(?:[aeiouy]++{_OTHER}*+){{3,}}+").alias("hard"),
-        F.length(F.regexp_replace(text, r"[^\p{L}\p{N}_]+", "")).cast("double").alias("letters"),
-        _count(low, any_of(POSITIVE)).alias("good"),
-        _count(low, any_of(NEGATIVE)).alias("bad"),
-    )
-    return df.withColumn(as_col, s)
+    return df.withColumn(as_col, run.asNondeterministic()(F.col(text_col)))  # or a filter on the vector would scan the texts once more
 
 
 def vector(s: Column, positivity: Column | None = None) -> Column:

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.binding import let
-from ..functions.text import tokens
+from ..functions.counting import pieces
 from ..functions.vectors import argmax
 from ..schemas import FRAMES, frame_name
 
@@ -18,9 +19,20 @@ Framer = Callable[[Column], Column]
 
 def hashed(text: Column) -> Column:
     """Default: tokens hashed to frames by first letter and length, add-one smoothed shares."""
-    bucket = F.transform(tokens(text), lambda t: (F.ascii(t) * 31 + F.length(t)) % len(FRAMES))
-    n = len(FRAMES)
-    return let(bucket, lambda own: F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda f: (F.size(F.filter(own, lambda b: b == f)) + 1) / (F.size(own) + float(n))))
+
+    @F.arrow_udf("array<double>")
+    def run(texts: pa.Array) -> pa.Array:
+        n, found = len(FRAMES), [np.zeros((0, len(FRAMES)))]
+        for t in pieces(texts):
+            some = np.flatnonzero(t.latin & (t.size >= 2))  # the tokens of text.tokens
+            bucket = ((t.letter(t.start[some]) + 96) * 31 + t.size[some]) % n
+            own = np.searchsorted(t.first, t.start[some], "right") - 1
+            counts = np.bincount(own * n + bucket, minlength=len(t.texts) * n).reshape(-1, n)
+            found.append((counts + 1) / (counts.sum(1, keepdims=True) + float(n)))
+        shares = np.concatenate(found)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(shares) + 1) * n, pa.int32()), pa.array(shares.ravel()))
+
+    return run(text)
 
 
 def assign(df: DataFrame, text: Column, framer: Framer = hashed) -> DataFrame:

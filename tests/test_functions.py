@@ -1,5 +1,8 @@
 import math
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -7,7 +10,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from antiphon.config import Cleaning
-from antiphon.functions import html, style, text, vectors, readable
+from antiphon.functions import counting, html, style, text, vectors, readable
 from antiphon.operators import filters, framing
 
 
@@ -16,8 +19,8 @@ def one(spark, value, f, kind="string"):
 
 
 def test_strip_takes_unicode_white_space(spark):
-    assert one(spark, "\t  a b \x1c ", text.strip) == "a b"
-    assert one(spark, " a \n  b ", text.collapse) == "a b"
+    assert one(spark, "\t\u00a0 a\u00a0b \x1c\u2003", text.strip) == "a\u00a0b"
+    assert one(spark, " a \n\u00a0 b ", text.collapse) == "a b"
 
 
 def test_sentences(spark):
@@ -128,7 +131,7 @@ def test_positivity(spark):
 
 def test_sanitise(spark):
     assert one(spark, "  ab cd ", lambda c: filters.sanitise(c, 3)) == "ab "
-    for bad in ("", "   ", None):
+    for bad in ("", " \u00a0 ", None):
         with pytest.raises(PySparkException):
             one(spark, bad, filters.sanitise)
 
@@ -174,3 +177,29 @@ def test_readable_content_of_odd_pages(spark):
     assert [readable.content(p) for p in pages] == want
     got = spark.createDataFrame([(i, p) for i, p in enumerate(pages)], "i int, p string").withColumn("t", readable.readable(F.col("p"))).orderBy("i").collect()
     assert [r.t for r in got] == want
+
+
+def test_counts_of_odd_texts_equal_the_twin(spark, tmp_path):
+    import duckdb
+
+    from antiphon.plans import catalog, catalog_sql
+
+    rng = np.random.default_rng(5)
+    bits = ["İstanbul", "FAİL", "İ", "a", "Good", "bad_", "sing", "ing", "xyzable", "able", "ible", "famous", "ßen", "Élan", "été", "DŽ", "Dž", "42", "٣", "x1", "_", "rhythm", "queueing", "areaea", "Kelvin", "⺿0", "́"]
+    bits += ["\U0001f600", "\U0002ebf0", ".", "!?", "...", '"', ")", "]'", ".)", '?")', ",", "-", "\x1f", "\x1f\x1f", "\n", "\t", "\x0b", "\u00a0", "\x85", "\u2028", " ", "  ", " ", " ", " "]
+    texts = ["".join(rng.choice(bits, rng.integers(0, 40))) for _ in range(600)] + [None, "", " ", ".", ". ", " .", "\x1f", "aeb" * 300, ")" * 5000 + " A", "." + ")" * 5000 + " A b", "no end", "End. ", "A.\x1f B"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows.coalesce(2).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    for name in ("style_features", "frame_predict"):
+        got, want = (df.sort_values("doc_id").reset_index(drop=True) for df in (catalog.QUERIES[name](spark, str(tmp_path)).toPandas(), con.sql(catalog_sql.ORACLE_SQL[name]).df()))
+        pd.testing.assert_frame_equal(got, want[got.columns], check_dtype=False, rtol=0, atol=1.1e-6)
+
+
+def test_words_meet_across_pieces(monkeypatch):
+    texts = pa.array(["Good dogs. (Bad) cats", None, "x" * 30, "", "e. A\nE"])
+    whole = [c.tolist() for t in counting.pieces(texts) for c in style._counts(t)]
+    monkeypatch.setattr(counting, "PIECE", 5)
+    parts = [style._counts(t) for t in counting.pieces(texts)]
+    assert len(parts) > 2 and [[n for p in parts for n in p[i].tolist()] for i in range(len(whole))] == whole
