@@ -1,17 +1,20 @@
 """Farthest-k search: the candidates least similar to each reference, within a group.
 
 Both sides are dealt into blocks of bounded size by a hash of their ids; each pair of blocks goes by
-matrix products of ``BLOCK`` rows of each side, keeps k rows per reference, and the blocks' winners are
-merged by a window whose input is already cut to k rows a block.  A hot group therefore spreads over many
-tasks.  A row is copied once for each block of the other side, so the blocks of a large group grow: it
-has ``COPIES`` of them until one would hold more than ``MOST`` rows.
-A group of g references and candidates costs g squared products however it is cut: that is the
-operator's own size."""
+matrix products, keeps k rows per reference, and the blocks' winners are merged by a window whose input is
+already cut to k rows a block.  A hot group therefore spreads over many tasks.  A row is copied once for each
+block of the other side, so the blocks of a large group grow: it has ``COPIES`` of them until one would hold
+more than ``MOST`` rows.
+
+Within a pair of blocks, candidates lie in cells of ``CELL`` close ones.  No candidate of a cell is less similar
+to a reference than the cell's centre by more than its radius, so ``NEAR`` close references leave out the cells
+that this bound puts above all their k-th values.  Of candidates with one vector the k first ids count.  A group
+of g references and candidates still costs g squared products over ``CELL``, and where the bound says nothing
+(many dimensions without structure) all g squared: that is the operator's own size."""
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,6 +26,11 @@ MAX_CANDIDATES = 100
 BLOCK = tiles.BLOCK
 #: Blocks that a side of a group has while they hold no more rows than ``MOST``.
 COPIES, MOST = 4, 65_536
+#: Rows of an Arrow batch of pairs; most partitions over which blocks of pairs are dealt.
+BATCH, PARTITIONS = 65_536, 2_000
+#: Candidates of a cell, references that choose cells together, and what rounding to single precision may move a
+#: product or bound of unit vectors by, for each dimension and four more.
+CELL, NEAR, SLACK = 32, 256, 2e-7
 
 
 def _checked(k: int | None) -> int:
@@ -47,36 +55,99 @@ def farthest(references: DataFrame, candidates: DataFrame, k: int | None = None,
     right = rows(candidates).withColumn("cb", tiles.own_block("id", "_rb")).withColumn("rb", tiles.every_block("_lb"))
     right = right.select(*[F.col(c).alias(n) for c, n in ((group, "_g"), ("rb", "_r"), ("cb", "_c"), ("id", "id"), ("v", "v"))])  # fresh names: both sides may be one table
 
-    def solve(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(a) or not len(b):
-            return pd.DataFrame({group: [], "ref_id": [], "cand_id": [], "similarity": []})
-        x, y = (_unit(np.stack(p["v"].to_numpy()).astype(float)) for p in (a, b))
-        ids, found = b["id"].to_numpy(), []
-        for lo in range(0, len(x), block):
-            found.append(_farthest(x[lo : lo + block], y, ids, k, block))
-            found[-1][0][:] += lo
-        i, j, s = (np.concatenate(v) for v in zip(*found))
-        return pd.DataFrame({group: np.full(len(i), a[group].iloc[0]), "ref_id": a["id"].to_numpy()[i], "cand_id": ids[j], "similarity": s})
+    def solve(a: pa.Table, b: pa.Table) -> pa.Table:
+        one, two, label = (t[c].combine_chunks() for t, c in ((a, "id"), (b, "id"), (a, group)))
+        i, j, s = np.zeros(0, int), np.zeros(0, int), np.zeros(0)
+        if len(one) and len(two):
+            i, j, s = _farthest(_unit(_matrix(a["v"])), _unit(_matrix(b["v"])), two.to_numpy(zero_copy_only=False), k, block)
+        columns = [label.take(pa.array(np.zeros(len(i), int))), one.take(pa.array(i)), two.take(pa.array(j)), pa.array(s)]
+        return pa.table(columns, names=[group, "ref_id", "cand_id", "similarity"])
 
     kind = references.schema[group].dataType.simpleString()
     idk = references.schema[key].dataType.simpleString()
-    found = left.groupBy(group, "rb", "cb").cogroup(right.groupBy("_g", "_r", "_c")).applyInPandas(solve, f"{group} {kind}, ref_id {idk}, cand_id {idk}, similarity double")
+    tasks = min(max(1, by.agg(F.sum(F.col("_lb").cast("long") * F.col("_rb"))).first()[0] or 1), PARTITIONS)
+    left, right = left.repartition(tasks, group, "rb", "cb"), right.repartition(tasks, "_g", "_r", "_c")
+    found = left.groupBy(group, "rb", "cb").cogroup(right.groupBy("_g", "_r", "_c")).applyInArrow(solve, f"`{group}` {kind}, ref_id {idk}, cand_id {idk}, similarity double")
     order = Window.partitionBy(group, "ref_id").orderBy("similarity", "cand_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select(group, "ref_id", "rank", "cand_id", "similarity")
 
 
 def _farthest(x: np.ndarray, y: np.ndarray, ids: np.ndarray, k: int, block: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row of x, row of y, similarity) of each row's k least, ties by id; what is over a row's k-th so far is left out."""
+    """(row of x, row of y, similarity) of each row's k least, ties by id."""
+    rows = _first_copies(y, ids, k)
+    cells = [rows[c] for c in _halves(y[rows], CELL)]
+    rows, many = np.concatenate(cells), np.array([len(c) for c in cells])
+    place = np.empty(len(ids), int)
+    place[np.argsort(ids, kind="stable")] = np.arange(len(ids))
+    place, z = place[rows], y[rows]
+    centre = np.add.reduceat(z, np.cumsum(many) - many) / many[:, None]
+    radius = np.maximum.reduceat(np.sqrt(((z - np.repeat(centre, many, axis=0)) ** 2).sum(1)), np.cumsum(many) - many)
+    found, won, slack, single = [], np.zeros(0, int), SLACK * (x.shape[1] + 4), np.float32
+    centre, radius, rough = centre.T.astype(single), radius.astype(single), z.astype(single)
+    for mine in _halves(x, min(NEAR, block)):
+        u = x[mine]
+        bound = u.astype(single) @ centre - radius
+        best = np.zeros(len(many), bool)
+        best[np.argsort(bound.min(0))[: 1 + 4 * k // CELL]] = True
+        seeds = np.union1d(won, np.flatnonzero(np.repeat(best, many)))
+        least = np.full((len(u), 1), np.inf)
+        if len(seeds) >= k:
+            least = np.partition(u @ z[seeds].T, k - 1, axis=1)[:, k - 1 : k]
+        some = np.flatnonzero(np.repeat((~(bound > (least + slack).astype(single))).any(0), many))
+        i, j, s = _least(u, z[some], rough[some], place[some], k, block, least, slack)
+        j = some[j]
+        won = np.unique(j)[:block]
+        found.append((mine[i], rows[j], s))
+    return tuple(np.concatenate(v) for v in zip(*found))
+
+
+def _matrix(vectors: pa.ChunkedArray) -> np.ndarray:
+    """One row a vector; all must have one length."""
+    lists = vectors.combine_chunks()
+    lengths = np.asarray(lists.value_lengths().fill_null(0))
+    if lists.null_count or (lengths != lengths[0]).any():
+        raise ValueError("vectors must have one length")
+    return lists.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(lists), -1)
+
+
+def _first_copies(y: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """The rows of y without those that k equal rows with smaller ids precede."""
+    by = np.argsort(ids, kind="stable")
+    code = np.ascontiguousarray(y[by] + 0.0)  # no negative zeros
+    code = code.view(np.dtype((np.void, code.dtype.itemsize * code.shape[1]))).ravel()
+    order = np.argsort(code, kind="stable")
+    start = np.flatnonzero(np.concatenate([[True], code[order][1:] != code[order][:-1]]))
+    nth = np.arange(len(by)) - np.repeat(start, np.diff(np.append(start, len(by))))
+    return by[order[nth < k]]
+
+
+def _halves(m: np.ndarray, size: int) -> list[np.ndarray]:
+    """Rows of m in parts of at most ``size``: halved at the coordinate that varies most."""
+    parts, left = [], [np.arange(len(m))]
+    while left:
+        rows = left.pop()
+        if len(rows) <= size:
+            parts.append(rows)
+            continue
+        mid = len(rows) // 2
+        order = np.argpartition(m[rows, m[rows].var(0).argmax()], mid)
+        left += [rows[order[mid:]], rows[order[:mid]]]
+    return parts
+
+
+def _least(x: np.ndarray, y: np.ndarray, rough: np.ndarray, place: np.ndarray, k: int, block: int, least: np.ndarray, slack: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of x, row of y, similarity) of each row's k least, ties by place; what is over a row's ``least``, and
+    its k-th so far, by ``rough`` products is left out.  Equal pairs have equal similarities wherever they stand."""
     i, j, s = np.zeros(0, int), np.zeros(0, int), np.zeros(0)
-    least = np.full((len(x), 1), np.inf)
     for lo in range(0, len(y), block):
-        sim = x @ y[lo : lo + block].T
-        if sim.shape[1] > k:  # all up to the k-th value, which ties may exceed
-            if not lo:
-                least = np.partition(sim, k - 1, axis=1)[:, k - 1 : k]
-        at = np.nonzero(~(sim > least))
-        i, j, s = np.concatenate([i, at[0]]), np.concatenate([j, at[1] + lo]), np.concatenate([s, sim[at]])
-        order = np.lexsort((ids[j], s, i))
+        sim = x.astype(rough.dtype) @ rough[lo : lo + block].T
+        if sim.shape[1] > k and not np.isfinite(least).all():  # all up to the k-th value, which ties may exceed
+            least = np.minimum(least, np.partition(sim, k - 1, axis=1)[:, k - 1 : k] + slack)
+        at = np.divmod(np.flatnonzero(~(sim > (least + slack).astype(rough.dtype))), sim.shape[1])
+        if not len(at[0]):
+            continue
+        i, j, s = np.concatenate([i, at[0]]), np.concatenate([j, at[1] + lo]), np.concatenate([s, (x[at[0]] * y[at[1] + lo]).sum(1)])
+        order = np.lexsort((place[j], s, i))
         i, j, s = i[order], j[order], s[order]
         some = np.arange(len(i)) - np.searchsorted(i, np.arange(len(x)))[i] < k
         i, j, s = i[some], j[some], s[some]
@@ -86,10 +157,6 @@ def _farthest(x: np.ndarray, y: np.ndarray, ids: np.ndarray, k: int, block: int)
     return i, j, s
 
 
-#: Rows of an Arrow batch of pairs; most partitions over which blocks of pairs are dealt.
-BATCH, PARTITIONS = 65_536, 2_000
-
-
 def cosine_pairs(df: DataFrame, group: str = "label", key: str = "vec_id", vector: str = "embedding", digits: int = 6, block: int = BLOCK) -> DataFrame:
     """(group, key_1, key_2, similarity): all ordered pairs of a group's rows, each row with itself included.
 

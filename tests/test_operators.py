@@ -112,6 +112,34 @@ def test_farthest_copies_rows_a_few_times(spark):
     assert seen == 4
 
 
+def test_farthest_leaves_out_cells(monkeypatch):
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(3000, 6)) * [1, 0.3, 0.2, 0.1, 0.05, 0.02] + [3, 0, 0, 0, 0, 0]
+    x[2000:] = x[rng.integers(0, 40, 1000)]  # many copies of few
+    x = x / np.sqrt((x * x).sum(1, keepdims=True))
+    ids, seen, least = rng.permutation(3000), [], search._least
+    monkeypatch.setattr(search, "_least", lambda u, z, *rest: (seen.append(len(u) * len(z)), least(u, z, *rest))[1])
+    i, j, s = search._farthest(x, x, ids, 4, 256)
+    order = np.lexsort((ids[j], s, i))
+    same = np.unique(x, axis=0, return_inverse=True)[1].ravel()
+    exact = np.array([[(u * v).sum() for v in np.unique(x, axis=0)] for u in x[:200]])[:, same]
+    for r in range(200):
+        assert j[order][i[order] == r].tolist() == np.lexsort((ids, exact[r]))[:4].tolist()
+    assert np.bincount(i).tolist() == [4] * 3000 and sum(seen) < 3000 * 3000 / 3
+
+
+def test_farthest_with_nan_and_copies(spark):
+    x = np.ones((300, 2)) * np.arange(1, 301)[:, None]  # one direction
+    x[7], x[250] = [np.nan, 1], [-1, 0]
+    got = search.farthest(vectors(spark, x), vectors(spark, x), 3, block=64).filter("ref_id in (5, 7, 250)").orderBy("ref_id", "rank").collect()
+    assert [r.cand_id for r in got if r.ref_id == 5][0] == 250
+    assert len(got) == 9 and all(np.isnan(r.similarity) for r in got if r.ref_id == 7)
+    same = search.farthest(vectors(spark, np.tile([[1.0, 2.0, 0.7]], (300, 1))), vectors(spark, np.tile([[0.3, -2.0, 0.7]], (300, 1))), 3, block=64)
+    assert {(r.rank, r.cand_id) for r in same.select("rank", "cand_id").distinct().collect()} == {(1, 0), (2, 1), (3, 2)}
+    with pytest.raises(PySparkException):
+        search.farthest(spark.createDataFrame([(0, 0, [1.0]), (1, 0, [1.0, 2.0])], "vec_id int, label int, embedding array<double>"), vectors(spark, x), 1).collect()
+
+
 def test_cosine_pairs_by_blocks(spark):
     x = np.random.default_rng(2).normal(size=(60, 4)).round(2).tolist()
     odd = [(90, 0, None), (91, 0, [0.0] * 4), (92, 0, [1.0, None, 0.0, 2.0]), (93, 0, [1.0, 2.0]), (94, 0, []), (95, None, [1.0] * 4), (96, 0, [2.0, 4.0])]
